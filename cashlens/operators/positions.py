@@ -56,7 +56,7 @@ def payment_gaps(payments: DataFrame) -> DataFrame:
         .groupBy(*LENDER)
         .agg(
             F.sum(F.when(F.col("i") == 0, F.col("n"))).alias("payments"),
-            F.percentile("g.gap", 0.5, "g.times").alias("median_gap"),
+            F.percentile("g.gap", 0.5, F.col("g.times")).alias("median_gap"),
             F.min_by("tier", "tx_date").alias("tier"),
         )
     )

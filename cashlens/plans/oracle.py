@@ -201,7 +201,7 @@ SELECT application_id, tx_date, amount, description, tx_type, CASE WHEN line_no
     "text_of_file": "SELECT application_id, file_name, trim(string_agg(text, chr(10) ORDER BY page_no), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM statement_text GROUP BY application_id, file_name",
     # What the bank prints per application, from the ledger instead of from text.
     "printed": """
-SELECT application_id, sum(amount) FILTER (tx_type = 'credit') AS credits, coalesce(sum(amount) FILTER (tx_type = 'debit'), 0) AS debits, application_id % 7 AS way FROM ledger GROUP BY application_id""",
+SELECT application_id, coalesce(sum(amount) FILTER (tx_type = 'credit'), 0) AS credits, coalesce(sum(amount) FILTER (tx_type = 'debit'), 0) AS debits, application_id % 7 AS way FROM ledger GROUP BY application_id""",
     "printed_anchors": """
 SELECT application_id, 'stmt' AS file_name, CASE way WHEN 0 THEN 'amounts_credited' WHEN 1 THEN 'closing_totals' WHEN 2 THEN 'deposits_and_credits' WHEN 3 THEN 'explicit_total' END AS anchor_method,
   CASE WHEN way <= 3 THEN credits END AS anchor_total, CASE way WHEN 4 THEN 1000 WHEN 5 THEN 9000000 END AS opening, CASE way WHEN 4 THEN 500000 WHEN 5 THEN 10 END AS closing, debits FROM printed""",
@@ -369,8 +369,8 @@ SELECT application_id, lender, tier, {_number('payment_amount', 'payment_amount'
 SELECT application_id, {_number('ledger_total', 'ledger_total')}, {_number('expected_credits', 'expected_credits')},
   {_number('CASE WHEN expected_credits <> 0 THEN round(abs(CAST(ledger_total AS DOUBLE) - expected_credits), 2) END', 'variance')},
   CASE WHEN expected_credits = 0 THEN 'Anchor Missing' WHEN round(abs(CAST(ledger_total AS DOUBLE) - expected_credits), 2) > 2 THEN 'Mismatch Detected' ELSE 'Matched' END AS status
-FROM (SELECT application_id, coalesce(sum(amount) FILTER (tx_type = 'credit'), 0) AS ledger_total FROM ledger GROUP BY application_id)
-LEFT JOIN (SELECT application_id, expected_credits FROM anchors) USING (application_id)""",
+FROM (SELECT application_id, ledger_total, coalesce(e, 0) AS expected_credits FROM (SELECT application_id, coalesce(sum(amount) FILTER (tx_type = 'credit'), 0) AS ledger_total FROM ledger GROUP BY application_id)
+LEFT JOIN (SELECT application_id, expected_credits AS e FROM anchors) USING (application_id))""",
     "filter_options": """
 SELECT DISTINCT application_id, 'month' AS kind, month AS value FROM classified WHERE month IS NOT NULL UNION ALL SELECT DISTINCT application_id, 'category', category FROM classified""",
     "ledger_filter": f"SELECT {_ledger_row}, {_flags} FROM classified WHERE month = '2024-03' AND category = 'Non-Revenue - Refund / Reversal / NSF'",
