@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -22,39 +23,58 @@ def _whole_words(names: list[str]) -> str:
     return r"\b(?:" + "|".join(re.escape(name) for name in names) + r")\b"
 
 
-def matches_any(text: Column, patterns: list[str]) -> Column:
-    return text.rlike(any_of(patterns))
-
-
 def contains_any(text: Column, phrases: list[str]) -> Column:
-    """Plain substring tests, cheaper than a regular expression."""
+    """Plain substring tests, several times cheaper than a regular expression."""
     return reduce(lambda a, b: a | b, [text.contains(p) for p in phrases])
 
 
-def is_internal_transfer(upper: Column) -> Column:
-    return matches_any(upper, fixed.INTERNAL_TRANSFER_PATTERNS)
+def _guarded(needles: list[str], pattern: str) -> Callable[[Column], Column]:
+    """Pattern test behind substring tests that every match must pass."""
+    return lambda text: contains_any(text, needles) & text.rlike(pattern)
 
 
-def is_government(upper: Column) -> Column:
-    return matches_any(upper, fixed.GOVERNMENT_PATTERNS)
+def _shortest(names: list[str]) -> list[str]:
+    """The names that contain no other name: enough to find any of them."""
+    return [n for n in names if not any(o != n and o in n for o in names)]
 
 
-def is_nsf(upper: Column) -> Column:
-    return matches_any(upper, fixed.NSF_PATTERNS)
+LENDER_NAMES = [v for _, _, names in lender_list() for v in names]
+ANY_LENDER = UNICODE + _whole_words(LENDER_NAMES)
+GENERIC_LOAN = UNICODE + fixed.GENERIC_LOAN_PATTERN
 
+# All of these take upper-cased text.
+is_internal_transfer = _guarded(
+    ["TF", "TRANSFER", "BR", "ADJUSTMENT", "1005"], any_of(fixed.INTERNAL_TRANSFER_PATTERNS)
+)
+is_government = _guarded(
+    ["PROV", "CRA", "CANADA", "GST", "HST", "BENEFIT"], any_of(fixed.GOVERNMENT_PATTERNS)
+)
+is_nsf = _guarded(
+    ["NSF", "RETURNED", "UNPAID", "DISHONOURED", "FRAIS", "REVERSE", "RECLAIM"],
+    any_of(fixed.NSF_PATTERNS),
+)
+names_lender = _guarded(_shortest(LENDER_NAMES), ANY_LENDER)
+pays_generic_loan = _guarded(["LOAN"], GENERIC_LOAN)
 
-def names_lender(upper: Column) -> Column:
-    variants = [v for _, _, names in lender_list() for v in names]
-    return upper.rlike(UNICODE + _whole_words(variants))
+_POS_PARTS = fixed.POS_PATTERN.split("|")
+_CARD_START = next(i for i, part in enumerate(_POS_PARTS) if part.startswith(r"\b"))
+POS_NAMES = [part.replace("\\", "") for part in _POS_PARTS[:_CARD_START]]
+POS_CARDS = "|".join(_POS_PARTS[_CARD_START:])
 
 
-def is_processor(description: Column) -> Column:
-    return description.rlike("(?iU)" + fixed.POS_PATTERN)
+def is_processor(description: Column, upper: Column) -> Column:
+    """Any-case processor test of a description, given also in upper case.
 
+    In plain ASCII, letter case folds one to one and names are substrings of the upper-cased
+    text; other texts take the regular expression, whose folding rules are its own.
+    """
+    ascii_only = F.length(description) == F.octet_length(description)
+    plain = contains_any(upper, POS_NAMES) | upper.rlike(POS_CARDS)
+    return F.when(ascii_only, plain).otherwise(description.rlike("(?iU)" + fixed.POS_PATTERN))
 
-def rule_category(description: Column) -> Column:
-    """Category decided by the description alone, null when no rule applies."""
-    upper = F.upper(description)
+
+def rule_category(upper: Column) -> Column:
+    """Category decided by the upper-cased description alone, null when no rule applies."""
     return (
         F.when(is_internal_transfer(upper), fixed.INTERNAL_TRANSFER)
         .when(is_government(upper), fixed.GOVERNMENT)
@@ -63,24 +83,24 @@ def rule_category(description: Column) -> Column:
     )
 
 
-def lender_of(description: Column) -> Column:
-    """struct(lender, tier) of the first listed lender named, or of a generic loan payment."""
-    upper = F.upper(description)
+def lender_of(upper: str) -> Column:
+    """struct(lender, tier) of the first listed lender named, or of a generic loan payment.
 
-    def lender(name: str, tier: str) -> Column:
-        return F.struct(F.lit(name).alias("lender"), F.lit(tier).alias("tier"))
+    `upper` is the SQL of the upper-cased description.
+    """
+
+    def when(names: str, lender: str, tier: str) -> str:
+        found = f"named_struct('lender', '{lender}', 'tier', '{tier}')"
+        return f"WHEN rlike({upper}, r'{UNICODE}{names}') THEN {found}"
+
+    listed = " ".join(when(_whole_words(names), name, tier) for name, tier, names in lender_list())
+    generic = when(fixed.GENERIC_LOAN_PATTERN, fixed.GENERIC_LENDER, "Standard")
+    return F.expr(f"CASE {listed} {generic} END")
 
-    first_named = F.coalesce(
-        *[
-            F.when(upper.rlike(UNICODE + _whole_words(names)), lender(name, tier))
-            for name, tier, names in lender_list()
-        ]
-    )
-    # One scan of the text settles the many descriptions that name no lender.
-    return F.when(names_lender(upper), first_named).when(
-        upper.rlike(UNICODE + fixed.GENERIC_LOAN_PATTERN),
-        lender(fixed.GENERIC_LENDER, "Standard"),
-    )
+
+def may_pay_lender(upper: Column) -> Column:
+    """One test that settles the many descriptions for which `lender_of` is null."""
+    return names_lender(upper) | pays_generic_loan(upper)
 
 
 def transfer_text(description: Column) -> Column:
@@ -106,41 +126,26 @@ def contained_transfer_refs(text: Column) -> Column:
     return F.array_distinct(F.concat(longest, shorter))
 
 
-def monthly_equivalent(amount: Column, frequency: Column) -> Column:
+def monthly_equivalent(amount: str, frequency: str) -> Column:
     """Payment amount times payments per month; text that is no number counts as 0."""
-    value = F.coalesce(amount.try_cast("double"), F.lit(0.0))
-    factor = reduce(
-        lambda chain, item: chain.when(frequency == item[0], item[1]),
-        fixed.PAYMENTS_PER_MONTH.items(),
-        F.when(F.lit(False), 1.0),
-    ).otherwise(1.0)
-    return value * factor
-
-
-def payment_frequency(payments: Column, median_gap: Column) -> Column:
-    chain = F.when(payments < 2, fixed.MONTHLY)
-    for days, name in fixed.FREQUENCY_BY_GAP:
-        chain = chain.when(median_gap <= days, name)
-    return chain.otherwise(fixed.MONTHLY)
-
-
-def ladder_at_least(value: Column, steps: list[tuple[float, int]]) -> Column:
-    """Points of the first bound reached; null scores 0."""
-    chain = F.when(value.isNull(), 0)
-    for bound, points in steps:
-        chain = chain.when(value >= bound, points)
-    return chain.otherwise(0)
-
-
-def ladder_at_most(value: Column, steps: list[tuple[float, int]]) -> Column:
-    chain = F.when(value.isNull(), 0)
-    for bound, points in steps:
-        chain = chain.when(value <= bound, points)
-    return chain.otherwise(0)
-
-
-def choice_points(value: Column, points: dict[str, int], other: int) -> Column:
-    chain = F.when(value.isNull(), other)
-    for choice, score in points.items():
-        chain = chain.when(value == choice, score)
-    return chain.otherwise(other)
+    factors = " ".join(f"WHEN '{n}' THEN {f}D" for n, f in fixed.PAYMENTS_PER_MONTH.items())
+    value = f"coalesce(try_cast({amount} AS DOUBLE), 0D)"
+    return F.expr(f"{value} * CASE {frequency} {factors} ELSE 1D END")
+
+
+def payment_frequency(payments: str, median_gap: str) -> Column:
+    steps = " ".join(f"WHEN {median_gap} <= {days} THEN '{n}'" for days, n in fixed.FREQUENCY_BY_GAP)
+    return F.expr(
+        f"CASE WHEN {payments} < 2 THEN '{fixed.MONTHLY}' {steps} ELSE '{fixed.MONTHLY}' END"
+    )
+
+
+def ladder(value: str, compare: str, steps: list[tuple[float, int]]) -> str:
+    """SQL for the points of the first bound met; null scores 0."""
+    whens = " ".join(f"WHEN {value} {compare} {bound} THEN {points}" for bound, points in steps)
+    return f"CASE {whens} ELSE 0 END"
+
+
+def choice_points(value: str, points: dict[str, int], other: int) -> str:
+    whens = " ".join(f"WHEN '{choice}' THEN {score}" for choice, score in points.items())
+    return f"CASE {value} {whens} ELSE {other} END"

@@ -10,7 +10,8 @@ from cashlens.functions.text import label_key
 
 def rule_categories(ledger: DataFrame) -> DataFrame:
     """Adds `category` by rule; null where no rule applies."""
-    return ledger.withColumn("category", rules.rule_category(F.col("description")))
+    upper = ledger.withColumn("_upper", F.upper("description"))
+    return upper.withColumn("category", rules.rule_category(F.col("_upper"))).drop("_upper")
 
 
 def apply_labels(ledger: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -46,9 +47,10 @@ def revenue_flags(ledger: DataFrame) -> DataFrame:
 
 def pos_override(ledger: DataFrame) -> DataFrame:
     """Card processors and marketplaces are revenue, whatever any earlier rule said."""
-    hit = rules.is_processor(F.col("description"))
+    hit = rules.is_processor(F.col("description"), F.col("_upper"))
     return (
-        ledger.withColumn("_pos", F.coalesce(hit, F.lit(False)))
+        ledger.withColumn("_upper", F.upper("description"))
+        .withColumn("_pos", F.coalesce(hit, F.lit(False)))
         .withColumns(
             {
                 "category": F.when(F.col("_pos"), fixed.POS_REVENUE).otherwise(F.col("category")),
@@ -56,7 +58,7 @@ def pos_override(ledger: DataFrame) -> DataFrame:
                 "needs_review": ~F.col("_pos") & F.col("needs_review"),
             }
         )
-        .drop("_pos")
+        .drop("_pos", "_upper")
     )
 
 

@@ -18,31 +18,19 @@ def deposit_median(ledger: DataFrame) -> DataFrame:
     return skew.exact_median(credits, [APP], "amount", "median_deposit")
 
 
-def deposit_stats(months: DataFrame, medians: DataFrame) -> DataFrame:
-    """Sum, median and maximum of the credits; 0 without credits."""
-    zero = F.lit(0.0)
-    return (
-        months.groupBy(APP)
-        .agg(
-            F.sum("deposit_total").cast("double").alias("gross_deposits"),
-            F.max("largest_deposit").cast("double").alias("largest_deposit"),
-        )
-        .join(medians, APP, "left")
-        .select(
-            APP,
-            F.coalesce("gross_deposits", zero).alias("gross_deposits"),
-            F.coalesce("median_deposit", zero).alias("median_deposit"),
-            F.coalesce("largest_deposit", zero).alias("largest_deposit"),
-        )
-    )
+def application_totals(months: DataFrame) -> DataFrame:
+    """Everything about an application that its months determine, in one grouping.
 
-
-def revenue_series(months: DataFrame) -> DataFrame:
-    """Averages, volatility and trend over the months that have revenue."""
+    Averages, volatility and trend are taken over the months that have revenue.
+    """
     in_series = F.col("month").isNotNull() & (F.col("revenue_rows") > 0)
     series_month = F.when(in_series, F.col("month"))
     revenue = F.when(in_series, F.col("revenue_total"))
-    per_app = months.groupBy(APP).agg(
+    totals = months.groupBy(APP).agg(
+        F.sum("deposit_total").cast("double").alias("gross_deposits"),
+        F.coalesce(F.max("largest_deposit").cast("double"), F.lit(0.0)).alias("largest_deposit"),
+        F.sum("nsf_rows").alias("payment_performance"),
+        F.sum("wash_rows").alias("wash_rows"),
         F.count("*").alias("_months"),
         F.count(series_month).alias("revenue_months"),
         F.sum(revenue).cast("double").alias("_revenue"),
@@ -56,22 +44,32 @@ def revenue_series(months: DataFrame) -> DataFrame:
     count = F.when(some, F.bround(F.col("_rows") / F.col("revenue_months"))).otherwise(0.0)
     varies = (F.col("_months") > 1) & (F.col("avg_true_revenue") > 0)
     moves = (F.col("revenue_months") >= 2) & (F.col("_first") > 0)
-    return (
-        per_app.withColumn("avg_true_revenue", average)
-        .withColumn("deposit_count", count.cast("long"))
-        .select(
-            APP,
-            "revenue_months",
-            "avg_true_revenue",
-            "deposit_count",
-            # Null (not a number) when a single month has revenue; such a null scores 0.
-            F.when(varies, F.col("_deviation") / F.col("avg_true_revenue") * 100)
-            .otherwise(0.0)
-            .alias("revenue_volatility"),
-            F.when(moves, (F.col("_last") - F.col("_first")) / F.col("_first") * 100)
-            .otherwise(0.0)
-            .alias("revenue_trend"),
-        )
+    return totals.withColumn("avg_true_revenue", average).select(
+        APP,
+        "gross_deposits",
+        "largest_deposit",
+        "payment_performance",
+        "wash_rows",
+        "revenue_months",
+        "avg_true_revenue",
+        count.cast("long").alias("deposit_count"),
+        # Null (not a number) when a single month has revenue; such a null scores 0.
+        F.when(varies, F.col("_deviation") / F.col("avg_true_revenue") * 100)
+        .otherwise(0.0)
+        .alias("revenue_volatility"),
+        F.when(moves, (F.col("_last") - F.col("_first")) / F.col("_first") * 100)
+        .otherwise(0.0)
+        .alias("revenue_trend"),
+    )
+
+
+def deposit_stats(totals: DataFrame, medians: DataFrame) -> DataFrame:
+    """Sum, median and maximum of the credits; 0 without credits."""
+    return totals.join(medians, APP, "left").select(
+        APP,
+        "gross_deposits",
+        F.coalesce("median_deposit", F.lit(0.0)).alias("median_deposit"),
+        "largest_deposit",
     )
 
 
@@ -91,51 +89,38 @@ def revenue_concentration(ledger: DataFrame) -> DataFrame:
     )
 
 
-def payment_performance(months: DataFrame) -> DataFrame:
-    """Rows in a returned-payment category, credits and debits."""
-    return months.groupBy(APP).agg(
-        F.sum("nsf_rows").alias("payment_performance"), F.sum("wash_rows").alias("wash_rows")
-    )
-
-
 def advance_burden(revenue: DataFrame, positions: DataFrame) -> DataFrame:
-    """Existing positions against average revenue (application_id, avg_true_revenue)."""
+    """Existing positions against average revenue; the other columns of `revenue` stay."""
     monthly, average = F.col("total_monthly_payment"), F.col("avg_true_revenue")
-    return (
-        revenue.select(APP, "avg_true_revenue")
-        .join(position_totals(positions), APP, "left")
-        .select(
-            APP,
-            F.coalesce("position_count", F.lit(0)).alias("position_count"),
-            F.coalesce(monthly, F.lit(0.0)).alias("total_monthly_payment"),
-            F.when((average > 0) & monthly.isNotNull(), monthly / average * 100)
-            .otherwise(0.0)
-            .alias("burden_pct"),
-            F.when(monthly > 0, average / monthly)
-            .otherwise(fixed.NO_DEBT_COVERAGE)
-            .alias("coverage_ratio"),
-        )
+    return revenue.join(position_totals(positions), APP, "left").select(
+        *revenue.columns,
+        F.coalesce("position_count", F.lit(0)).alias("position_count"),
+        F.coalesce(monthly, F.lit(0.0)).alias("total_monthly_payment"),
+        F.when((average > 0) & monthly.isNotNull(), monthly / average * 100)
+        .otherwise(0.0)
+        .alias("burden_pct"),
+        F.when(monthly > 0, average / monthly)
+        .otherwise(fixed.NO_DEBT_COVERAGE)
+        .alias("coverage_ratio"),
     )
 
 
 def metrics(ledger: DataFrame, positions: DataFrame) -> DataFrame:
     """All metrics of the applications that have a ledger.
 
-    Every input of the joins is one row per application, already grouped by it.
+    The ledger is read four times (months, payers, deposits, references), so a caller stages
+    it. Every input of the joins is one row per application, already grouped by it.
     """
-    months = ledger_months(ledger)
-    revenue = revenue_series(months)
+    totals = application_totals(ledger_months(ledger))
     return (
-        deposit_stats(months, deposit_median(ledger))
-        .join(revenue, APP)
+        advance_burden(totals, positions)
+        .join(deposit_median(ledger), APP, "left")
         .join(revenue_concentration(ledger), APP, "left")
-        .join(advance_burden(revenue, positions), APP)
-        .join(payment_performance(months), APP)
         .join(wash_flags(wash_pairs(ledger)), APP, "left")
         .select(
             APP,
             "gross_deposits",
-            "median_deposit",
+            F.coalesce("median_deposit", F.lit(0.0)).alias("median_deposit"),
             "largest_deposit",
             "revenue_months",
             "avg_true_revenue",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cashlens.functions import rules
+from cashlens.operators.settle import settle
 
 LENDER = ["application_id", "lender"]
 
@@ -12,8 +13,9 @@ LENDER = ["application_id", "lender"]
 def lender_debits(debits: DataFrame) -> DataFrame:
     """Debit rows that pay a lender, with lender and tier."""
     return (
-        debits.withColumn("_lender", rules.lender_of(F.col("description")))
-        .where("_lender is not null")
+        settle(debits, {"_upper": F.upper("description")})
+        .where(rules.may_pay_lender(F.col("_upper")))
+        .withColumn("_lender", rules.lender_of("_upper"))
         .select(
             "application_id",
             "tx_date",
@@ -26,11 +28,11 @@ def lender_debits(debits: DataFrame) -> DataFrame:
 
 
 def lender_debit_dedup(debits: DataFrame) -> DataFrame:
-    """One row per (date, lender, amount) with a calendar date."""
+    """One row per (date, lender, amount) with a calendar date; a lender has one tier."""
     return (
         debits.where(F.col("tx_date").isNotNull())
-        .groupBy(*LENDER, "tx_date", "payment_amount")
-        .agg(F.min("tier").alias("tier"))
+        .select(*LENDER, "tier", "tx_date", "payment_amount")
+        .distinct()
     )
 
 
@@ -75,7 +77,7 @@ def usual_payment(payments: DataFrame) -> DataFrame:
 def positions(debits: DataFrame) -> DataFrame:
     """One row per lender: tier, usual payment, frequency, monthly equivalent."""
     payments = lender_debit_dedup(debits)
-    frequency = rules.payment_frequency(F.col("payments"), F.col("median_gap"))
+    frequency = rules.payment_frequency("payments", "median_gap")
     return (
         payment_gaps(payments)
         .join(usual_payment(payments), LENDER)
@@ -85,7 +87,7 @@ def positions(debits: DataFrame) -> DataFrame:
             "tier",
             "payment_amount",
             "frequency",
-            rules.monthly_equivalent(F.col("payment_amount"), F.col("frequency")).alias("monthly_payment"),
+            rules.monthly_equivalent("payment_amount", "frequency").alias("monthly_payment"),
         )
     )
 
@@ -118,7 +120,7 @@ def position_overrides(found: DataFrame, edits: DataFrame) -> DataFrame:
         "tier",
         F.col("_value").try_cast("decimal(18,2)").alias("payment_amount"),
         "frequency",
-        rules.monthly_equivalent(F.col("_value"), F.col("frequency")).alias("monthly_payment"),
+        rules.monthly_equivalent("_value", "frequency").alias("monthly_payment"),
     )
 
 

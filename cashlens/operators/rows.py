@@ -17,6 +17,7 @@ from cashlens.operators.lines import (
     is_kind,
 )
 from cashlens.operators.positions import lender_debits as pays_lender
+from cashlens.operators.settle import settle
 
 LEDGER_COLUMNS = [
     "application_id",
@@ -56,16 +57,6 @@ def _from_first(words: Column, accept) -> Column:
     return bind(words, rest)
 
 
-def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Adds columns that are computed once per row.
-
-    Later filters on them would otherwise be pushed down with a copy of the whole expression
-    for each use; an inlined one-row array stops that.
-    """
-    row = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
-    return df.select("*", F.inline(row))
-
-
 def band_split(lines: DataFrame) -> DataFrame:
     """Adds the description, debit and credit words of each line by horizontal position."""
     words = F.col("words")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cashlens.functions import fixed, rules
 from cashlens.sources.credit import with_credit_defaults
@@ -30,17 +28,19 @@ NO_LEDGER = {
 GRADE_SCHEMA = ["grade", "risk_tier", "advance_share", "max_burden_share"]
 
 
+IMPLIED_RECORDS = (
+    "CASE WHEN bankruptcies_found THEN 'Severe'"
+    " WHEN active_collections_count > 0 THEN 'Moderate' ELSE 'Clean' END"
+)
+
+
 def public_records_default(profiles: DataFrame) -> DataFrame:
     """Public-records class that a credit profile implies."""
-    return profiles.select(APP, _implied_records().alias("public_records"))
+    return profiles.selectExpr(APP, f"{IMPLIED_RECORDS} AS public_records")
 
 
-def _implied_records() -> Column:
-    return (
-        F.when(F.col("bankruptcies_found"), "Severe")
-        .when(F.col("active_collections_count") > 0, "Moderate")
-        .otherwise("Clean")
-    )
+def _sql(value: object) -> str:
+    return f"'{value}'" if isinstance(value, str) else str(value)
 
 
 def underwriting_inputs(
@@ -48,114 +48,87 @@ def underwriting_inputs(
 ) -> DataFrame:
     """One row per application: metrics, manual answers and credit profile, defaults filled in."""
     everyone = metrics.withColumn("_ledger", F.lit(True)).join(inputs, APP, "full_outer")
-    ready = with_credit_defaults(everyone, profiles)
-    no_volatility = F.when(F.col("_ledger").isNull(), 0.0).otherwise(F.col("revenue_volatility"))
+    defaults = {**NO_LEDGER, **fixed.INPUT_DEFAULTS}
     filled = {
-        **{name: F.coalesce(name, F.lit(value)) for name, value in NO_LEDGER.items()},
-        **{name: F.coalesce(name, F.lit(value)) for name, value in fixed.INPUT_DEFAULTS.items()},
-        "revenue_volatility": no_volatility,
-        "credit_score": F.coalesce("credit_score", "fico_score"),
-        "public_records": F.coalesce("public_records", _implied_records()),
-        "wash_flag": F.coalesce("wash_override", "wash_flag", F.lit(False)),
+        **{name: f"coalesce({name}, {_sql(value)})" for name, value in defaults.items()},
+        "revenue_volatility": "CASE WHEN _ledger IS NULL THEN 0 ELSE revenue_volatility END",
+        "credit_score": "coalesce(credit_score, fico_score)",
+        "public_records": f"coalesce(public_records, {IMPLIED_RECORDS})",
+        "wash_flag": "coalesce(wash_override, wash_flag, false)",
     }
+    ready = with_credit_defaults(everyone, profiles)
+    dropped = (APP, "_ledger", "wash_override")
+    kept = [f"{filled.get(c, c)} AS {c}" for c in ready.columns if c not in dropped]
     # The industry list has a fixed 70 rows.
     industry = F.broadcast(
-        industries.select(
-            F.col("rank").alias("industry_rank"),
-            "industry",
-            F.col("points").alias("industry_points"),
-            F.col("seasonality").alias("seasonality_points"),
+        industries.selectExpr(
+            "rank AS industry_rank", "industry", "points AS industry_points", "seasonality AS seasonality_points"
         )
     )
-    return ready.withColumns(filled).drop("_ledger", "wash_override").join(
-        industry, "industry_rank", "left"
-    )
-
-
-def hard_stop_reasons() -> Column:
-    stops = [
-        (F.col("fraud_suspected"), fixed.STOP_FRAUD),
-        (F.col("active_default"), fixed.STOP_DEFAULT),
-        (F.col("wash_flag"), fixed.STOP_WASH),
-        (F.col("avg_true_revenue") < fixed.MIN_AVG_REVENUE, fixed.STOP_REVENUE),
-    ]
-    return F.array_compact(F.array(*[F.when(stop, F.lit(reason)) for stop, reason in stops]))
+    return ready.selectExpr(APP, *kept).join(industry, "industry_rank", "left")
 
 
 def hard_stops(inputs: DataFrame) -> DataFrame:
     """Policy stops in order; any of them declines the application."""
-    return (
-        inputs.withColumn("_stops", hard_stop_reasons())
-        .withColumn("hard_stops", F.array_join("_stops", ", "))
-        .withColumn("decision", F.when(F.size("_stops") > 0, "Decline").otherwise("Scored"))
-        .drop("_stops")
+    stops = {
+        fixed.STOP_FRAUD: "fraud_suspected",
+        fixed.STOP_DEFAULT: "active_default",
+        fixed.STOP_WASH: "wash_flag",
+        fixed.STOP_REVENUE: f"avg_true_revenue < {fixed.MIN_AVG_REVENUE}",
+    }
+    reasons = ", ".join(f"CASE WHEN {stop} THEN '{reason}' END" for reason, stop in stops.items())
+    return inputs.selectExpr("*", f"concat_ws(', ', {reasons}) AS hard_stops").selectExpr(
+        "*", "CASE WHEN hard_stops = '' THEN 'Scored' ELSE 'Decline' END AS decision"
     )
 
 
-def component_points() -> dict[str, tuple[Column, Column]]:
-    """component -> (value scored, points)."""
-    average = F.col("avg_true_revenue")
-    balance_pct = F.when(average > 0, F.col("avg_daily_balance") / average * 100).otherwise(0.0)
-    trend = F.col("revenue_trend")
-    above, top_points = fixed.TREND_TOP
-
-    def at_least(name: str, value: Column) -> tuple[Column, Column]:
-        return value, rules.ladder_at_least(value, fixed.AT_LEAST_LADDERS[name])
-
-    def at_most(name: str, value: Column) -> tuple[Column, Column]:
-        return value, rules.ladder_at_most(value, fixed.AT_MOST_LADDERS[name])
-
-    def choice(name: str, value: Column) -> tuple[Column, Column]:
-        points, other = fixed.CHOICE_POINTS[name]
-        return value, rules.choice_points(value, points, other)
+def component_points() -> dict[str, tuple[str, str]]:
+    """component -> SQL of (value scored, points)."""
+    values = {
+        "revenue": "avg_true_revenue",
+        "trend": "revenue_trend",
+        "deposit_count": "deposit_count",
+        "volatility": "revenue_volatility",
+        "daily_balance": "CASE WHEN avg_true_revenue > 0"
+        " THEN avg_daily_balance / avg_true_revenue * 100 ELSE 0 END",
+        "positions": "position_count",
+        "burden": "burden_pct",
+        "funding_velocity": "borrowing_velocity",
+        "payment_performance": "payment_performance",
+        "negative_days": "negative_days",
+        "months_in_business": "months_in_business",
+        "industry": "industry_points",
+        "seasonality": "seasonality_points",
+        "credit_score": "credit_score",
+        "public_records": "public_records",
+        "verification": "bank_verification",
+        "concentration": "revenue_concentration",
+    }
 
-    def listed(name: str) -> tuple[Column, Column]:
-        return F.col(name), F.coalesce(name, F.lit(0))
+    def points(name: str, value: str) -> str:
+        if name in fixed.AT_LEAST_LADDERS:
+            return rules.ladder(value, ">=", fixed.AT_LEAST_LADDERS[name])
+        if name in fixed.AT_MOST_LADDERS:
+            return rules.ladder(value, "<=", fixed.AT_MOST_LADDERS[name])
+        if name in fixed.CHOICE_POINTS:
+            return rules.choice_points(value, *fixed.CHOICE_POINTS[name])
+        if name == "trend":
+            above, top = fixed.TREND_TOP
+            below = rules.ladder(value, ">=", fixed.TREND_LADDER)
+            return f"CASE WHEN {value} > {above} THEN {top} ELSE {below} END"
+        return f"coalesce({value}, 0)"
 
-    trend_points = F.when(trend > above, top_points).otherwise(
-        rules.ladder_at_least(trend, fixed.TREND_LADDER)
-    )
-    return {
-        "revenue": at_least("revenue", average),
-        "trend": (trend, trend_points),
-        "deposit_count": at_least("deposit_count", F.col("deposit_count")),
-        "volatility": at_most("volatility", F.col("revenue_volatility")),
-        "daily_balance": at_least("daily_balance", balance_pct),
-        "positions": at_most("positions", F.col("position_count")),
-        "burden": at_most("burden", F.col("burden_pct")),
-        "funding_velocity": choice("funding_velocity", F.col("borrowing_velocity")),
-        "payment_performance": at_most("payment_performance", F.col("payment_performance")),
-        "negative_days": at_most("negative_days", F.col("negative_days")),
-        "months_in_business": at_least("months_in_business", F.col("months_in_business")),
-        "industry": listed("industry_points"),
-        "seasonality": listed("seasonality_points"),
-        "credit_score": at_least("credit_score", F.col("credit_score")),
-        "public_records": choice("public_records", F.col("public_records")),
-        "verification": choice("verification", F.col("bank_verification")),
-        "concentration": at_most("concentration", F.col("revenue_concentration")),
-    }
+    return {name: (value, points(name, value)) for name, value in values.items()}
 
 
 def score_components(stopped: DataFrame) -> DataFrame:
     """Points per component of the applications without a hard stop, in long form."""
-    component = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("component"),
-                    value.cast("string").alias("value"),
-                    points.alias("points"),
-                    F.lit(name not in fixed.UNCOUNTED_COMPONENTS).alias("counted"),
-                )
-                for name, (value, points) in component_points().items()
-            ]
-        )
-    )
-    return (
-        stopped.where("decision = 'Scored'")
-        .select(APP, component.alias("c"))
-        .select(APP, "c.component", "c.value", "c.points", "c.counted")
+    entries = ", ".join(
+        f"named_struct('component', '{name}', 'value', CAST({value} AS STRING), 'points', {points},"
+        f" 'counted', {str(name not in fixed.UNCOUNTED_COMPONENTS).lower()})"
+        for name, (value, points) in component_points().items()
     )
+    return stopped.where("decision = 'Scored'").selectExpr(APP, f"inline(array({entries}))")
 
 
 def score(stopped: DataFrame, score_mode: str = "reference") -> DataFrame:
@@ -164,41 +137,41 @@ def score(stopped: DataFrame, score_mode: str = "reference") -> DataFrame:
         raise ValueError(f"score_mode must be 'reference' or 'full', not {score_mode!r}")
     points = {name: p for name, (_, p) in component_points().items()}
     counted = [p for name, p in points.items() if name not in fixed.UNCOUNTED_COMPONENTS]
-    scored = F.col("decision") == "Scored"
 
-    def total(columns: list[Column]) -> Column:
-        return F.when(scored, reduce(lambda a, b: a + b, columns))
+    def total(parts: list[str]) -> str:
+        return f"CASE WHEN decision = 'Scored' THEN {' + '.join(parts)} END"
 
-    return (
-        stopped.withColumn("score_reference", total(counted))
-        .withColumn("score_full", total(list(points.values())))
-        .withColumn("score", F.col(f"score_{score_mode}"))
-    )
+    return stopped.selectExpr(
+        "*", f"{total(counted)} AS score_reference", f"{total(list(points.values()))} AS score_full"
+    ).selectExpr("*", f"score_{score_mode} AS score")
 
 
 def grade(scored: DataFrame) -> DataFrame:
     """Grade, risk tier and policy shares of a score; null without a score."""
 
-    def policy(values: tuple) -> Column:
-        return F.struct(*[F.lit(v).alias(n) for n, v in zip(GRADE_SCHEMA, values)])
+    def policy(values: tuple) -> str:
+        fields = ", ".join(
+            f"'{n}', {_sql(v)}{'D' if isinstance(v, float) else ''}" for n, v in zip(GRADE_SCHEMA, values)
+        )
+        return f"named_struct({fields})"
 
-    chain = F.when(F.col("score").isNull(), None)
-    for lowest, *values in fixed.GRADES:
-        chain = chain.when(F.col("score") >= lowest, policy(tuple(values)))
-    graded = scored.withColumn("_grade", chain.otherwise(policy(fixed.LOWEST_GRADE)))
-    return graded.select(*scored.columns, *[F.col(f"_grade.{n}").alias(n) for n in GRADE_SCHEMA])
+    steps = " ".join(
+        f"WHEN score >= {lowest} THEN {policy(tuple(values))}" for lowest, *values in fixed.GRADES
+    )
+    found = f"CASE WHEN score IS NOT NULL THEN CASE {steps} ELSE {policy(fixed.LOWEST_GRADE)} END END"
+    return scored.selectExpr("*", f"{found} AS _grade").selectExpr(
+        *scored.columns, *[f"_grade.{n} AS {n}" for n in GRADE_SCHEMA]
+    )
 
 
 def offer(graded: DataFrame) -> DataFrame:
     """Offer limits from average revenue, policy shares and the burden already carried."""
-    average = F.col("avg_true_revenue")
-    free = average * F.col("max_burden_share") - average * (F.col("burden_pct") / 100)
-    capacity = F.when(F.col("grade").isNotNull(), F.greatest(F.lit(0.0), free))
-    return (
-        graded.withColumn("max_advance", average * F.col("advance_share"))
-        .withColumn("remaining_capacity", capacity)
-        .withColumn("daily_payment", F.col("remaining_capacity") / fixed.BUSINESS_DAYS)
-    )
+    free = "avg_true_revenue * max_burden_share - avg_true_revenue * (burden_pct / 100)"
+    return graded.selectExpr(
+        "*",
+        "avg_true_revenue * advance_share AS max_advance",
+        f"CASE WHEN grade IS NOT NULL THEN greatest(0D, {free}) END AS remaining_capacity",
+    ).selectExpr("*", f"remaining_capacity / {fixed.BUSINESS_DAYS} AS daily_payment")
 
 
 def scorecard(

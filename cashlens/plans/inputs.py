@@ -6,6 +6,8 @@ oracle uses the same text as leading CTEs.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 TABLES = ["customer", "orders", "lineitem", "documents", "conversations"]
@@ -197,16 +199,23 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        for table in TABLES:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        self._sf_dir = sf_dir
+        self._known: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name not in VIEWS:
+        if name not in VIEWS and name not in TABLES:
             raise AttributeError(name)
-        # Views resolve their sources when they are read, so earlier views come first.
-        for view, text in VIEWS.items():
-            df = words_in_one_pass(self.spark.table("ledger")) if view == "words" else self.spark.sql(text)
-            df.createOrReplaceTempView(view)
-            if view == name:
-                return self.spark.table(view)
-        raise AttributeError(name)
+        if name not in self._known:
+            self._known[name] = self._table(name) if name in TABLES else self._view(name)
+        return self._known[name]
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self._sf_dir}/{name}.parquet")
+
+    def _view(self, name: str) -> DataFrame:
+        if name == "words":
+            return words_in_one_pass(self.ledger)
+        for source in set(re.findall(r"(?:FROM|JOIN)\s+(\w+)", VIEWS[name])):
+            if source in VIEWS or source in TABLES:
+                getattr(self, source).createOrReplaceTempView(source)
+        return self.spark.sql(VIEWS[name])

@@ -276,7 +276,7 @@ FROM requested JOIN (SELECT application_id, CAST(ceil(count(*) / 3) AS BIGINT) A
     "label_responses": "SELECT * FROM given",
     "industry_lookup": f"SELECT application_id, industry, {_long('points', 'points')}, {_long('seasonality', 'seasonality')} FROM application_inputs JOIN industries ON industry_rank = rank",
     "lender_variant_match": f"""
-SELECT variant, lender, tier, {_long('rank', 'rank')}, count(*) AS ledger_rows FROM ledger JOIN lenders ON {_variant_matches} GROUP BY ALL""",
+SELECT variant, lender, tier, {_long('rank', 'rank')}, {_long('sum(n)', 'ledger_rows')} FROM (SELECT description, count(*) AS n FROM ledger GROUP BY description) JOIN lenders ON {_variant_matches} GROUP BY ALL""",
     "word_dedup": f"SELECT {_line_key}, {_long('word_seq', 'word_seq')}, x0, top, text FROM statement_words",
     "line_grouping": f"""
 SELECT {_line_key}, row_number() OVER (PARTITION BY application_id, page_no ORDER BY top) AS line_no,

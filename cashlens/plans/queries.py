@@ -23,7 +23,8 @@ from cashlens.operators import (
     summary,
     wash,
 )
-from cashlens.plans import extract
+from cashlens.operators.settle import settle
+from cashlens.plans import extract, staging
 from cashlens.plans.inputs import Inputs
 from cashlens.sources import credit, dimensions, files, labels, words
 
@@ -79,7 +80,7 @@ def found_positions(i: Inputs) -> DataFrame:
 
 
 def all_metrics(i: Inputs) -> DataFrame:
-    return metrics.metrics(classified_ledger(i), found_positions(i))
+    return metrics.metrics(staging.stage(classified_ledger(i), "ledger"), found_positions(i))
 
 
 def all_inputs(i: Inputs) -> DataFrame:
@@ -94,6 +95,10 @@ def months_of(i: Inputs) -> DataFrame:
     return summary.ledger_months(classified_ledger(i))
 
 
+def totals_of(i: Inputs) -> DataFrame:
+    return metrics.application_totals(months_of(i))
+
+
 def statement_texts(i: Inputs) -> DataFrame:
     return files.file_text(i.statement_text)
 
@@ -292,8 +297,7 @@ def parse_date(i: Inputs) -> DataFrame:
     found = dates.line_date(F.col("line"))
     text = dates.date_text(F.col("d"), F.lit("2021"))
     return (
-        dated_lines(i)
-        .withColumn("d", found)
+        settle(dated_lines(i), {"d": found})
         .where("d is not null")
         .select("application_id", "line_no", text.alias("date_text"), dates.month_text(text).alias("month"))
         .withColumn("tx_date", dates.calendar_date(F.col("date_text")))
@@ -582,11 +586,9 @@ def frequency(i: Inputs) -> DataFrame:
 @query
 def monthly_equiv(i: Inputs) -> DataFrame:
     """Monthly equivalent of edited amounts, some of which are no numbers."""
-    text = F.when(F.col("application_id") % 5 == 0, "n/a").otherwise(
-        F.col("payment_amount").cast("string")
-    )
+    text = "CASE WHEN application_id % 5 = 0 THEN 'n/a' ELSE CAST(payment_amount AS STRING) END"
     return found_positions(i).select(
-        "application_id", "lender", rules.monthly_equivalent(text, F.col("frequency")).alias("monthly_payment")
+        "application_id", "lender", rules.monthly_equivalent(text, "frequency").alias("monthly_payment")
     )
 
 
@@ -698,24 +700,24 @@ def loan_columns(i: Inputs) -> DataFrame:
 
 @query
 def deposit_stats(i: Inputs) -> DataFrame:
-    return metrics.deposit_stats(months_of(i), metrics.deposit_median(classified_ledger(i)))
+    return metrics.deposit_stats(totals_of(i), metrics.deposit_median(classified_ledger(i)))
 
 
 @query
 def revenue_series(i: Inputs) -> DataFrame:
-    return metrics.revenue_series(months_of(i)).select(
+    return totals_of(i).select(
         "application_id", "revenue_months", "avg_true_revenue", "deposit_count"
     )
 
 
 @query
 def revenue_volatility(i: Inputs) -> DataFrame:
-    return metrics.revenue_series(months_of(i)).select("application_id", "revenue_volatility")
+    return totals_of(i).select("application_id", "revenue_volatility")
 
 
 @query
 def revenue_trend(i: Inputs) -> DataFrame:
-    return metrics.revenue_series(months_of(i)).select("application_id", "revenue_trend")
+    return totals_of(i).select("application_id", "revenue_trend")
 
 
 @query
@@ -725,12 +727,13 @@ def revenue_concentration(i: Inputs) -> DataFrame:
 
 @query
 def advance_burden(i: Inputs) -> DataFrame:
-    return metrics.advance_burden(metrics.revenue_series(months_of(i)), found_positions(i))
+    average = totals_of(i).select("application_id", "avg_true_revenue")
+    return metrics.advance_burden(average, found_positions(i)).drop("avg_true_revenue")
 
 
 @query
 def payment_performance(i: Inputs) -> DataFrame:
-    return metrics.payment_performance(months_of(i)).drop("wash_rows")
+    return totals_of(i).select("application_id", "payment_performance")
 
 
 @query

@@ -14,9 +14,12 @@ RESPONSE_SCHEMA = "mappings array<struct<description string, category string>>"
 def label_requests(ledger: DataFrame) -> DataFrame:
     """One row per unresolved description of an application, with its largest amount."""
     return (
-        ledger.where(rules.rule_category(F.col("description")).isNull())
-        .groupBy("application_id", "description")
+        ledger.groupBy("application_id", "description")
         .agg(F.max("amount").alias("max_amount"))
+        .withColumn("_upper", F.upper("description"))
+        .withColumn("_rule", rules.rule_category(F.col("_upper")))
+        .where("_rule is null")
+        .drop("_upper", "_rule")
     )
 
 

@@ -12,6 +12,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 TESTDATA = "/root/testdata"
+SPARK_SECONDS: dict[str, float] = {}
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -36,12 +37,15 @@ def difference(spark, con, sf_dir: str, name: str) -> str | None:
     """None when equal, else what differs."""
     from __spark_entry__ import oracle_sql, queries
 
+    started = time.time()
     df = queries()[name](spark, sf_dir)
+    spark_rows = df.collect()
+    SPARK_SECONDS[name] = time.time() - started
     result = con.execute(oracle_sql()[name])
     columns = [d[0] for d in result.description]
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}"
-    got, want = rows_of(df.columns, df.collect()), rows_of(columns, result.fetchall())
+    got, want = rows_of(df.columns, spark_rows), rows_of(columns, result.fetchall())
     if got == want:
         return None
     return (
@@ -80,5 +84,6 @@ if __name__ == "__main__":
         except Exception as error:  # show the failing query and go on
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         bad += problem is not None and problem != "no SQL"
-        print(f"{name:28} {time.time() - started:6.1f}s {problem or 'ok'}", flush=True)
+        seconds = f"{SPARK_SECONDS.get(name, 0):.1f} of {time.time() - started:.1f}"
+        print(f"{name:28} {seconds:>14}s {problem or 'ok'}", flush=True)
     print("different:", bad)
