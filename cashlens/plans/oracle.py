@@ -449,6 +449,20 @@ FROM reference_offers JOIN scores USING (application_id)""",
 }
 
 
+_money = "CAST(CAST({0} AS DECIMAL(28,2)) AS STRING)".format
+QUERIES["diagnostics"] = f"""
+SELECT application_id, file_name, CAST(NULL AS BIGINT) AS page_no, 'duplicate_file' AS code, 'same bytes as ' || duplicate_of AS message
+FROM ({QUERIES["file_dedup"]}) WHERE duplicate_of IS NOT NULL
+UNION ALL SELECT application_id, file_name, NULL, CASE WHEN anchor_method IS NOT NULL THEN 'anchor_found' WHEN implied_total >= 0 THEN 'anchor_from_balances'
+  WHEN implied_total < 0 THEN 'anchor_negative' ELSE 'anchor_missing' END, CASE WHEN anchor_method IS NOT NULL THEN anchor_method || ' = ' || {_money("anchor_total")}
+  WHEN implied_total IS NOT NULL THEN {_money("closing")} || ' - ' || {_money("opening")} || ' + ' || {_money("debits")} || ' = ' || {_money("implied_total")}
+  ELSE 'no deposit total and no pair of balances' END FROM implied
+UNION ALL SELECT application_id, NULL, NULL, 'duplicate_rows', CAST(rows_removed AS STRING) || ' removed' FROM ({QUERIES["removed_duplicates"]}) WHERE rows_removed > 0
+UNION ALL SELECT application_id, NULL, NULL, 'wash', CAST(CAST(round_trips AS BIGINT) AS STRING) || ' round trips' FROM washes WHERE wash_detected
+UNION ALL SELECT application_id, file_name, NULL, 'no_text', 'no text; scanned or damaged' FROM text_pages GROUP BY application_id, file_name
+  HAVING trim(string_agg(coalesce(text, ''), ''), ' ' || chr(9) || chr(10) || chr(13)) = ''"""
+
+
 def _used(sql: str, sources: dict[str, str]) -> list[str]:
     """Views that a text reads."""
     tables = "|".join(sources)

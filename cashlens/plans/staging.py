@@ -12,10 +12,11 @@ SETTING = "spark.checkpoint.dir"
 
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local folder only where none is named."""
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    context = spark.sparkContext
+    folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="cashlens-")
-        spark.conf.set(SETTING, folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="cashlens-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
