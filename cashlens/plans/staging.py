@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+PREFIX = "cashlens_staged_"
 
 
 def staging_dir(spark: SparkSession) -> str:
@@ -33,16 +34,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def stage_bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Like `stage`, keeping the partitioning by `keys` for later joins and groupings on them."""
+    """Like `stage`, keeping the partitioning by `keys` for later joins and groupings on them.
+
+    `df` should come partitioned by `keys` already, as it does after a window or grouping on
+    them: with as many buckets as shuffle partitions every bucket is then written by one task,
+    without another shuffle.
+    """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = _place(spark, name)
-    table = path.rsplit("/", 1)[1]
-    (
-        df.repartition(buckets, *keys)
-        .write.bucketBy(buckets, *keys)
-        .option("path", path)
-        .format("parquet")
-        .saveAsTable(table)
-    )
+    table = PREFIX + path.rsplit("/", 1)[1]
+    df.write.bucketBy(buckets, *keys).option("path", path).format("parquet").saveAsTable(table)
     return spark.table(table)
+
+
+def forget_staged(spark: SparkSession) -> None:
+    """Drop the catalog entries of bucketed tables; files stay for the folder's own retention."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith(PREFIX):
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cashlens.operators import layout, rows
 from cashlens.plans import pipeline, staging
-from cashlens.plans.extract import extract
+from cashlens.plans.extract import extract, text_lines
 from cashlens.plans.inputs import WORDS, Inputs
 
 SF = "/root/testdata/sf0.001"
@@ -192,9 +192,21 @@ def test_staging_uses_the_shared_folder(spark):
     named = spark.conf.get(staging.SETTING, None)
     folder = staging.staging_dir(spark)
     assert folder == named or named is None
-    df = staging.stage_bucketed(spark.range(10), "numbers", ["id"])
+    df = staging.stage_bucketed(spark.range(10).repartition("id"), "numbers", ["id"])
     assert sum(r.id for r in df.collect()) == 45
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(df.inputFiles()) <= buckets
     assert all(folder in file for file in df.inputFiles())
     # The bucketed side of a join on its keys is not shuffled again.
     plan = df.join(spark.range(5).hint("shuffle_hash"), "id")._jdf.queryExecution().toString()
     assert plan.split("Physical Plan")[1].count("Exchange hashpartitioning") == 1
+    staging.forget_staged(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(staging.PREFIX)]
+
+
+def test_lines_are_staged_without_a_third_shuffle(spark):
+    inputs = Inputs(spark, SF)
+    words = staging.stage(inputs.statement_words, "words")
+    plan = text_lines(words)._jdf.queryExecution().executedPlan().toString()
+    # One to drop copies, one to bring pages together.
+    assert plan.count("Exchange hashpartitioning") == 2
