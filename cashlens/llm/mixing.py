@@ -134,3 +134,16 @@ def mix(
         repeats.alias("repeats"),
         (repeats * F.col("size")).alias("taken"),
     )
+
+
+def draw(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The documents, with all their columns, in as many rows as the mix takes each. Needs distinct ids.
+
+    Rows that repeat an id are each taken as often as the most taken of them. Documents that the mix leaves out, and
+    those without words, give no row.
+    """
+    mixed = mix(docs, id_col=id_col, **how).filter("repeats > 0")
+    mixed = mixed.groupBy(F.col(id_col).alias("_of")).agg(F.max("repeats").cast("int").alias("_repeats"))
+    joined = docs.join(mixed, docs[id_col].eqNullSafe(mixed["_of"]))
+    times = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), mixed["_repeats"])).alias("_time"))
+    return times.drop("_time")

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashlens.llm import exact, mixing, near
+from cashlens.llm import exact, htmltext, mixing, near, pieces, pii, quality, sitelines, vectors, warc
 
 _shipped: set[str] = set()
 
@@ -42,12 +42,56 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_components(read(spark, sf_dir, "documents"), width=4)
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(read(spark, sf_dir, "pages"))
+
+
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_round_trip(read(spark, sf_dir, "pages"))
+    again = F.col("type") == "revisit"
+    return records.select(
+        "page_id",
+        F.when(again, F.col("stated_length")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"),
+        F.when(again, F.col("stated_digest")).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.when(again, F.col("refers_to_page")).alias("refers_to"),
+        "fault",
+    )
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitelines.drop_spread_lines(read(spark, sf_dir, "documents"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op4_near_dedup": op4_near_dedup,
+    "op5_personal_data": op5_personal_data,
+    "op6_main_text": op6_main_text,
+    "op7_near_vectors": op7_near_vectors,
+    "op8_warc": op8_warc,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_pieces": op10_pieces,
 }
