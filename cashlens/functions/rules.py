@@ -129,7 +129,7 @@ def contained_transfer_refs(text: Column) -> Column:
 def monthly_equivalent(amount: str, frequency: str) -> Column:
     """Payment amount times payments per month; text that is no number counts as 0."""
     factors = " ".join(f"WHEN '{n}' THEN {f}D" for n, f in fixed.PAYMENTS_PER_MONTH.items())
-    value = f"coalesce(try_cast({amount} AS DOUBLE), 0D)"
+    value = f"coalesce(nanvl(try_cast({amount} AS DOUBLE), 0D), 0D)"
     return F.expr(f"{value} * CASE {frequency} {factors} ELSE 1D END")
 
 

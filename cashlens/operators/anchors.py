@@ -14,10 +14,8 @@ TOTAL_TYPE = "decimal(28,2)"
 
 def file_facts(texts: DataFrame) -> DataFrame:
     """What the layout steps need to know of a file: its year and its date layout."""
-    order = [c for c in ("upload_seq",) if c in texts.columns]
     return texts.select(
         *FILE,
-        *order,
         dates.statement_year(F.col("text")).alias("year"),
         F.upper("text").contains(fixed.NUMERIC_LAYOUT_BANK).alias("numeric_layout"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cashlens.functions import fixed, rules
 from cashlens.functions.text import label_key
+from cashlens.operators.skew import latest_per_key
 
 
 def rule_categories(ledger: DataFrame) -> DataFrame:
@@ -17,7 +18,9 @@ def rule_categories(ledger: DataFrame) -> DataFrame:
 def apply_labels(ledger: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Unresolved rows take their label, else they are sent to review.
 
-    `labels` has label_key and category, and application_id if labels differ by application.
+    `labels` has label_key and category, application_id if labels differ by application, and seq
+    if a key may be answered again: the answer with the highest number counts. Categories outside
+    the list are no answers.
     No broadcast hint: Spark broadcasts the labels when they are small, and otherwise sorts
     and merges, splitting a hot description at run time.
     """
@@ -25,7 +28,8 @@ def apply_labels(ledger: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return ledger.withColumn("category", F.coalesce("category", unidentified))
     keys = [k for k in ("application_id", "label_key") if k in labels.columns]
-    lookup = labels.select(*keys, F.col("category").alias("_label"))
+    known = labels.where(F.col("category").isin(fixed.LABEL_CATEGORIES))
+    lookup = latest_per_key(known, keys).select(*keys, F.col("category").alias("_label"))
     return (
         ledger.withColumn("label_key", label_key(F.col("description")))
         .join(lookup, keys, "left")

@@ -85,7 +85,7 @@ def line_states(lines: DataFrame) -> DataFrame:
 def page_states(lines: DataFrame, files: DataFrame) -> DataFrame:
     """State with which each page of the given files starts.
 
-    `files` has application_id, file_name, upload_seq, year, numeric_layout; pages of other
+    `files` has FILE, year, numeric_layout; pages of other
     files (duplicates, files without text) drop out.
     """
     heading = F.col("balance_x")
@@ -105,7 +105,6 @@ def page_states(lines: DataFrame, files: DataFrame) -> DataFrame:
     date = F.when(F.col("numeric_layout"), F.col("either_before")).otherwise(F.col("worded_before"))
     return carried.join(files, FILE).select(
         *PAGE,
-        "upload_seq",
         "year",
         "numeric_layout",
         F.coalesce("balance", "balance_before").alias("page_balance"),
@@ -134,7 +133,6 @@ def placed_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return stated.select(
         *PAGE,
         "line_no",
-        "upload_seq",
         "words",
         "line",
         "numeric_layout",

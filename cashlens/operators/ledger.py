@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from cashlens.operators.skew import first_per_key
 
 LEDGER_KEY = ["application_id", "tx_date", "amount", "description", "tx_type"]
-FILE_ORDER = ["upload_seq", "page_no", "line_no"]
+FILE_ORDER = ["upload_seq", "source_file", "page_no", "line_no"]
 
 
 def _identity(ledger: DataFrame) -> list[str]:

@@ -14,18 +14,21 @@ from cashlens.functions.text import strip
 MONTH_NAME, AMOUNT_LIKE, HAS_DIGIT, SHORT_NUMBER = 1, 2, 4, 8
 BALANCE_HEADING, DEBIT_HEADING, CREDIT_HEADING = 16, 32, 64
 
-FILE = ["application_id", "file_name"]
+# A name may be uploaded again with other content: the number of the upload is part of a file's identity.
+FILE = ["application_id", "file_name", "upload_seq"]
 PAGE = [*FILE, "page_no"]
 
 
 def word_dedup(words: DataFrame) -> DataFrame:
     """First word of each (rounded position, text) on a page; blank words drop out.
 
-    Hash aggregation on numbers only: copies collapse before the shuffle.
+    Words are brought together by page before they are grouped: `line_grouping` then finds them
+    in place, and no other shuffle of the words follows.
     """
     return (
         words.withColumn("text", strip(F.col("text")))
         .where("text <> ''")
+        .repartition(*PAGE)
         .groupBy(*PAGE, F.bround("x0", 1).alias("_x"), F.bround("top", 1).alias("_top"), "text")
         .agg(
             F.min("word_seq").alias("word_seq"),
@@ -58,15 +61,14 @@ def is_kind(word: Column, bits: int) -> Column:
 def line_grouping(words: DataFrame) -> DataFrame:
     """One row per text line: its words from left to right, its text and the next line's.
 
-    Pages are brought together once; lines, line numbers and the look-ahead all use that
-    partitioning. A page is bounded by its paper: 4,115 line positions at most.
+    Takes words as `word_dedup` leaves them, partitioned by page: lines, line numbers and the
+    look-ahead all use that partitioning. A page is bounded by its paper: 4,115 line positions at most.
     """
     y_key = F.rint(F.col("top") / fixed.LINE_PITCH) * fixed.LINE_PITCH
     order = Window.partitionBy(*PAGE).orderBy("y_key")
     word = F.struct("x0", "word_seq", "text", "kind")
     return (
         words.withColumn("kind", word_kind(F.col("text")))
-        .repartition(*PAGE)
         .groupBy(*PAGE, y_key.alias("y_key"))
         .agg(F.sort_array(F.collect_list(word)).alias("words"))
         .withColumn("line", F.array_join("words.text", " "))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cashlens.functions import rules
 from cashlens.operators.settle import settle
+from cashlens.operators.skew import latest_per_key
 
 LENDER = ["application_id", "lender"]
 
@@ -96,9 +97,10 @@ def position_overrides(found: DataFrame, edits: DataFrame) -> DataFrame:
     """Apply an analyst's edits: change, add or (removed = true) drop positions.
 
     Edits have application_id, lender, tier, payment_amount (text allowed), frequency,
-    removed; null fields keep the found value.
+    removed; null fields keep the found value. Of several edits of a lender the one with the
+    highest seq counts, if there is such a column.
     """
-    edited = edits.select(
+    edited = latest_per_key(edits, LENDER).select(
         *LENDER,
         F.col("tier").alias("_tier"),
         F.col("payment_amount").cast("string").alias("_amount"),

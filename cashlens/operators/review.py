@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cashlens.functions import fixed
 from cashlens.operators.ledger import LEDGER_KEY
+from cashlens.operators.skew import latest_per_key
 
 GROUP = ["application_id", "category", "payer_or_source"]
 
@@ -33,7 +34,7 @@ def reconcile(ledger: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def filter_options(ledger: DataFrame) -> DataFrame:
-    """Months and categories a reviewer can pick, per application, sorted."""
+    """Months and categories a reviewer can pick, per application."""
     option = F.explode(
         F.array(
             F.struct(F.lit("month").alias("kind"), F.col("month").alias("value")),
@@ -45,7 +46,6 @@ def filter_options(ledger: DataFrame) -> DataFrame:
         .select("application_id", "o.kind", "o.value")
         .where("value is not null")
         .distinct()
-        .orderBy("application_id", "kind", "value")
     )
 
 
@@ -58,8 +58,11 @@ def ledger_filter(ledger: DataFrame, month: str = "All", category: str = "All")
 
 
 def row_override(ledger: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Set is_revenue on single rows (ledger key + is_revenue); review flags stay."""
-    edits = overrides.select(
+    """Set is_revenue on single rows (ledger key + is_revenue); review flags stay.
+
+    Of several edits of a row the one with the highest seq counts, if there is such a column.
+    """
+    edits = latest_per_key(overrides, LEDGER_KEY).select(
         *[F.col(k).alias(f"_{k}") for k in LEDGER_KEY], F.col("is_revenue").alias("_set")
     )
     same = [ledger[k].eqNullSafe(edits[f"_{k}"]) for k in LEDGER_KEY]
@@ -92,10 +95,11 @@ def _group_states(ledger: DataFrame) -> DataFrame:
 def group_override(ledger: DataFrame, overrides: DataFrame) -> DataFrame:
     """Set is_revenue on whole (category, payer) groups in which any row differs.
 
-    Such a group also leaves review when it is set to true. Groups are compared after being
+    Such a group also leaves review when it is set to true. Of several edits of a group the one
+    with the highest seq counts, if there is such a column. Groups are compared after being
     counted, so only the groups that change are joined back to the rows.
     """
-    wanted = overrides.select(*GROUP, F.col("is_revenue").alias("_set"))
+    wanted = latest_per_key(overrides, GROUP).select(*GROUP, F.col("is_revenue").alias("_set"))
     changes = (
         _group_states(ledger)
         .join(wanted, GROUP)
@@ -116,7 +120,7 @@ def group_mode_normalise(ledger: DataFrame) -> DataFrame:
 
 
 def category_payer_summary(ledger: DataFrame) -> DataFrame:
-    """Total, row count and prevailing is_revenue per (category, payer), largest total first."""
+    """Total, row count and prevailing is_revenue per (category, payer)."""
     return (
         ledger.where("category is not null and payer_or_source is not null")
         .groupBy(*GROUP)
@@ -125,7 +129,6 @@ def category_payer_summary(ledger: DataFrame) -> DataFrame:
             F.count("amount").alias("row_count"),
             (F.count_if(F.col("is_revenue")) > F.count_if(~F.col("is_revenue"))).alias("is_revenue"),
         )
-        .orderBy("application_id", F.desc("total"))
     )
 
 

@@ -121,7 +121,6 @@ def statement_rows(lines: DataFrame) -> DataFrame:
         .select(
             *PAGE,
             "line_no",
-            "upload_seq",
             "date_text",
             dates.calendar_date(F.col("date_text")).alias("tx_date"),
             dates.month_text(F.col("date_text")).alias("month"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cashlens.functions import fixed, rules
+from cashlens.operators.skew import latest_per_key
 from cashlens.sources.credit import with_credit_defaults
 
 APP = "application_id"
@@ -47,7 +48,7 @@ def underwriting_inputs(
     metrics: DataFrame, inputs: DataFrame, profiles: DataFrame, industries: DataFrame
 ) -> DataFrame:
     """One row per application: metrics, manual answers and credit profile, defaults filled in."""
-    everyone = metrics.withColumn("_ledger", F.lit(True)).join(inputs, APP, "full_outer")
+    everyone = metrics.withColumn("_ledger", F.lit(True)).join(latest_per_key(inputs, [APP]).drop("seq"), APP, "full_outer")
     defaults = {**NO_LEDGER, **fixed.INPUT_DEFAULTS}
     filled = {
         **{name: f"coalesce({name}, {_sql(value)})" for name, value in defaults.items()},

@@ -15,6 +15,17 @@ def first_per_key(df: DataFrame, keys: list[str | Column], order: list[Column])
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def latest_per_key(df: DataFrame, keys: list[str], sequence: str = "seq") -> DataFrame:
+    """One row per key: the one with the highest `sequence`, if there is such a column.
+
+    Equal or absent numbers fall back to the other columns' order, so the choice never depends
+    on how rows are read.
+    """
+    first = [F.desc_nulls_last(sequence)] if sequence in df.columns else []
+    rest = [F.desc_nulls_last(c) for c in sorted(df.columns) if c not in keys and c != sequence]
+    return first_per_key(df, keys, first + rest or [F.lit(1)])
+
+
 def carry_forward(
     df: DataFrame, keys: list[str], position: str, values: list[str], block_size: int
 ) -> DataFrame:
@@ -25,7 +36,8 @@ def carry_forward(
     Each value comes back as `<name>_before`.
     """
     block = F.floor(F.col(position) / block_size)
-    df = df.withColumn("_block", block)
+    # Both branches below start from this one exchange, so `df` is computed once.
+    df = df.withColumn("_block", block).repartition(*keys, "_block")
     inside = (
         Window.partitionBy(*keys, "_block")
         .orderBy(position)

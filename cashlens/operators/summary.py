@@ -35,7 +35,7 @@ def ledger_months(ledger: DataFrame) -> DataFrame:
 
 
 def monthly_summary(months: DataFrame, positions: DataFrame) -> DataFrame:
-    """Deposits, revenue and loan payments per month, latest month first.
+    """Deposits, revenue and loan payments per month.
 
     The loan columns describe the application and are the same in each of its months.
     """
@@ -55,5 +55,4 @@ def monthly_summary(months: DataFrame, positions: DataFrame) -> DataFrame:
             (F.coalesce("position_count", F.lit(0)) * fixed.LOAN_DEBITS_PER_POSITION).alias("loan_debits"),
             F.coalesce("total_monthly_payment", F.lit(0.0)).alias("total_loan_debits"),
         )
-        .orderBy("application_id", F.desc("month"))
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from cashlens.operators import anchors, layout, lines, rows
-from cashlens.operators.lines import PAGE
+from cashlens.operators.lines import FILE, PAGE
 from cashlens.plans.staging import stage_bucketed
-from cashlens.sources.files import file_text
+from cashlens.sources.files import file_text, numbered
 
 
 @dataclass
@@ -27,22 +27,29 @@ def processed_files(pages: DataFrame, registry: DataFrame | None = None) -> Data
     """
     texts = file_text(pages)
     if registry is None:
-        return texts.withColumn("upload_seq", F.lit(1))
-    kept = registry.where("duplicate_of is null").select("application_id", "file_name", "upload_seq")
-    return texts.join(kept, ["application_id", "file_name"])
+        return texts
+    if "upload_seq" not in pages.columns:
+        raise ValueError("pages and words need upload_seq where files are given")
+    kept = numbered(registry.where("duplicate_of is null")).select(*FILE)
+    return texts.join(kept, FILE)
 
 
 def text_lines(words: DataFrame) -> DataFrame:
-    return layout.line_states(lines.line_grouping(lines.word_dedup(words)))
+    return layout.line_states(lines.line_grouping(lines.word_dedup(numbered(words))))
 
 
-def extract(words: DataFrame, pages: DataFrame, registry: DataFrame | None = None) -> Extraction:
+def extract(
+    words: DataFrame, pages: DataFrame, registry: DataFrame | None = None, staged: bool = True
+) -> Extraction:
     """All steps from words to dated rows.
 
     The lines are staged by page: the page states read only their narrow columns, and the
-    join of states and lines finds both already partitioned.
+    join of states and lines finds both already partitioned. Unstaged, nothing runs before an
+    action; lines are then built twice, from one shuffle of the words.
     """
     texts = processed_files(pages, registry)
-    staged = stage_bucketed(text_lines(words), "lines", PAGE)
-    placed = layout.placed_lines(staged, layout.page_states(staged, anchors.file_facts(texts)))
-    return Extraction(texts, staged, placed, rows.statement_rows(placed))
+    found = text_lines(words)
+    if staged:
+        found = stage_bucketed(found, "lines", PAGE)
+    placed = layout.placed_lines(found, layout.page_states(found, anchors.file_facts(texts)))
+    return Extraction(texts, found, placed, rows.statement_rows(placed))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from cashlens.functions import fixed
-from cashlens.plans.inputs import VIEWS
+from cashlens.plans.inputs import LINES, SHIFT, VIEWS
 from cashlens.sources.dimensions import INDUSTRIES, lender_list
 
 
@@ -50,6 +50,7 @@ _credit_defaults = {
     "number_of_mortgages": "0",
     "mortgage_ltv_details": "'N/A'",
 }
+_shift = SHIFT.format("application_id")
 _keys = "application_id, tx_date, amount, description, tx_type"
 _same_key = " AND ".join(f"c.{k} IS NOT DISTINCT FROM o.{k}" for k in _keys.split(", "))
 
@@ -70,7 +71,7 @@ STEPS = {
     "lenders": f"SELECT * FROM (VALUES {_lender_values}) AS t(variant, lender, tier, rank)",
     "industries": f"SELECT * FROM (VALUES {_industry_values}) AS t(rank, industry, points, seasonality)",
     "ledger_unique": f"""
-SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {_keys} ORDER BY upload_seq, page_no, line_no) AS rn FROM ledger_raw) WHERE rn = 1""",
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {_keys} ORDER BY upload_seq, source_file, page_no, line_no) AS rn FROM ledger_raw) WHERE rn = 1""",
     "description_rules": f"""
 SELECT description, CASE WHEN regexp_matches(upper(description), {_any(fixed.INTERNAL_TRANSFER_PATTERNS)}) THEN 'Non-Revenue - Own-Account / Internal Transfer'
   WHEN regexp_matches(upper(description), {_any(fixed.GOVERNMENT_PATTERNS)}) THEN 'Non-Revenue - Gov / Tax / Insurance Proceeds'
@@ -214,8 +215,8 @@ SELECT *, CASE WHEN anchor_method IS NULL THEN closing - opening + debits END AS
     "printed_ledger": """
 SELECT *, CAST(2018 + application_id % 9 AS STRING) || substr(CAST(tx_date AS STRING), 5, 6) AS date_text, CAST(2018 + application_id % 9 AS STRING) || substr(CAST(tx_date AS STRING), 5, 3) AS printed_month FROM ledger""",
     "dated_lines": """
-SELECT application_id, line_no, line_no % 7 AS way, tx_date, substr(CAST(tx_date AS STRING), 1, 4) AS y, substr(CAST(tx_date AS STRING), 6, 2) AS m, substr(CAST(tx_date AS STRING), 9, 2) AS d FROM ledger_raw WHERE tx_type = 'credit'""",
-    "printed_money": "SELECT application_id, line_no, tx_type, amount, (line_no + application_id) % 9 AS way FROM ledger_raw",
+SELECT application_id, line_no, line_no % 7 AS way, tx_date, substr(CAST(tx_date AS STRING), 1, 4) AS y, substr(CAST(tx_date AS STRING), 6, 2) AS m, substr(CAST(tx_date AS STRING), 9, 2) AS d FROM ledger""",
+    "printed_money": "SELECT application_id, line_no, tx_type, amount, (line_no + application_id) % 9 AS way FROM ledger",
     "pages_of": "SELECT application_id, page_no, max(top) AS last_top, count(DISTINCT top) AS line_count FROM statement_words GROUP BY application_id, page_no",
     "requested": "SELECT DISTINCT u.application_id, u.description FROM ledger_unique u JOIN description_rules r USING (description) WHERE r.rule IS NULL",
     "given": """
@@ -245,14 +246,14 @@ _printed_entry = (
 
 QUERIES = {
     "file_dedup": f"""
-SELECT application_id, file_name, {_long('upload_seq', 'upload_seq')}, sha256(text) AS sha256,
-  CASE WHEN upload_seq > min(upload_seq) OVER w THEN arg_min(file_name, upload_seq) OVER w END AS duplicate_of
-FROM statement_files WINDOW w AS (PARTITION BY application_id, sha256(text))""",
-    "file_text": """
-SELECT * FROM (SELECT application_id, file_name, trim(string_agg(coalesce(text, ''), chr(10) ORDER BY page_no, text), ' ' || chr(9) || chr(10) || chr(13)) AS text
-FROM text_pages GROUP BY application_id, file_name) WHERE text <> ''""",
+SELECT application_id, file_name, {_long('upload_seq', 'upload_seq')}, sha256, CASE WHEN row_number() OVER w > 1 THEN first_value(file_name) OVER w END AS duplicate_of
+FROM (SELECT DISTINCT application_id, file_name, upload_seq, sha256(text) AS sha256 FROM statement_files)
+WINDOW w AS (PARTITION BY application_id, sha256 ORDER BY upload_seq IS NULL, upload_seq, file_name)""",
+    "file_text": f"""
+SELECT * FROM (SELECT application_id, file_name, {_long('upload_seq', 'upload_seq')}, trim(string_agg(coalesce(text, ''), chr(10) ORDER BY page_no, text), ' ' || chr(9) || chr(10) || chr(13)) AS text
+FROM text_pages GROUP BY application_id, file_name, upload_seq) WHERE text <> ''""",
     "words_scan": f"""
-SELECT {_line_key} FROM statement_text p WHERE NOT EXISTS (SELECT 1 FROM statement_words w WHERE w.application_id % 3 <> 0 AND w.application_id = p.application_id AND w.page_no = p.page_no)""",
+SELECT DISTINCT p.application_id, p.file_name, CAST(p.upload_seq AS BIGINT) AS upload_seq, CAST(p.page_no AS BIGINT) AS page_no FROM statement_text p WHERE NOT EXISTS (SELECT 1 FROM statement_words w WHERE w.application_id = p.application_id AND w.page_no = p.page_no)""",
     "credit_profile": "SELECT application_id, coalesce(owner_name, 'Unknown') AS owner_name, "
     + ", ".join(
         [
@@ -277,7 +278,7 @@ FROM requested JOIN (SELECT application_id, CAST(ceil(count(*) / 3) AS BIGINT) A
     "industry_lookup": f"SELECT application_id, industry, {_long('points', 'points')}, {_long('seasonality', 'seasonality')} FROM application_inputs JOIN industries ON industry_rank = rank",
     "lender_variant_match": f"""
 SELECT variant, lender, tier, {_long('rank', 'rank')}, {_long('sum(n)', 'ledger_rows')} FROM (SELECT description, count(*) AS n FROM ledger GROUP BY description) JOIN lenders ON {_variant_matches} GROUP BY ALL""",
-    "word_dedup": f"SELECT {_line_key}, {_long('word_seq', 'word_seq')}, x0, top, text FROM statement_words",
+    "word_dedup": f"SELECT {_line_key}, CAST(1 AS BIGINT) AS upload_seq, {_long('word_seq', 'word_seq')}, x0, top, text FROM statement_words",
     "line_grouping": f"""
 SELECT {_line_key}, row_number() OVER (PARTITION BY application_id, page_no ORDER BY top) AS line_no,
   string_agg(text, ' ' ORDER BY x0) AS line, count(*) AS words FROM statement_words GROUP BY application_id, page_no, top""",
@@ -289,11 +290,10 @@ FROM statement_words GROUP BY application_id, page_no, top WINDOW w AS (PARTITIO
 SELECT {_line_key}, CAST(1 AS BIGINT) AS line_no, min(x0) - 10 AS desc_limit, min(x0) - 20 AS debit_min, max(x0) - 5 AS debit_max, max(x0) - 20 AS credit_min
 FROM statement_words WHERE text IN ('Withdrawn', 'Deposited') GROUP BY application_id, page_no""",
     "column_bounds": f"""
-SELECT {_line_key}, CAST(290 AS DOUBLE) AS desc_limit, CAST(280 AS DOUBLE) AS debit_min, CAST(385 AS DOUBLE) AS debit_max, CAST(370 AS DOUBLE) AS credit_min,
-  CAST(465 AS DOUBLE) AS credit_max, CAST(470 AS DOUBLE) AS balance_x, CAST(1 AS BIGINT) AS first_line, line_count AS last_line FROM pages_of""",
+SELECT {_line_key}, CAST(290 + {_shift} AS DOUBLE) AS desc_limit, CAST(280 + {_shift} AS DOUBLE) AS debit_min, CAST(385 + {_shift} AS DOUBLE) AS debit_max, CAST(370 + {_shift} AS DOUBLE) AS credit_min,
+  CAST(465 + {_shift} AS DOUBLE) AS credit_max, CAST(470 + {_shift} AS DOUBLE) AS balance_x, CAST(1 AS BIGINT) AS first_line, line_count AS last_line FROM pages_of""",
     "noise_lines": f"""
-SELECT source, count(*) FILTER (regexp_matches(upper(text), {_any([re.escape(p) for p in fixed.NOISE_PHRASES])})) AS noise, count(*) AS texts
-FROM (SELECT file_name AS source, text FROM text_pages UNION ALL SELECT file_name, text FROM statement_files) GROUP BY source""",
+SELECT application_id, source_file, line_no, regexp_matches(upper(line), {_any([re.escape(p) for p in fixed.NOISE_PHRASES])}) AS noise FROM printed_lines""",
     "parse_date": """
 SELECT application_id, line_no, date_text, regexp_extract(date_text, '^(.*)-[0-9]+$', 1) AS month, CASE WHEN length(date_text) = 10 THEN CAST(try_cast(date_text AS DATE) AS STRING) END AS tx_date FROM (
   SELECT application_id, line_no, CASE WHEN way IN (0, 3) THEN y WHEN way = 4 THEN '20150' ELSE '2021' END || '-' || m || '-' || d AS date_text FROM dated_lines WHERE way <= 4)""",
@@ -301,25 +301,25 @@ SELECT application_id, line_no, date_text, regexp_extract(date_text, '^(.*)-[0-9
     "statement_year": r"""
 SELECT file_name, coalesce(nullif(regexp_extract(text, '\b(201[5-9]|202[0-9])\b', 1), ''), '2026') AS year FROM statement_files
 UNION ALL SELECT DISTINCT 'statement-' || CAST(application_id AS STRING), CAST(2018 + application_id % 9 AS STRING) FROM ledger""",
-    "active_date": """
+    "active_date": f"""
 SELECT application_id, 'stmt' AS file_name, date_text, n + headings AS line_count, CAST(1 AS BIGINT) AS date_rows FROM (
-  SELECT application_id, date_text, count(*) AS n, count(*) FILTER (k % 30 = 0 AND NOT is_last) AS headings FROM (
+  SELECT application_id, date_text, count(*) AS n, count(*) FILTER (k % {LINES} = 0 AND NOT is_last) AS headings FROM (
     SELECT application_id, date_text, row_number() OVER w AS k, lead(line_no) OVER w IS NULL AS is_last
     FROM printed_ledger WINDOW w AS (PARTITION BY application_id ORDER BY tx_date, source_file, line_no, amount, description)) GROUP BY application_id, date_text)
 UNION ALL SELECT DISTINCT application_id, 'stmt', CAST(NULL AS STRING), CAST(1 AS BIGINT), CAST(0 AS BIGINT) FROM ledger""",
     "row_gate": "SELECT application_id, 'stmt' AS file_name, CAST(page_no AS BIGINT) AS page_no, line_count - 1 AS line_count FROM pages_of",
-    "band_split": """
+    "band_split": f"""
 SELECT application_id, CAST(page_no AS BIGINT) AS page_no, dense_rank() OVER (PARTITION BY application_id, page_no ORDER BY top) + 1 AS line_no,
-  coalesce(string_agg(text, ' ' ORDER BY x0) FILTER (x0 BETWEEN 90 AND 250), '') AS description, coalesce(string_agg(text, ' ') FILTER (x0 = 305), '') AS debit,
-  coalesce(string_agg(text, ' ') FILTER (x0 = 395), '') AS credit FROM statement_words WHERE top > 60 GROUP BY application_id, page_no, top""",
+  coalesce(string_agg(text, ' ' ORDER BY x0) FILTER (x0 - {_shift} BETWEEN 90 AND 250), '') AS description, coalesce(string_agg(text, ' ') FILTER (x0 - {_shift} = 305), '') AS debit,
+  coalesce(string_agg(text, ' ') FILTER (x0 - {_shift} = 395), '') AS credit FROM statement_words WHERE top > 60 GROUP BY application_id, page_no, top""",
     "parse_money": f"""
 SELECT application_id, line_no, tx_type, {_number("CASE WHEN way IN (1, 4) THEN -amount WHEN way = 5 THEN floor(amount) WHEN way IN (6, 7) THEN NULL ELSE amount END", 'value')} FROM printed_money""",
     # '1.234,56' reads 1.23 here: with cents, the first two digits after a point count.
     "money_from_words": f"""
 SELECT application_id, line_no, tx_type, {_number("CASE way WHEN 2 THEN CASE WHEN amount >= 1000 THEN floor(amount / 10) / 100 ELSE amount END WHEN 5 THEN CASE WHEN amount >= 100 THEN floor(amount) END WHEN 6 THEN NULL ELSE amount END", 'value')} FROM printed_money""",
     "summary_rows": f"""
-SELECT is_summary, count(*) AS texts FROM (SELECT regexp_matches(upper(text), {_any([re.escape(p) for p in fixed.SUMMARY_PHRASES])})
-  OR (contains(upper(text), 'TOTAL') AND len(string_split(text, ' ')) < 3) AS is_summary FROM (SELECT text FROM text_pages UNION ALL SELECT text FROM statement_files)) GROUP BY is_summary""",
+SELECT application_id, source_file, line_no, regexp_matches(upper(line), {_any([re.escape(p) for p in fixed.SUMMARY_PHRASES])})
+  OR (contains(upper(line), 'TOTAL') AND len(string_split(line, ' ')) < 3) AS is_summary FROM printed_lines""",
     "statement_rows": f"""
 SELECT application_id, date_text, CAST(try_cast(date_text AS DATE) AS STRING) AS tx_date, printed_month AS month, description,
   {_number("CASE WHEN tx_type = 'debit' THEN amount END", 'debit')}, {_number("CASE WHEN tx_type = 'credit' THEN amount END", 'credit')} FROM printed_ledger""",
@@ -327,9 +327,9 @@ SELECT application_id, date_text, CAST(try_cast(date_text AS DATE) AS STRING) AS
     "nsf_debit_rows": f"SELECT {_printed_entry}, 'Bank Fee' AS payer_or_source, tx_type FROM printed_ledger WHERE tx_type = 'debit' AND starts_with(description, 'NSF') AND amount > 30",
     "lender_debits": f"SELECT application_id, CAST(tx_date AS STRING) AS tx_date, lender, tier, {_number('payment_amount', 'payment_amount')}, month FROM payments",
     "extracted_lender_debits": f"SELECT application_id, lender, tier, {_number('payment_amount', 'payment_amount')}, CAST(2018 + application_id % 9 AS STRING) || substr(month, 5, 3) AS month FROM payments",
-    "file_debit_total": f"SELECT application_id, 'stmt' AS file_name, {_number('sum(amount)', 'debit_total')} FROM ledger WHERE tx_type = 'debit' GROUP BY application_id",
-    "anchor_total": f"SELECT application_id, file_name, anchor_method, {_number('anchor_total', 'anchor_total')} FROM printed_anchors",
-    "opening_closing": f"SELECT application_id, file_name, {_number('opening', 'opening')}, {_number('closing', 'closing')} FROM printed_anchors",
+    "file_debit_total": f"SELECT application_id, 'stmt' AS file_name, CAST(1 AS BIGINT) AS upload_seq, {_number('sum(amount)', 'debit_total')} FROM ledger WHERE tx_type = 'debit' GROUP BY application_id",
+    "anchor_total": f"SELECT application_id, file_name, CAST(1 AS BIGINT) AS upload_seq, anchor_method, {_number('anchor_total', 'anchor_total')} FROM printed_anchors",
+    "opening_closing": f"SELECT application_id, file_name, CAST(1 AS BIGINT) AS upload_seq, {_number('opening', 'opening')}, {_number('closing', 'closing')} FROM printed_anchors",
     "implied_anchor": f"SELECT application_id, file_name, {_number('implied_total', 'implied_total')}, used_method, {_number('used_total', 'used_total')} FROM implied",
     "expected_credits": f"SELECT application_id, {_number('expected_credits', 'expected_credits')}, anchors, files FROM anchor_sums",
     "anchor_coverage": "SELECT application_id, anchors, files, anchors < files AS anchor_warning FROM anchor_sums",
@@ -356,7 +356,7 @@ SELECT application_id, count(*) FILTER (description = 'MISC CREDIT') AS wash_row
     "payment_gap": f"SELECT application_id, lender, payments, {_number('median_gap', 'median_gap')}, tier FROM gaps",
     "payment_amount": f"SELECT application_id, lender, {_number('payment_amount', 'payment_amount')} FROM usual",
     "frequency": "SELECT application_id, lender, frequency FROM frequencies",
-    "monthly_equiv": f"SELECT application_id, lender, {_number('CASE WHEN application_id % 5 = 0 THEN 0 ELSE monthly_payment END', 'monthly_payment')} FROM found_positions",
+    "monthly_equiv": f"SELECT application_id, lender, {_number('CASE WHEN application_id % 5 < 2 THEN 0 ELSE monthly_payment END', 'monthly_payment')} FROM found_positions",
     "positions": f"SELECT application_id, lender, tier, {_number('payment_amount', 'payment_amount')}, frequency, {_number('monthly_payment', 'monthly_payment')} FROM found_positions",
     "position_overrides": f"""
 SELECT application_id, lender, tier, {_number('payment_amount', 'payment_amount')}, frequency, {_number('monthly_payment', 'monthly_payment')} FROM (
@@ -459,7 +459,10 @@ UNION ALL SELECT application_id, file_name, NULL, CASE WHEN anchor_method IS NOT
   ELSE 'no deposit total and no pair of balances' END FROM implied
 UNION ALL SELECT application_id, NULL, NULL, 'duplicate_rows', CAST(rows_removed AS STRING) || ' removed' FROM ({QUERIES["removed_duplicates"]}) WHERE rows_removed > 0
 UNION ALL SELECT application_id, NULL, NULL, 'wash', CAST(CAST(round_trips AS BIGINT) AS STRING) || ' round trips' FROM washes WHERE wash_detected
-UNION ALL SELECT application_id, file_name, NULL, 'no_text', 'no text; scanned or damaged' FROM text_pages GROUP BY application_id, file_name
+UNION ALL SELECT application_id, NULL, NULL, 'unreadable_credit_response', '1 unreadable' FROM credit_profile WHERE application_id % 7 IN (3, 5)
+UNION ALL SELECT application_id, file_name, page_no, 'no_words', 'no positioned words' FROM ({QUERIES["words_scan"]})
+UNION ALL SELECT application_id, 'stmt', CAST(page_no AS BIGINT), 'calibrated', printf('description < %.1f, debit %.1f-%.1f, credit from %.1f', 290.0 + {_shift}, 280.0 + {_shift}, 385.0 + {_shift}, 370.0 + {_shift}) FROM pages_of
+UNION ALL SELECT application_id, file_name, NULL, 'no_text', 'no text; scanned or damaged' FROM text_pages GROUP BY application_id, file_name, upload_seq
   HAVING trim(string_agg(coalesce(text, ''), ''), ' ' || chr(9) || chr(10) || chr(13)) = ''"""
 
 

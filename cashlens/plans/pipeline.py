@@ -19,32 +19,51 @@ from cashlens.operators import (
     summary,
     wash,
 )
+from cashlens.operators.lines import FILE
 from cashlens.plans.extract import extract
 from cashlens.plans.staging import stage
-from cashlens.sources import dimensions, files, sinks
+from cashlens.sources import credit, dimensions, files, labels, sinks
 from cashlens.sources import words as word_source
 
 
 @dataclass
 class Tables:
-    """Inputs. Optional ones may be None; see the README for their columns."""
+    """Inputs. Optional ones may be None; see the README for their columns.
+
+    `credit_reports` and `label_responses` are raw JSON answers: with them, profiles and labels are
+    read from there, and unreadable ones are reported.
+    """
 
     words: DataFrame
     pages: DataFrame
     inputs: DataFrame
-    credit_profile: DataFrame
+    credit_profile: DataFrame | None = None
     files: DataFrame | None = None
     labels: DataFrame | None = None
     row_overrides: DataFrame | None = None
     group_overrides: DataFrame | None = None
     position_overrides: DataFrame | None = None
+    credit_reports: DataFrame | None = None
+    label_responses: DataFrame | None = None
 
 
-def run(spark: SparkSession, tables: Tables, score_mode: str = "reference") -> dict[str, DataFrame]:
+def run(
+    spark: SparkSession,
+    tables: Tables,
+    score_mode: str = "reference",
+    wash_on_all_debits: bool = False,
+) -> dict[str, DataFrame]:
     """Output tables by name.
 
     What several outputs read is staged once: files, lines, statement rows, ledger, positions.
+    `staging.forget_staged` deletes it when the outputs are written. `wash_on_all_debits` looks for
+    round trips among all credits and debits instead of the ledger's narrower choice.
     """
+    profiles, given = tables.credit_profile, tables.labels
+    if tables.credit_reports is not None:
+        profiles = credit.credit_profile(tables.credit_reports)
+    if tables.label_responses is not None:
+        given = labels.label_responses(tables.label_responses)
     registry = None
     if tables.files is not None:
         registry = stage(files.file_dedup(files.file_hashes(tables.files)), "files")
@@ -52,7 +71,8 @@ def run(spark: SparkSession, tables: Tables, score_mode: str = "reference") -> d
     statement_rows = stage(found.rows, "rows")
     raw = rows.ledger_rows(statement_rows)
 
-    entries = classify.classify(ledger.ledger_dedup(raw), tables.labels)
+    deposits = stage(ledger.ledger_dedup(raw), "deposits")
+    entries = classify.classify(deposits, given)
     if tables.row_overrides is not None:
         entries = review.row_override(entries, tables.row_overrides)
     entries = stage(entries, "ledger")
@@ -70,17 +90,18 @@ def run(spark: SparkSession, tables: Tables, score_mode: str = "reference") -> d
         ),
         "anchors",
     )
-    uploaded = tables.pages.select("application_id", "file_name").distinct()
+    uploaded = files.numbered(tables.pages).select(*FILE).distinct()
     if registry is not None:
-        uploaded = registry.where("duplicate_of is null").select("application_id", "file_name")
+        uploaded = files.numbered(registry.where("duplicate_of is null")).select(*FILE)
     expected = anchors.expected_credits(file_totals, uploaded)
 
     all_metrics = metrics.metrics(entries, lenders)
-    washes = wash.wash_flags(wash.wash_pairs(entries))
+    washes = wash.wash_flags(wash.wash_pairs(rows.all_rows(statement_rows) if wash_on_all_debits else entries))
+    requests = labels.label_requests(deposits)
     events = [
-        diagnostics.files_without_text(tables.pages, files.file_text(tables.pages)),
+        diagnostics.files_without_text(files.numbered(tables.pages), files.file_text(tables.pages)),
         diagnostics.pages_without_words(
-            word_source.pages_without_words(tables.pages, tables.words)
+            word_source.pages_without_words(files.numbered(tables.pages), files.numbered(tables.words))
         ),
         diagnostics.calibrations(found.lines),
         diagnostics.anchor_events(file_totals),
@@ -88,7 +109,12 @@ def run(spark: SparkSession, tables: Tables, score_mode: str = "reference") -> d
         diagnostics.bad_dates(statement_rows),
         diagnostics.removed_rows(ledger.removed_duplicates(raw)),
         diagnostics.wash_events(washes),
+        diagnostics.no_deposits(uploaded, entries),
     ]
+    if tables.credit_reports is not None:
+        events.append(diagnostics.unreadable("credit", credit.unreadable_reports(tables.credit_reports)))
+    if tables.label_responses is not None:
+        events.append(diagnostics.unreadable("label", labels.unreadable_responses(tables.label_responses)))
     if registry is not None:
         events.append(diagnostics.duplicate_files(registry))
     return {
@@ -101,16 +127,18 @@ def run(spark: SparkSession, tables: Tables, score_mode: str = "reference") -> d
         "review_kpis": review.review_kpis(entries),
         "monthly_summary": summary.monthly_summary(summary.ledger_months(entries), lenders),
         "scorecard": scorecard.scorecard(
-            all_metrics, tables.inputs, tables.credit_profile, dimensions.industries(spark), score_mode
+            all_metrics, tables.inputs, profiles, dimensions.industries(spark), score_mode
         ),
         "score_components": scorecard.score_components(
             scorecard.hard_stops(
                 scorecard.underwriting_inputs(
-                    all_metrics, tables.inputs, tables.credit_profile, dimensions.industries(spark)
+                    all_metrics, tables.inputs, profiles, dimensions.industries(spark)
                 )
             )
         ),
         "diagnostics": diagnostics.union_events(*events),
+        "label_requests": requests,
+        "label_request_batches": labels.label_request_batches(requests),
     }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -24,7 +25,7 @@ from cashlens.operators import (
     wash,
 )
 from cashlens.operators.settle import settle
-from cashlens.plans import extract, staging
+from cashlens.plans import extract
 from cashlens.plans.inputs import Inputs
 from cashlens.sources import credit, dimensions, files, labels, words
 
@@ -62,8 +63,17 @@ def unique_ledger(i: Inputs) -> DataFrame:
     return ledger.ledger_dedup(i.ledger_raw)
 
 
+def answered_again(df: DataFrame, **earlier: Column) -> DataFrame:
+    """`df` as the later of two answers per key; the earlier one has other values."""
+    first = df.withColumns(earlier).withColumn("seq", F.lit(0))
+    return first.unionByName(df.withColumn("seq", F.lit(1)))
+
+
 def labels_of(i: Inputs) -> DataFrame:
-    return i.label_mappings.select(label_key(F.col("description")).alias("label_key"), "category")
+    given = i.label_mappings.select(label_key(F.col("description")).alias("label_key"), "category")
+    again = answered_again(given, category=F.lit(fixed.POS_REVENUE))
+    unlisted = given.select("label_key", F.lit("Invented Category").alias("category"), F.lit(2).alias("seq"))
+    return again.unionByName(unlisted)
 
 
 def classified_ledger(i: Inputs) -> DataFrame:
@@ -80,7 +90,7 @@ def found_positions(i: Inputs) -> DataFrame:
 
 
 def all_metrics(i: Inputs) -> DataFrame:
-    return metrics.metrics(staging.stage(classified_ledger(i), "ledger"), found_positions(i))
+    return metrics.metrics(classified_ledger(i), found_positions(i))
 
 
 def all_inputs(i: Inputs) -> DataFrame:
@@ -108,7 +118,7 @@ def grouped_lines(i: Inputs) -> DataFrame:
 
 
 def extracted(i: Inputs) -> extract.Extraction:
-    return extract.extract(i.statement_words, i.statement_text)
+    return extract.extract(i.statement_words, i.statement_text, staged=False)
 
 
 def reports(i: Inputs) -> DataFrame:
@@ -120,7 +130,13 @@ def reports(i: Inputs) -> DataFrame:
     response = (
         F.when(seventh == 3, F.substring(whole, 1, 60)).when(seventh == 5, partial).otherwise(whole)
     )
-    return profile.select("application_id", response.alias("response"))
+    current = profile.select("application_id", response.alias("response"), F.lit(1).alias("seq"))
+    older = F.to_json(F.struct(*[F.lit("Old Owner").alias(c) if c == "owner_name" else c for c in credit.FIELDS]))
+    # Some applications have an older report, too.
+    earlier = profile.where("application_id % 7 in (0, 1, 2)").select(
+        "application_id", older.alias("response"), F.lit(0).alias("seq")
+    )
+    return current.unionByName(earlier)
 
 
 def responses(i: Inputs) -> DataFrame:
@@ -161,8 +177,8 @@ def file_text(i: Inputs) -> DataFrame:
 
 @query
 def words_scan(i: Inputs) -> DataFrame:
-    pages = i.statement_text.select("application_id", "file_name", "page_no")
-    return words.pages_without_words(pages, i.statement_words.where("application_id % 3 <> 0"))
+    pages = i.statement_text.select("application_id", "file_name", "upload_seq", "page_no")
+    return words.pages_without_words(pages, i.statement_words)
 
 
 @query
@@ -197,16 +213,21 @@ def industry_lookup(i: Inputs) -> DataFrame:
 
 @query
 def lender_variant_match(i: Inputs) -> DataFrame:
-    """Ledger rows per lender name variant, through the lender table (theta join)."""
+    """Ledger rows per lender name variant: each variant is one literal pattern, compiled once."""
     by_text = i.ledger.groupBy("description").agg(F.count("*").alias("n"))
-    escaped = F.regexp_replace("variant", r"([^A-Z0-9 ])", r"\\$1")
-    pattern = F.concat(F.lit(r"\b"), escaped, F.lit(r"\b"))
-    lenders = F.broadcast(dimensions.lenders(i.spark))
-    return (
-        by_text.join(lenders, F.rlike(F.upper("description"), pattern))
-        .groupBy("variant", "lender", "tier", "rank")
-        .agg(F.sum("n").alias("ledger_rows"))
+    by_text = settle(by_text, {"upper": F.upper("description")})
+    named = F.array_compact(
+        F.array(
+            *[
+                F.when(F.col("upper").rlike(rf"\b{re.escape(variant)}\b"), F.lit(variant))
+                for _, _, variants in dimensions.lender_list()
+                for variant in variants
+            ]
+        )
     )
+    counted = by_text.select(F.explode(named).alias("variant"), "n").groupBy("variant")
+    lenders = F.broadcast(dimensions.lenders(i.spark))
+    return counted.agg(F.sum("n").alias("ledger_rows")).join(lenders, "variant")
 
 
 # --- statement extraction ---------------------------------------------------------
@@ -264,17 +285,13 @@ def column_bounds(i: Inputs) -> DataFrame:
 
 @query
 def noise_lines(i: Inputs) -> DataFrame:
-    """Texts that hold a noise phrase, over whole documents and conversations."""
-    texts = i.text_pages.select(F.col("file_name").alias("source"), "text").unionByName(
-        i.statement_files.select(F.col("file_name").alias("source"), "text")
-    )
-    return texts.groupBy("source").agg(
-        F.count_if(layout.is_noise(F.col("text"))).alias("noise"), F.count("*").alias("texts")
+    return i.printed_lines.select(
+        "application_id", "source_file", "line_no", layout.is_noise(F.col("line")).alias("noise")
     )
 
 
 def dated_lines(i: Inputs) -> DataFrame:
-    """Lines that print the ledger date of a credit in one of the known ways."""
+    """Lines that print the ledger date in one of the known ways."""
     day, month, year = (F.date_format("tx_date", f) for f in ("d", "MMM", "yyyy"))
     text = F.col("description")
     way = F.col("line_no") % 7
@@ -287,9 +304,7 @@ def dated_lines(i: Inputs) -> DataFrame:
         .when(way == 5, F.concat_ws(" ", F.date_format("tx_date", "MM | dd"), text))
         .otherwise(text)
     )
-    return i.ledger_raw.where("tx_type = 'credit'").select(
-        "application_id", "line_no", line.alias("line")
-    )
+    return i.ledger.select("application_id", "line_no", line.alias("line"))
 
 
 @query
@@ -373,7 +388,7 @@ def printed_money(i: Inputs) -> DataFrame:
         .when(way == 7, F.concat(F.lit("CAD"), comma))
         .otherwise(F.concat(F.lit("  "), amount.cast("string"), F.lit(" ")))
     )
-    return i.ledger_raw.select("application_id", "line_no", "tx_type", text.alias("printed"))
+    return i.ledger.select("application_id", "line_no", "tx_type", text.alias("printed"))
 
 
 @query
@@ -390,12 +405,9 @@ def money_from_words(i: Inputs) -> DataFrame:
 
 @query
 def summary_rows(i: Inputs) -> DataFrame:
-    """Documents and turns that read like a statement's summary lines."""
-    texts = i.text_pages.select("text").unionByName(i.statement_files.select("text"))
-    count = F.size(F.split("text", " "))
-    return texts.groupBy(rows.is_summary(F.col("text"), count).alias("is_summary")).agg(
-        F.count("*").alias("texts")
-    )
+    count = F.size(F.split("line", " "))
+    found = rows.is_summary(F.col("line"), count).alias("is_summary")
+    return i.printed_lines.select("application_id", "source_file", "line_no", found)
 
 
 @query
@@ -451,7 +463,10 @@ def opening_closing(i: Inputs) -> DataFrame:
 
 def used_anchors(i: Inputs) -> DataFrame:
     debits = i.ledger.where("tx_type = 'debit'").select(
-        "application_id", F.lit("stmt").alias("file_name"), F.col("amount").alias("debit")
+        "application_id",
+        F.lit("stmt").alias("file_name"),
+        F.lit(1).alias("upload_seq"),
+        F.col("amount").alias("debit"),
     )
     return anchors.implied_anchor(
         anchors.file_anchors(statement_texts(i)), rows.file_debit_total(debits)
@@ -586,7 +601,7 @@ def frequency(i: Inputs) -> DataFrame:
 @query
 def monthly_equiv(i: Inputs) -> DataFrame:
     """Monthly equivalent of edited amounts, some of which are no numbers."""
-    text = "CASE WHEN application_id % 5 = 0 THEN 'n/a' ELSE CAST(payment_amount AS STRING) END"
+    text = "CASE application_id % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN 'NaN' ELSE CAST(payment_amount AS STRING) END"
     return found_positions(i).select(
         "application_id", "lender", rules.monthly_equivalent(text, "frequency").alias("monthly_payment")
     )
@@ -619,7 +634,8 @@ def position_edits(i: Inputs) -> DataFrame:
             F.when(app % 4 == 0, edit("NEW LENDER", "Standard", "10", "Daily", None)),
         )
     )
-    return i.application_inputs.select("application_id", F.inline(edits))
+    edited = i.application_inputs.select("application_id", F.inline(edits))
+    return answered_again(edited, removed=F.lit(True), payment_amount=F.lit("1"))
 
 
 # --- reconciliation and review --------------------------------------------------------
@@ -644,10 +660,11 @@ def ledger_filter(i: Inputs) -> DataFrame:
 
 def row_edits(i: Inputs) -> DataFrame:
     """Turn some deposits over: the first ones of a day by amount."""
-    return unique_ledger(i).where("line_no % 11 = 0").select(
+    edits = unique_ledger(i).where("line_no % 11 = 0").select(
         *ledger.LEDGER_KEY,
         F.when(F.col("line_no") % 33 != 0, F.col("line_no") % 2 == 0).alias("is_revenue"),
     )
+    return answered_again(edits, is_revenue=~F.coalesce("is_revenue", F.lit(False)))
 
 
 @query
@@ -664,7 +681,9 @@ def group_override(i: Inputs) -> DataFrame:
         .select(*review.GROUP, (F.col("application_id") % 2 == 0).alias("is_revenue"))
         .where("application_id % 3 <> 0")
     )
-    return review.group_override(classified_ledger(i), groups)
+    return review.group_override(
+        classified_ledger(i), answered_again(groups, is_revenue=~F.col("is_revenue"))
+    )
 
 
 @query
@@ -809,7 +828,7 @@ def scorecard_table(i: Inputs) -> DataFrame:
 
 @query
 def diagnostics_table(i: Inputs) -> DataFrame:
-    """Events of the steps that need no positioned words."""
+    """Events of all steps but those on unreadable amounts and dates, which printed statements don't hold."""
     texts = statement_texts(i)
     content = i.statement_files.withColumn("content", F.col("text").cast("binary"))
     return diagnostics.union_events(
@@ -819,4 +838,8 @@ def diagnostics_table(i: Inputs) -> DataFrame:
         diagnostics.wash_events(wash.wash_flags(wash.wash_pairs(classified_ledger(i)))),
         diagnostics.files_without_text(i.text_pages, files.file_text(i.text_pages)),
         diagnostics.files_without_text(i.statement_text, texts),
+        diagnostics.no_deposits(i.statement_text, i.ledger),
+        diagnostics.unreadable("credit", credit.unreadable_reports(reports(i))),
+        diagnostics.pages_without_words(words.pages_without_words(i.statement_text, i.statement_words)),
+        diagnostics.calibrations(layout.line_states(grouped_lines(i))),
     )

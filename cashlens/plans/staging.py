@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -12,17 +14,35 @@ PREFIX = "cashlens_staged_"
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local folder only where none is named."""
+    """The shared folder the cluster names; a local folder only where driver and executors are one process."""
     context = spark.sparkContext
     folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cashlens-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{staging_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def _place(spark: SparkSession, name: str) -> str:
-    return f"{staging_dir(spark)}/{spark.sparkContext.applicationId}/{name}_{uuid.uuid4().hex}"
+    if not _used:
+        atexit.register(_forget_at_exit)
+    _used[spark.sparkContext.applicationId] = spark
+    return f"{_run_dir(spark)}/{name}_{uuid.uuid4().hex}"
+
+
+_used: dict[str, SparkSession] = {}
+
+
+def _forget_at_exit() -> None:
+    for spark in _used.values():
+        with contextlib.suppress(Exception):  # the session has ended: the folder's own retention applies
+            forget_staged(spark)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -49,7 +69,9 @@ def stage_bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
 
 
 def forget_staged(spark: SparkSession) -> None:
-    """Drop the catalog entries of bucketed tables; files stay for the folder's own retention."""
+    """Drop all that this application has staged: catalog entries and files. Runs at exit, too."""
     for table in spark.catalog.listTables():
         if table.name.startswith(PREFIX):
             spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

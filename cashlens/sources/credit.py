@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from cashlens.functions import fixed
+from cashlens.operators.skew import latest_per_key
 
 REPORT_SCHEMA = (
     "owner_name string, fico_score int, total_high_credit double, "
@@ -16,18 +19,30 @@ FIELDS = list(fixed.CREDIT_DEFAULTS)
 
 
 def credit_profile(reports: DataFrame) -> DataFrame:
-    """Parsed reports (application_id, response); every field is required, others are dropped."""
+    """One profile per application from reports (application_id, response, seq if several).
+
+    Every field is required, reports without one are no reports; the last of the others counts.
+    """
+    return latest_per_key(_parsed(reports).dropna(how="any", subset=FIELDS), ["application_id"]).drop("seq")
+
+
+def _parsed(reports: DataFrame) -> DataFrame:
+    sequence = ["seq"] if "seq" in reports.columns else []
     report = F.from_json("response", REPORT_SCHEMA)
-    return (
-        reports.select("application_id", report.alias("r"))
-        .select("application_id", *[F.col(f"r.{name}").alias(name) for name in FIELDS])
-        .dropna(how="any", subset=FIELDS)
+    return reports.select("application_id", *sequence, report.alias("r")).select(
+        "application_id", *sequence, *[F.col(f"r.{name}").alias(name) for name in FIELDS]
     )
 
 
+def unreadable_reports(reports: DataFrame) -> DataFrame:
+    """Applications and number of the reports that `credit_profile` can't use."""
+    missing = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in FIELDS])
+    return _parsed(reports).where(missing).groupBy("application_id").agg(F.count("*").alias("responses"))
+
+
 def with_credit_defaults(applications: DataFrame, profiles: DataFrame) -> DataFrame:
     """One profile per application; defaults where no report was loaded."""
-    loaded = profiles.select("application_id", *FIELDS, F.lit(True).alias("is_loaded"))
+    loaded = latest_per_key(profiles, ["application_id"]).select("application_id", *FIELDS, F.lit(True).alias("is_loaded"))
     return applications.join(loaded, "application_id", "left").select(
         *applications.columns,
         *[F.coalesce(name, F.lit(default)).alias(name) for name, default in fixed.CREDIT_DEFAULTS.items()],

@@ -29,31 +29,47 @@ def file_hashes(files: DataFrame) -> DataFrame:
 def file_dedup(hashes: DataFrame) -> DataFrame:
     """Every file with the name of the earlier upload it repeats, null for files to process.
 
+    Uploads are in order of number (none last), then name. Rows equal in both are one upload.
     Only hashes seen more than once are joined back, one row each.
     """
+    place = F.struct(
+        F.col("upload_seq").isNull().alias("unnumbered"),
+        F.coalesce("upload_seq", F.lit(0)).alias("seq"),
+        F.col("file_name").alias("name"),
+    )
+    hashes = hashes.dropDuplicates(["application_id", "file_name", "upload_seq", "sha256"])
     repeated = (
         hashes.groupBy("application_id", "sha256")
-        .agg(
-            F.min("upload_seq").alias("_kept_seq"),
-            F.min_by("file_name", "upload_seq").alias("_kept_name"),
-            F.count("*").alias("_copies"),
-        )
+        .agg(F.min(place).alias("_kept"), F.count("*").alias("_copies"))
         .where("_copies > 1")
     )
     return hashes.join(repeated, ["application_id", "sha256"], "left").select(
         *hashes.columns,
-        F.when(F.col("upload_seq") > F.col("_kept_seq"), F.col("_kept_name")).alias("duplicate_of"),
+        F.when(place != F.col("_kept"), F.col("_kept.name")).alias("duplicate_of"),
     )
 
 
+#: Stands for a missing upload number: after all numbers.
+UNNUMBERED = 2147483647
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with an upload number in every row, so that files can be joined by it."""
+    seq = F.lit(1)
+    if "upload_seq" in df.columns:
+        seq = F.coalesce(F.col("upload_seq").cast("int"), F.lit(UNNUMBERED))
+    return df.withColumn("upload_seq", seq)
+
+
 def file_text(pages: DataFrame) -> DataFrame:
     """Text of each file: its pages in order, one per line break, trimmed; empty files drop out.
 
     A file's text is one value by definition (its source is one binary cell of at most 2 GiB).
     """
+    pages = numbered(pages)
     ordered = F.sort_array(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("t"))))
     return (
-        pages.groupBy("application_id", "file_name")
+        pages.groupBy("application_id", "file_name", "upload_seq")
         .agg(strip(F.array_join(F.transform(ordered, lambda p: p["t"]), "\n")).alias("text"))
         .where("text <> ''")
     )

@@ -41,6 +41,12 @@ def label_request_batches(requests: DataFrame, batch_size: int = 500) -> DataFra
     )
 
 
+def unreadable_responses(responses: DataFrame) -> DataFrame:
+    """Applications and number of the responses that hold no list of answers."""
+    answers = F.from_json("response", RESPONSE_SCHEMA)["mappings"]
+    return responses.where(answers.isNull()).groupBy("application_id").agg(F.count("*").alias("responses"))
+
+
 def label_responses(responses: DataFrame) -> DataFrame:
     """Labels from JSON responses (application_id, response_seq, response); a later one wins."""
     parsed = responses.select(

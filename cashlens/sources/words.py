@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 WORDS_SCHEMA = (
-    "application_id bigint, file_name string, page_no int, word_seq int, "
+    "application_id bigint, file_name string, upload_seq int, page_no int, word_seq int, "
     "x0 double, top double, text string"
 )
 
@@ -16,5 +16,5 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 def pages_without_words(pages: DataFrame, words: DataFrame) -> DataFrame:
     """Pages known from the text table for which no positioned word exists."""
-    keys = ["application_id", "file_name", "page_no"]
-    return pages.select(*keys).join(words.select(*keys).distinct(), keys, "left_anti")
+    keys = ["application_id", "file_name", "upload_seq", "page_no"]
+    return pages.select(*keys).distinct().join(words.select(*keys).distinct(), keys, "left_anti")

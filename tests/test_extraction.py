@@ -165,8 +165,10 @@ def test_pipeline_writes_all_outputs(spark, tmp_path):
     words = i.statement_words.where(keep)
     run = pipeline.Tables(
         # Words of the copies must not be read again.
-        words=words.unionByName(words.withColumn("file_name", F.lit("copy"))),
-        pages=i.statement_text.where(keep).unionByName(i.statement_text.where(keep).withColumn("file_name", F.lit("copy"))),
+        words=words.unionByName(words.withColumns({"file_name": F.lit("copy"), "upload_seq": F.lit(2)})),
+        pages=i.statement_text.where(keep).unionByName(
+            i.statement_text.where(keep).withColumns({"file_name": F.lit("copy"), "upload_seq": F.lit(2)})
+        ),
         inputs=i.application_inputs.where(keep),
         credit_profile=i.credit_profile.where(keep),
         files=files.unionByName(copies),
@@ -176,7 +178,7 @@ def test_pipeline_writes_all_outputs(spark, tmp_path):
     back = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in outputs}
     assert set(back) == {
         "ledger", "positions", "reconciliation", "category_summary", "review_kpis", "monthly_summary",
-        "scorecard", "score_components", "diagnostics",
+        "scorecard", "score_components", "diagnostics", "label_requests", "label_request_batches",
     }
     expected = i.ledger.where(keep).where("tx_type = 'credit' or (description like 'NSF%' and amount > 30)")
     assert back["ledger"].count() == expected.dropDuplicates(["application_id", "tx_date", "amount", "description", "tx_type"]).count()
@@ -204,9 +206,9 @@ def test_staging_uses_the_shared_folder(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(staging.PREFIX)]
 
 
-def test_lines_are_staged_without_a_third_shuffle(spark):
+def test_lines_take_one_shuffle_of_the_words(spark):
     inputs = Inputs(spark, SF)
     words = staging.stage(inputs.statement_words, "words")
     plan = text_lines(words)._jdf.queryExecution().executedPlan().toString()
-    # One to drop copies, one to bring pages together.
-    assert plan.count("Exchange hashpartitioning") == 2
+    # The one that brings pages together.
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -164,7 +164,7 @@ def test_file_dedup_and_text(spark):
     assert got == {"a": None, "b": None, "c": "a", "d": None, "e": "a"}
     pages = [(1, "a", 2, "two "), (1, "a", 1, " one"), (1, "a", 3, None), (1, "b", 1, " \n\t")]
     text = files.file_text(spark.createDataFrame(pages, "application_id bigint, file_name string, page_no int, text string"))
-    assert [tuple(r) for r in text.collect()] == [(1, "a", "one\ntwo")]
+    assert [tuple(r) for r in text.collect()] == [(1, "a", 1, "one\ntwo")]
 
 
 def test_overrides(spark):
