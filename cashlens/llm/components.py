@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,19 @@ def components(links: DataFrame, shelf: Shelf) -> DataFrame:
         return links.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
     smallest = shelf.put(moved.groupBy("root").agg(F.min(F.least("id", "root")).alias("component")))
     return shelf.put(moved.join(smallest, "root").select("id", "component"))
+
+
+def first_linked(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(firsts, others) from a matrix of links: each linked index that isn't the first of its component, with that first.
+
+    As many links as indexes keep the components that all pairs have.
+    """
+    found = np.flatnonzero(hits.any(axis=1))
+    near = hits[np.ix_(found, found)] | np.eye(len(found), dtype=bool)
+    label, before = np.arange(len(found)), None
+    while before is None or (label != before).any():
+        before = label
+        label = np.where(near, label[None, :], len(found)).min(axis=1, initial=len(found))
+        label = label[label]
+    moved = label != np.arange(len(found))
+    return found[label[moved]], found[moved]

@@ -2,8 +2,10 @@
 
 Why the result is whole: a pair at the threshold shares a band with probability 1 - (1 - s^rows)^bands (1 - 5e-8 for
 0.8, 4 rows, 32 bands) and survives pruning with probability 1 - miss at least per batch. Candidates of a band bucket
-are first compared with the bucket's leader only. Buckets whose members are not all in one component by then have every
-remaining pair across components compared, so no cap is needed and a big group of copies never becomes all its pairs.
+are first compared with the bucket's leader only. Buckets whose members are not all in one component by then are settled
+whole, without a cap: their members meet in blocks of bounded size, signatures first, then the full sets of those that
+have a likely partner in another component. A block is compared inside its task and yields at most a link for each
+member, so a group never becomes a table of its pairs, and members of one big component never meet.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashlens.llm.arrowtext import FOLD, mixed, parts, shingle_hashes, span_hashes, text_bytes, word_spans
-from cashlens.llm.components import components
+from cashlens.llm.components import components, first_linked
 from cashlens.llm.shelf import Shelf
 
 BANDS, ROWS, BATCH = 32, 4, 16
 HASHES = BANDS * ROWS
 BLOCK = 1 << 14  # shingles hashed at once, to stay in the cache
+MEMBERS, WEIGHT = 512, 1 << 18  # documents, and shingles in them, of a block that one task compares with another
+COLUMNS = 1 << 13  # shingles in a slice of the matrix of a block
 #: Sets smaller than this link with equal sets only: 80 of 100 shared needs at least 4 of 5.
 SMALLEST = 4
 
@@ -159,6 +163,118 @@ def _verify(width: int, over: int, under: int) -> Callable:
     return verify
 
 
+def _met(batch: pa.RecordBatch, payload: str) -> Iterator[tuple]:
+    """(group, ids, components, sizes, payloads, whether members are of different blocks or of the one block)."""
+    lists = batch.column("items")
+    flat = lists.flatten()
+    ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+    ids, component, n, own = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "n", "own"))
+    content = flat.field(payload)
+    for group, i, j, a, b in zip(*(batch.column(c).to_pylist() for c in ("group", "i", "j")), ends, ends[1:]):
+        at = slice(a, b)
+        across = np.ones((b - a, b - a), dtype=bool) if i == j else own[at, None] != own[None, at]
+        yield group, ids[at], component[at], n[at], content.slice(a, b - a), across
+
+
+def _possible(component: np.ndarray, n: np.ndarray, across: np.ndarray, over: int, under: int) -> np.ndarray:
+    fits = under * np.minimum(n[:, None], n[None]) >= over * np.maximum(n[:, None], n[None])
+    return fits & across & (component[:, None] != component[None])
+
+
+def _likely(least: list[int], over: int, under: int) -> Callable:
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of blocks that have, by their signatures, a likely partner in another component."""
+        for batch in batches:
+            groups, out = [], []
+            for group, ids, component, n, sigs, across in _met(batch, "sig"):
+                alive = _possible(component, n, across, over, under)
+                if not alive.any():
+                    continue
+                sig = np.frombuffer(b"".join(sigs.to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+                a, b = np.nonzero(np.triu(alive | alive.T))
+                equal = np.zeros(len(a), dtype=np.int64)
+                for k, m in enumerate(least):
+                    at = slice(k * BATCH, (k + 1) * BATCH)
+                    for start in range(0, len(a), 1 << 16):
+                        run = slice(start, start + (1 << 16))
+                        equal[run] += (sig[a[run], at] == sig[b[run], at]).sum(axis=1)
+                    stay = equal >= m
+                    a, b, equal = a[stay], b[stay], equal[stay]
+                found = ids[np.unique(np.concatenate([a, b]))]
+                out.extend(found.tolist())
+                groups.extend([group] * len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(out, pa.int64())], ["group", "id"])
+
+    return likely
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other, through slices of their incidence matrix."""
+    values = np.concatenate(sets)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, rows = values[order], rows[order]
+    number = np.cumsum(np.diff(values, prepend=values[:1]) != 0)
+    common = np.bincount(number)[number] > 1
+    number, rows = number[common], rows[common]
+    number = np.cumsum(np.diff(number, prepend=number[:1]) != 0) if len(number) else number
+    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        a, b = np.searchsorted(number, [start, start + COLUMNS])
+        matrix = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        matrix[rows[a:b], number[a:b] - start] = 1
+        out += matrix @ matrix.T
+    return out.astype(np.int64)
+
+
+def _exact(width: int, over: int, under: int) -> Callable:
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """True links between components inside blocks: for each member that has some, one to its first."""
+        for batch in batches:
+            a, b = [], []
+            for _, ids, component, n, texts, across in _met(batch, "text"):
+                possible = _possible(component, n, across, over, under)
+                if not possible.any():
+                    continue
+                sets = row_shingles(texts, width)
+                both = shared_counts(sets)
+                size = np.array([len(s) for s in sets])
+                hits = possible & (under * both >= over * (size[:, None] + size[None] - both))
+                first, other = first_linked(hits | hits.T)
+                a.extend(ids[first].tolist())
+                b.extend(ids[other].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return exact
+
+
+def _blocks(rows: DataFrame, payload: DataFrame, content: str, shelf: Shelf) -> DataFrame:
+    """(group, i, j, items): members (group, id, n, component) of groups, cut into blocks, blocks brought together by two.
+
+    Members of a component that fills a block of its own meet those of other components only; the rest, a group's
+    stragglers, meet everyone. Numbers of blocks come from counts, members are dealt to them by a hash.
+    """
+    sizes = rows.groupBy("group", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    sizes = shelf.put(sizes.withColumn("big", F.col("c") > MEMBERS))
+    of = lambda c, big: F.coalesce(F.sum(F.when(F.col("big") == big, F.col(c))), F.lit(0))
+    blocks = lambda big: F.ceil(F.greatest(of("c", big) / MEMBERS, of("s", big) / WEIGHT)).cast("int")
+    groups = sizes.groupBy("group").agg(
+        F.count(F.lit(1)).alias("components"), F.count_if("big").alias("bigs"), blocks(False).alias("ns"), blocks(True).alias("nm")
+    )
+    groups = shelf.put(groups.filter("components > 1"))
+    placed = rows.join(sizes.select("group", "component", "big"), ["group", "component"]).join(groups, "group")
+    spread = F.xxhash64(F.lit(29), "id")
+    within = lambda n: F.pmod(spread, F.greatest(n, F.lit(1)))
+    own = F.when(F.col("big"), F.col("ns") + within("nm")).otherwise(within("ns")).cast("int")
+    everyone = F.sequence(F.lit(0), F.col("ns") + F.col("nm") - 1)
+    met = F.filter(everyone, lambda k: ~F.col("big") | (F.col("bigs") > 1) | (k < F.col("ns")))
+    placed = placed.withColumn("own", own).select("group", "id", "n", "component", "own", F.explode(met).alias("with"))
+    placed = placed.join(payload, "id")
+    item = F.struct("id", "n", "component", "own", content).alias("item")
+    cut = placed.select("group", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), item)
+    return cut.groupBy("group", "i", "j").agg(F.collect_list("item").alias("items"))
+
+
 def near_components(
     docs: DataFrame,
     width: int = 5,
@@ -196,14 +312,16 @@ def near_components(
 
     near_size = lambda x, y: f"{under} * least({x}, {y}) >= {over} * greatest({x}, {y})"
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = shelf.put(ids.distinct().toDF("wanted"))
+        return shelf.put(source.join(wanted, F.col("id") == F.col("wanted"), "left_semi"))
+
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = shelf.put(pairs.distinct())
         side = lambda s: reps.select(F.col("id").alias(s), F.col("sig").alias(f"sig_{s}"))
         candidates = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b")
         alive = shelf.put(candidates.mapInArrow(_prune(least_matches(over / under, miss)), "a long, b long"))
-        wanted = shelf.put(alive.select("a").union(alive.select("b")).distinct().withColumnRenamed("a", "wanted"))
-        texts = source.filter("id IS NOT NULL").join(wanted, F.col("id") == F.col("wanted"), "left_semi")
-        texts = shelf.put(texts)
+        texts = texts_of(alive.select("a").union(alive.select("b")))
         text = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
         both = alive.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
         return shelf.put(both.mapInArrow(_verify(width, over, under), "a long, b long"))
@@ -212,17 +330,25 @@ def near_components(
     links = linked(star)
     found = components(links, shelf)
 
-    # Pairs that the leaders have not settled: same bucket, different components so far.
+    # What the leaders have not settled: buckets that hold several components.
     placed = members.join(found.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left")
     placed = placed.select("bucket", "id", "n", "lead", F.coalesce("component", "id").alias("component"))
     placed = shelf.put(placed.filter("id <> lead"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     split = shelf.put(split.filter("low <> high").select("bucket"))
-    open_ = shelf.put(placed.join(split, "bucket", "left_semi").select("bucket", "id", "n", "component"))
-    other = open_.toDF("bucket", "b", "n_b", "component_b")
-    across = open_.join(other, "bucket").filter("id < b AND component <> component_b").filter(near_size("n", "n_b"))
-    rest = linked(across.select(F.col("id").alias("a"), "b"))
-    found = components(links.union(rest), shelf)
+    open_ = shelf.put(placed.join(split, "bucket", "left_semi"))
+    # Buckets are put together by the least leader that their members know, so that a member is in few groups.
+    hubs = shelf.put(open_.groupBy("id").agg(F.min("lead").alias("hub")))
+    groups = shelf.put(open_.join(hubs, "id").groupBy("bucket").agg(F.min("hub").alias("group")))
+    rows = shelf.put(open_.join(groups, "bucket").select("group", "id", "n", "component").distinct())
+    sigs = _blocks(rows, reps.select("id", "sig"), "sig", shelf)
+    likely = sigs.mapInArrow(_likely(least_matches(over / under, miss), over, under), "group long, id long")
+    likely = shelf.put(likely.distinct())
+    rows = shelf.put(rows.join(likely, ["group", "id"], "left_semi"))
+    blocks = _blocks(rows, texts_of(rows.select("id")), "text", shelf)
+    rest = shelf.put(blocks.mapInArrow(_exact(width, over, under), "a long, b long"))
+    if rest.limit(1).count():
+        found = components(links.union(rest), shelf)
 
     of_class = classes.join(found.withColumnRenamed("id", "of"), F.col("rep") == F.col("of"), "left")
     of_class = shelf.put(of_class.select(*key, F.coalesce("component", "rep").alias("component_id")))

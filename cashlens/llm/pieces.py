@@ -162,10 +162,10 @@ class Lattice:
         node = self.final[words].copy()
         active = np.flatnonzero(node > self.origin[words])
         who, what = [], []
-        step = np.uint64(0)
+        step = 0
         while len(active):
-            step += np.uint64(1)
-            draw = (mixed(state[active] + step * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
+            step = (step + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+            draw = (mixed(state[active] + np.uint64(step)) >> np.uint64(11)) * 2.0**-53
             edge = self.first[node[active]]
             search = np.flatnonzero(draw >= self.upto[edge])
             while len(search):

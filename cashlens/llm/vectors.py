@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil, sqrt
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashlens.llm.components import components
+from cashlens.llm.components import components, first_linked
 from cashlens.llm.shelf import Shelf
 
 TREES = 12
@@ -147,18 +147,9 @@ def _local_links(dim: int, threshold: float) -> Callable:
             a, b = [], []
             for ids, _, own, x, same in _groups(batch, dim):
                 hits = _linked(x, own, same, threshold)
-                found = np.flatnonzero(hits.any(axis=1))
-                if not len(found):
-                    continue
-                hits = hits[np.ix_(found, found)] | np.eye(len(found), dtype=bool)
-                label, before = np.arange(len(found)), None
-                while before is None or (label != before).any():
-                    before = label
-                    label = np.where(hits, label[None, :], len(found)).min(axis=1)
-                    label = label[label]
-                moved = label != np.arange(len(found))
-                a.extend(ids[found[label[moved]]].tolist())
-                b.extend(ids[found[moved]].tolist())
+                first, other = first_linked(hits)
+                a.extend(ids[first].tolist())
+                b.extend(ids[other].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return join
