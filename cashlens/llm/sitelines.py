@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cashlens.llm.shelf import Shelf
 
+WHITE = " \t\n\x0b\x0c\r"
 #: Lines on so many sites are boilerplate.
 MIN_SITES = 5
 #: Sketches have 2^LOG_REGISTERS registers; their relative standard error is about 1.04 / 2^(LOG_REGISTERS / 2).
@@ -16,9 +17,9 @@ DEVIATIONS = 6
 
 
 def line_key(line: Column) -> Column:
-    """128 bits of a line without outer white space; null for a line without anything else."""
-    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(bare != "", F.unhex(F.md5(bare)))
+    """128 bits of a line without outer white space, as two hashes; null for a line without anything else."""
+    bare = F.btrim(line, F.lit(WHITE))
+    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit("line"), bare).alias("b")))
 
 
 def spread_lines(lines: DataFrame, shelf: Shelf, min_sites: int) -> DataFrame:
@@ -65,7 +66,9 @@ def drop_spread_lines(
     located = source.select(name, F.explode(F.array_distinct(F.transform(pieces, line_key))).alias("key"))
     hits = located.filter("key IS NOT NULL").join(spread, "key", "left_semi")
     hits = shelf.put(hits.groupBy("of").agg(F.collect_set("key").alias("drop")))
-    marked = source.withColumn("name", name).join(hits, F.col("name") == F.col("of"), "left")
+    # A hash join, as sorting whole texts for a merge would cost more than the small side's hash table.
+    named = source.withColumn("name", name)
+    marked = named.join(hits.hint("shuffle_hash"), F.col("name") == F.col("of"), "left")
     stays = lambda line: ~F.coalesce(F.array_contains("drop", line_key(line)), F.lit(False))
     kept = F.when(F.col("drop").isNull(), pieces).otherwise(F.filter(pieces, stays))
     counted = marked.select("id", "text", pieces.alias("all"), kept.alias("kept"))
