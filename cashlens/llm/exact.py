@@ -46,6 +46,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select(F.sha2("body", 256).alias("text_sha256"), "keep_id", "size")
         .filter("size > 1")
     )
+    shelf.keep(marks, classes)
     joined = marks.join(classes, "text_sha256", "left")
     keep_id = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(

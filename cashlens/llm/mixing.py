@@ -118,6 +118,7 @@ def mix(
     before = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("rank", "range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("start"))
     starts = shelf.put(starts.join(plan.select("rank", "source", "source_size", "target"), "rank"))
+    shelf.keep(placed, starts)
     inside = Window.partitionBy("rank", "range").orderBy("key", "id", "size")
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = placed.withColumn("upto", F.sum("size").over(inside)).join(starts, ["rank", "range"])

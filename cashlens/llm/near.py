@@ -352,6 +352,7 @@ def near_components(
 
     of_class = classes.join(found.withColumnRenamed("id", "of"), F.col("rep") == F.col("of"), "left")
     of_class = shelf.put(of_class.select(*key, F.coalesce("component", "rep").alias("component_id")))
+    shelf.keep(signed, of_class)
     marked = signed.drop("sig").join(of_class, key, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return marked.select(

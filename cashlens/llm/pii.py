@@ -229,6 +229,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     span = F.struct("kind", "start", "end")
     added = loose.join(good.select("kind", "pattern"), ["kind", "pattern"], "left_semi")
     added = shelf.put(added.groupBy("of").agg(F.collect_set(span).alias("added")))
+    shelf.keep(found, added)
     joined = found.drop("fills").join(added, "of", "left")
     both = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added"))
     return joined.select(

@@ -219,6 +219,7 @@ def quality_scores(
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y"))
     marks = marks.filter(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
     model = fit(stats, marks, shelf)
+    shelf.keep(stats)
     scored = stats.mapInArrow(_score(model), "id long, score double")
     return scored.select(
         F.col("id").alias(id_col),

@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "local" not in _local:
         _local["local"] = tempfile.mkdtemp(prefix="shelf-")
@@ -59,21 +59,24 @@ BATCH_BYTES = "16m"
 
 
 class Shelf:
-    """Tables written by one operator call. `drop` deletes those that no later step reads."""
+    """Tables written by one operator call. `keep` deletes those that the result doesn't read."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, []
+        self.spark, self.name = spark, name
+        self.tables: list[tuple[DataFrame, str]] = []
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def put(self, df: DataFrame) -> DataFrame:
         path = new_path(self.spark, self.name)
         df.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *frames: DataFrame) -> None:
-        for frame in frames:
-            for path in [p for p in self.paths if any(p.rsplit("/", 1)[-1] in f for f in frame.inputFiles()[:1])]:
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Call it when all other tables have served: every plan that reads them has run."""
+        for table, path in self.tables:
+            if not any(table is frame for frame in frames):
                 _delete(self.spark, path)
                 _runs.pop(path, None)
-                self.paths.remove(path)
+        self.tables = [(table, path) for table, path in self.tables if path in _runs]

@@ -66,6 +66,7 @@ def drop_spread_lines(
     located = source.select(name, F.explode(F.array_distinct(F.transform(pieces, line_key))).alias("key"))
     hits = located.filter("key IS NOT NULL").join(spread, "key", "left_semi")
     hits = shelf.put(hits.groupBy("of").agg(F.collect_set("key").alias("drop")))
+    shelf.keep(hits)
     # A hash join, as sorting whole texts for a merge would cost more than the small side's hash table.
     named = source.withColumn("name", name)
     marked = named.join(hits.hint("shuffle_hash"), F.col("name") == F.col("of"), "left")

@@ -224,6 +224,7 @@ def near_vectors(
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         )
     )
+    shelf.keep(valid, info)
     linked = valid.join(info, ["label", "vec"]).select("id", "n_links", "component_id")
     invalid = source.withColumn("ok", _is_valid()).filter(~F.col("ok"))
     alone = invalid.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

@@ -117,6 +117,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     joined = rows.join(again, (F.col("page_id") == F.col("of")) & (F.col("digest") == F.col("d")), "left")
     records = joined.select("page_id", "url", "html", "first", "digest").mapInArrow(_records, "value string")
     records.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path, compression="gzip")
+    shelf.keep()
 
 
 #: What a record is read as. A continuation has its origin's id in `origin`; other records have their own there.

@@ -57,4 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = shelf.put(docs)
+            shelf.keep(docs)
     return docs
