@@ -404,6 +404,9 @@ FROM (SELECT application_id, month, count(*) FILTER (tx_type = 'credit') AS depo
   count(*) FILTER (is_revenue) AS revenue_count, coalesce(sum(amount) FILTER (is_revenue), 0) AS total_revenue,
   count(*) FILTER (tx_type = 'credit' AND NOT is_revenue) AS non_revenue_count, coalesce(sum(amount) FILTER (tx_type = 'credit' AND NOT is_revenue), 0) AS total_non_revenue
   FROM classified WHERE month IS NOT NULL GROUP BY application_id, month) LEFT JOIN position_sums USING (application_id)""",
+    "written_output": f"""
+SELECT application_id, month, count(*) FILTER (tx_type = 'credit') AS deposits, {_number("coalesce(sum(amount) FILTER (tx_type = 'credit'), 0)", 'deposit_total')}
+FROM classified GROUP BY application_id, month""",
     "loan_columns": f"SELECT application_id, position_count, {_number('total_monthly_payment', 'total_monthly_payment')} FROM position_sums",
     "deposit_stats": f"SELECT application_id, {_number('gross_deposits', 'gross_deposits')}, {_number('median_deposit', 'median_deposit')}, {_number('largest_deposit', 'largest_deposit')} FROM deposits",
     "revenue_series": f"SELECT application_id, revenue_months, {_number('avg_true_revenue', 'avg_true_revenue')}, deposit_count FROM series",

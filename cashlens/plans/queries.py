@@ -25,9 +25,9 @@ from cashlens.operators import (
     wash,
 )
 from cashlens.operators.settle import settle
-from cashlens.plans import extract
+from cashlens.plans import extract, staging
 from cashlens.plans.inputs import Inputs
-from cashlens.sources import credit, dimensions, files, labels, words
+from cashlens.sources import credit, dimensions, files, labels, sinks, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -714,6 +714,14 @@ def loan_columns(i: Inputs) -> DataFrame:
     return positions.position_totals(found_positions(i))
 
 
+@query
+def written_output(i: Inputs) -> DataFrame:
+    """Monthly sums of the ledger, written as an output table and read back."""
+    path = staging.new_path(i.spark, "output")
+    sinks.write_output(months_of(i), path, buckets=4)
+    return i.spark.read.parquet(path).select("application_id", "month", "deposits", "deposit_total")
+
+
 # --- metrics, score, offer ------------------------------------------------------------------
 
 

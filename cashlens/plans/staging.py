@@ -29,7 +29,7 @@ def _run_dir(spark: SparkSession) -> str:
     return f"{staging_dir(spark)}/{spark.sparkContext.applicationId}"
 
 
-def _place(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str) -> str:
     if not _used:
         atexit.register(_forget_at_exit)
     _used[spark.sparkContext.applicationId] = spark
@@ -48,7 +48,7 @@ def _forget_at_exit() -> None:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` and read it back: cuts its lineage, survives lost executors, prunes columns."""
     spark = df.sparkSession
-    path = _place(spark, name)
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,7 +62,7 @@ def stage_bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = _place(spark, name)
+    path = new_path(spark, name)
     table = PREFIX + path.rsplit("/", 1)[1]
     df.write.bucketBy(buckets, *keys).option("path", path).format("parquet").saveAsTable(table)
     return spark.table(table)
