@@ -52,5 +52,68 @@ FROM folded f JOIN grouped g USING (body)
 """
 
 
+OP4 = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingle FROM worded),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT a AS id, a AS node FROM edges UNION SELECT r.id, e.b FROM reached r JOIN edges e ON e.a = r.node),
+least AS (SELECT id, min(node) AS component FROM reached GROUP BY id)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(l.component, d.doc_id) AS component_id, coalesce(l.component, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.id = d.doc_id
+"""
+
+OP7 = """
+WITH RECURSIVE doubles AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+usable AS (
+  SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM doubles
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(v, v) > 0),
+edges AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.u) = len(b.u)
+  WHERE list_inner_product(a.u, b.u) >= 0.93),
+reached AS (SELECT a AS id, a AS node FROM edges UNION SELECT r.id, e.b FROM reached r JOIN edges e ON e.a = r.node),
+least AS (SELECT id, min(node) AS component FROM reached GROUP BY id),
+counted AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(l.component, e.vec_id) AS component_id, coalesce(l.component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counted c ON c.a = e.vec_id LEFT JOIN least l ON l.id = e.vec_id
+"""
+
+OP8 = """
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to, CAST(NULL AS VARCHAR) AS fault
+FROM firsts
+"""
+
+OP9 = """
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents),
+bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b FROM lines),
+spread AS (SELECT b FROM bare WHERE b <> '' AND source IS NOT NULL GROUP BY b HAVING count(DISTINCT source) >= 5),
+marked AS (SELECT x.*, s.b IS NOT NULL AS gone FROM bare x LEFT JOIN spread s ON s.b = x.b)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '') END AS text,
+  count(place)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_removed
+FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, d.text
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1, "op2_exact_dedup": OP2}
+    return {
+        "op1_mix": OP1,
+        "op2_exact_dedup": OP2,
+        "op4_near_dedup": OP4,
+        "op7_near_vectors": OP7,
+        "op8_warc": OP8,
+        "op9_line_dedup": OP9,
+    }
