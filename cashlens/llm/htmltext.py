@@ -31,6 +31,7 @@ BOILER_WORDS = frozenset(
     "form hidden contentinfo complementary navigation".split()
 )
 MAIN = ("article", "main")
+NAMING = ("class", "id", "role")
 
 WINDOW = 3  # lines in a block of the distribution
 SURGE = 80  # characters in a block at which text begins, where no element marks the article
@@ -38,7 +39,8 @@ LINK_SHARE = 0.7  # of a line's characters in links, from which on it is a menu
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _TOKEN = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?][^>]*+>""")
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# Attributes are consumed in order, values with them, so that no name is found inside a value.
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+""")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
@@ -50,11 +52,11 @@ def _beside(name: str, attributes: str, in_main: bool) -> bool:
         return True
     if not attributes or name in ("html", "body", *MAIN):
         return False
-    for key, value in _NAMED.findall(attributes):
+    for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if not BOILER_WORDS.isdisjoint(_WORDS.findall(value)):
+        if key in NAMING and not BOILER_WORDS.isdisjoint(_WORDS.findall(value)):
             return True
     return False
 

@@ -49,3 +49,11 @@ def test_broken_and_empty_pages(spark):
     assert len(found) == 8 and found[1].text == found[2].text == "" and found[3].text == "just text"
     assert found[4].text.startswith("a") and found[5].text.count("y & z") == 30_000 and found[None].text == "n"
     assert htmltext.main_text(pages.limit(0)).count() == 0
+
+
+def test_words_inside_other_attributes_hide_nothing():
+    for attribute in ('style="overflow: hidden"', 'title="a hidden gem" data-x=1', "alt='see class=ad and hidden'", "data-a=hidden", "data-class=ad", 'title="class=\'ad\'"'):
+        assert text(f"<div {attribute}><article><p {attribute}>Text</p></article></div>") == "Text", attribute
+        assert text(f"<div {attribute}><p>Some text without an article</p></div>") == "Some text without an article", attribute
+    for attribute in ("hidden", 'title="x"hidden', "HIDDEN=''", "class = 'x ad'", "title=a aria-hidden=true", 'style="a" id=ad'):
+        assert text(f"<article><p>Text</p><div {attribute}>Beside</div></article>") == "Text", attribute
