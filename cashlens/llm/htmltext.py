@@ -30,6 +30,7 @@ BOILER_WORDS = frozenset(
     "sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar "
     "form hidden contentinfo complementary navigation".split()
 )
+EMPTY = frozenset(VOID + RAW)  # elements without content, which hide nothing; raw ones are left in the tokens only if self-closed
 MAIN = ("article", "main")
 NAMING = ("class", "id", "role")
 
@@ -137,7 +138,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 main_until = max(main_until, ends.get(i, len(tokens)))
             elif name == "a":
                 link_until = max(link_until, ends.get(i, i))
-            if i >= beside_until and _beside(name, attributes, i < main_until):
+            if name not in EMPTY and i >= beside_until and _beside(name, attributes, i < main_until):
                 beside_until = ends.get(i, i + 2)
         new = (i < beside_until, i < main_until)
         if name in BLOCK or new != state:

@@ -57,3 +57,11 @@ def test_words_inside_other_attributes_hide_nothing():
         assert text(f"<div {attribute}><p>Some text without an article</p></div>") == "Some text without an article", attribute
     for attribute in ("hidden", 'title="x"hidden', "HIDDEN=''", "class = 'x ad'", "title=a aria-hidden=true", 'style="a" id=ad'):
         assert text(f"<article><p>Text</p><div {attribute}>Beside</div></article>") == "Text", attribute
+
+
+def test_void_elements_hide_nothing():
+    for tag in ('<img class="ad-banner ad" src=x>', '<img alt="x" hidden>', "<input class=share>", "<img class=header />", '<svg class="share"/>', "<wbr class=ad>"):
+        assert text(f"<article><p>Text {tag} rest of the sentence</p></article>") == "Text rest of the sentence", tag
+        assert text(f"<p>Text {tag} rest of the sentence</p>") == "Text rest of the sentence", tag
+    assert text("<article><p>Text</p><hr class=related>after the rule</article>") == "Text\n\nafter the rule"
+    assert text("<article><p>Text</p><div class=ad>unclosed<p>after</article>") == "Text\n\nafter"
