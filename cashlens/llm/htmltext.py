@@ -30,6 +30,16 @@ BOILER_WORDS = frozenset(
     "sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar "
     "form hidden contentinfo complementary navigation".split()
 )
+# Words that say where or what such a part is, and decide nothing by themselves.
+PLACE_WORDS = frozenset(
+    "site page left right top bottom primary secondary upper lower sticky fixed floating mobile desktop global list item items "
+    "bar box block area section container wrap wrapper inner outer panel column col links link buttons button icons".split()
+)
+# Parts that hold articles of their own: those in them don't show that they wrap the page's article.
+OWN_ARTICLES = frozenset(
+    "aside nav footer dialog menu button label related recommended comment comments commentlist reply replies respond disqus "
+    "discussion".split()
+)
 EMPTY = frozenset(VOID + RAW)  # elements without content, which hide nothing; raw ones are left in the tokens only if self-closed
 MAIN = ("article", "main")
 NAMING = ("class", "id", "role")
@@ -47,19 +57,27 @@ _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _beside(name: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element holds something beside the article. A header inside the article carries its title."""
+def _beside(name: str, attributes: str, in_main: bool) -> str:
+    """The word that names an element as something beside the article, or "". A header inside the article carries its title.
+
+    A token of a class, id or role names it if all words of the token do so, or say where it is: sidebar, site-footer and
+    cookie-notice, but not has-sidebar.
+    """
     if name in BOILER and not (name == "header" and in_main):
-        return True
+        return name
     if not attributes or name in ("html", "body", *MAIN):
-        return False
+        return ""
+    found = set()
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key in NAMING and not BOILER_WORDS.isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+            found.add("hidden")
+        if key in NAMING:
+            for token in value.split():
+                words = _WORDS.findall(token)
+                if all(w in BOILER_WORDS or w in PLACE_WORDS for w in words):
+                    found.update(w for w in words if w in BOILER_WORDS)
+    return min(found, key=lambda w: (w not in OWN_ARTICLES, w), default="")
 
 
 def _tokens(page: str) -> list[tuple[str, str, str]]:
@@ -107,10 +125,40 @@ def _ends(tokens: list[tuple[str, str, str]]) -> dict[int, int]:
     return ends
 
 
+class _Contents:
+    """What elements hold: characters outside links, article and main elements, as sums up to each token."""
+
+    def __init__(self, tokens: list[tuple[str, str, str]], ends: dict[int, int]):
+        self.free, self.articles, self.mains = [0], [0], [0]
+        link_until = 0
+        for i, (kind, name, _) in enumerate(tokens):
+            opens = kind == "open"
+            if opens and name == "a":
+                link_until = max(link_until, ends.get(i, i))
+            self.free.append(self.free[-1] + (len(name.strip()) if kind == "text" and i >= link_until else 0))
+            self.articles.append(self.articles[-1] + (opens and name == "article"))
+            self.mains.append(self.mains[-1] + (opens and name == "main"))
+
+    def wraps(self, start: int, end: int, word: str, in_main: bool) -> bool:
+        """Whether an element named by `word` is a wrapper: it holds article or main, or most text outside links.
+
+        A short part of a short article can be most of it: inside article and main, it must be all or SURGE characters.
+        """
+        inside = lambda sums: sums[end] - sums[start]
+        most = 2 * inside(self.free) > self.free[-1]
+        most = most and (not in_main or inside(self.free) >= min(SURGE, self.free[-1]))
+        if inside(self.mains):
+            return True
+        if word in OWN_ARTICLES:
+            return most and inside(self.articles) == self.articles[-1]
+        return most or inside(self.articles) > 0
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, beside the article, inside article or main) for each block of text, in page order."""
     tokens = _tokens(page)
     ends = _ends(tokens)
+    contents = _Contents(tokens, ends)
     lines: list[tuple[str, int, bool, bool]] = []
     held: list[str] = []
     linked = beside_until = main_until = link_until = 0
@@ -138,8 +186,9 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 main_until = max(main_until, ends.get(i, len(tokens)))
             elif name == "a":
                 link_until = max(link_until, ends.get(i, i))
-            if name not in EMPTY and i >= beside_until and _beside(name, attributes, i < main_until):
-                beside_until = ends.get(i, i + 2)
+            if name not in EMPTY and i >= beside_until and (word := _beside(name, attributes, i < main_until)):
+                end = min(ends.get(i, i + 2), len(tokens))
+                beside_until = i if contents.wraps(i, end, word, i < main_until) else end
         new = (i < beside_until, i < main_until)
         if name in BLOCK or new != state:
             flush()

@@ -65,3 +65,28 @@ def test_void_elements_hide_nothing():
         assert text(f"<p>Text {tag} rest of the sentence</p>") == "Text rest of the sentence", tag
     assert text("<article><p>Text</p><hr class=related>after the rule</article>") == "Text\n\nafter the rule"
     assert text("<article><p>Text</p><div class=ad>unclosed<p>after</article>") == "Text\n\nafter"
+
+
+def test_wrappers_of_the_article_are_not_beside_it():
+    names = ["layout has-sidebar", "no-sidebar", "post-share-ready", "left side", "form", "notice", "x sidebar"]
+    openings = [f'<div class="{n}">' for n in names] + ["<div id=main-form>", "<form action=/>", "<div role=search>", "<div hidden>", "<header>"]
+    for opening in openings:
+        close = f"</{opening[1:].split(' ')[0].rstrip('>')}>"
+        beside = "<div class='sidebar'>Side <p>text</div><aside>More</aside><form>Sign up</form>"
+        for body in ("<article><p>The text.</p></article>", "<main><p>The text.</p></main>"):
+            long = "<section>Imprint and other text that is much longer than the article</section>"
+            assert text(f"<body>{opening}{beside}{body}{close}{long}") == "The text.", opening
+            assert text(f"<body>{opening}{opening}{beside}{body}{close}{close}") == "The text.", opening
+        prose = "<p>Most of the page's text stands in one wrapper, with no article.</p>" * 2
+        assert text(f"<body>{opening}{beside}{prose}{close}").count("Most of") == 2, opening
+        assert text(f"<article>{opening}{beside}{prose}{close}</article>") == text(f"<article>{prose}</article>"), opening
+
+
+def test_parts_stay_beside_the_article():
+    for name in ("sidebar", "site-footer", "cookie-notice", "x ad", "left side", "comment-list", "nav2"):
+        assert text(f"<article><p>The text.</p><div class='{name}'>Beside</div></article>") == "The text.", name
+    post = "<p>The text of a page that marks nothing itself.</p>"
+    for opening in ("<aside>", "<section class=related>", "<section id=comments>"):
+        close = f"</{opening[1:].split(' ')[0].rstrip('>')}>"
+        assert text(f"<div>{post}</div>{opening}<article>Another</article>{close}") == text(post), opening
+        assert text(f"<main><article>{post}</article>{opening}<article>{post * 3}</article>{close}</main>") == text(post), opening
