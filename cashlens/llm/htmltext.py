@@ -154,27 +154,57 @@ class _Contents:
         return most or inside(self.articles) > 0
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, beside the article, inside article or main) for each block of text, in page order."""
+class _Blocks:
+    """The open block elements, as tokens are passed in order."""
+
+    def __init__(self, tokens: list[tuple[str, str, str]], ends: dict[int, int]):
+        self.tokens, self.ends = tokens, ends
+        self.open: list[int] = []
+        self.holders: set[int] = set()  # elements with block elements in them
+
+    def at(self, i: int) -> None:
+        while self.open and self.ends[self.open[-1]] <= i:
+            self.open.pop()
+        if self.tokens[i][0] == "open" and self.tokens[i][1] in BLOCK and i in self.ends:
+            self.holders.update(self.open[-1:])
+            self.open.append(i)
+
+    def place(self) -> tuple[int, int]:
+        """The innermost element and the one around it; -1 is the page."""
+        around, own = [-1, -1, *self.open][-2:]
+        return own, around
+
+
+def page_lines(page: str) -> list[tuple[str, int, bool, bool, int, bool]]:
+    """Each block of text, in page order.
+
+    (text, characters in links, beside the article, inside article or main, the element that holds the block, whether the
+    block is a paragraph of its own)
+    """
     tokens = _tokens(page)
     ends = _ends(tokens)
     contents = _Contents(tokens, ends)
-    lines: list[tuple[str, int, bool, bool]] = []
+    blocks = _Blocks(tokens, ends)
+    lines: list[tuple[str, int, bool, bool, tuple[int, int]]] = []
     held: list[str] = []
     linked = beside_until = main_until = link_until = 0
     state = (False, False)
+    place = (-1, -1)
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
         if text:
-            lines.append((text, linked, *state))
+            lines.append((text, linked, *state, place))
         held.clear()
         linked = 0
 
     for i, (kind, name, attributes) in enumerate(tokens):
         if kind == "text":
             held.append(name)
+            if not name.isspace():
+                blocks.at(i)
+                place = blocks.place()
             if i < link_until:
                 linked += len(name.strip())
             continue
@@ -193,19 +223,28 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if name in BLOCK or new != state:
             flush()
             state = new
+        blocks.at(i)
     flush()
-    return lines
+    out = []
+    for *line, (own, around) in lines:
+        # Text between the blocks of an element is a block of its own.
+        out.append((*line, own if own in blocks.holders else around, own >= 0 and tokens[own][1] == "p"))
+    return out
 
 
 def main_blocks(page: str | None) -> list[str]:
-    """Blocks of the article. Lines beside it have length 0 in the distribution, and lines of links where none is marked."""
+    """Blocks of the article. Blocks beside it are no lines of the distribution; lines of links have length 0.
+
+    Where no element marks the article, text that begins later or ends earlier than the distribution says joins it as
+    a sibling: regions that the same element holds as blocks of the article, and paragraphs among its paragraphs.
+    """
     lines = page_lines(page or "")
-    marked = any(inside and not beside for _, _, beside, inside in lines)
-    length = []
-    for text, linked, beside, inside in lines:
-        off = beside or (not inside if marked else linked >= LINK_SHARE * len(text))
-        length.append(0 if off else len(text))
-    surge = 1 if marked else min(SURGE, max(1, max(length, default=1) // 2))
+    marked = any(inside and not beside for _, _, beside, inside, *_ in lines)
+    lines = [line for line in lines if not line[2] and (line[3] or not marked)]
+    if marked:
+        return [line[0] for line in lines]
+    length = [0 if line[1] >= LINK_SHARE * len(line[0]) else len(line[0]) for line in lines]
+    surge = min(SURGE, max(1, max(length, default=1) // 2))
     regions: list[list[int]] = []
     i = 0
     while i < len(lines):
@@ -218,9 +257,14 @@ def main_blocks(page: str | None) -> list[str]:
         else:
             i += 1
     size = [sum(length[i] for i in region) for region in regions]
-    kept = [r for r, s in zip(regions, size) if marked or 5 * s >= max(size)]
-    drop = lambda i: lines[i][2] or (marked and not lines[i][3])
-    return [lines[i][0] for region in kept for i in region if length[i] or not drop(i)]
+    kept = {i for region, s in zip(regions, size) if 5 * s >= max(size) for i in region}
+    within = {lines[i][4] for i in kept if length[i]}
+    paragraphs = {lines[i][4] for i in kept if length[i] and lines[i][5]}
+    for region in regions:
+        if any(length[i] and lines[i][4] in within for i in region):
+            kept.update(region)
+    kept.update(i for i, line in enumerate(lines) if length[i] and line[5] and line[4] in paragraphs)
+    return [lines[i][0] for i in sorted(kept)]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

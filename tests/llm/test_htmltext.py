@@ -90,3 +90,21 @@ def test_parts_stay_beside_the_article():
         close = f"</{opening[1:].split(' ')[0].rstrip('>')}>"
         assert text(f"<div>{post}</div>{opening}<article>Another</article>{close}") == text(post), opening
         assert text(f"<main><article>{post}</article>{opening}<article>{post * 3}</article>{close}</main>") == text(post), opening
+
+
+def test_unmarked_pages_with_parts_inside_the_article():
+    long = ["Long enough sentence of the main text that says something, number %d." % k for k in range(12)]
+    advert = "<div class=ad><p>Buy</p><p>this</p><p>now</p><p>please</p></div>"
+    links = "".join(f"<div><a href=/{k}>Read entry number {k}</a></div>" for k in range(4))
+    for tag in ("p", "div"):
+        block = lambda t: f"<{tag}>{t}</{tag}>"  # noqa: B023, E731
+        body = "".join(map(block, long))
+        # A short lead, and a short end, next to parts beside the article.
+        page = f"<body><div>{block('A lead.')}{advert}{body}{advert}{block('An end.')}</div></body>"
+        assert text(page) == "\n\n".join(["A lead.", *long, "An end."]), tag
+        # A later and an earlier region after unnamed blocks of links, of less than a fifth of the article.
+        late = "One more sentence of the main text, which is long enough to begin a region of its own."
+        page = f"<body>{links}<div>{block(late)}{links}{body}{links}{block(late)}</div>{links}<div>Imprint</div></body>"
+        assert text(page) == "\n\n".join([late, *long, late]), tag
+    page = f"<body><div><p>A lead.</p>{links}{''.join(f'<p>{t}</p>' for t in long)}{links}<p>An end.</p></div>{links}<p>Imprint</p></body>"
+    assert text(page) == "\n\n".join(["A lead.", *long, "An end."])
