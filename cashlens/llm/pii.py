@@ -182,9 +182,10 @@ def pattern_confidence(fills: DataFrame, shelf: Shelf, rounds: int = ROUNDS) ->
     """(kind, pattern, confidence, support) from fills (kind, seed, instance, patterns): the scored graph's good patterns.
 
     An identifier's score is 1 if it is a seed, else the best confidence among the patterns it follows; a pattern's
-    confidence is the summed score of its identifiers of a kind over all its fillers, of whatever kind. Copies of a
-    text repeat both, so identifiers of a pattern count once each. Every step is an aggregation with map-side combining
-    or a join of written tables.
+    confidence is the summed score of its identifiers of a kind over all its fillers, of whatever kind, without those of
+    its kind that have no score yet: they speak neither for it nor against it. Copies of a text repeat both, so
+    identifiers of a pattern count once each. Every step is an aggregation with map-side combining or a join of written
+    tables.
     """
     edges = fills.select("kind", "seed", "instance", F.explode("patterns").alias("pattern"))
     edges = shelf.put(edges.groupBy("kind", "instance", "pattern").agg(F.max("seed").alias("seed")))
@@ -195,9 +196,15 @@ def pattern_confidence(fills: DataFrame, shelf: Shelf, rounds: int = ROUNDS) ->
     seeds = scores = shelf.put(scores)
     good = None
     for _ in range(rounds):
-        scored = known.join(scores, ["kind", "instance"]).groupBy("kind", "pattern")
-        scored = scored.agg(F.sum("score").alias("mass"), F.sum((F.col("score") >= CONFIDENCE).cast("int")).alias("support"))
-        joined = scored.join(fillers, "pattern").withColumn("confidence", F.col("mass") / (F.col("n") + PRIOR))
+        scored = known.join(scores, ["kind", "instance"], "left").groupBy("kind", "pattern")
+        scored = scored.agg(
+            F.sum("score").alias("mass"),
+            F.sum((F.col("score") >= CONFIDENCE).cast("int")).alias("support"),
+            F.sum(F.col("score").isNull().cast("int")).alias("undecided"),
+        )
+        # Rounded, so that the order in which scores are summed doesn't decide at the threshold.
+        share = F.col("mass") / (F.col("n") - F.col("undecided") + PRIOR)
+        joined = scored.filter("mass IS NOT NULL").join(fillers, "pattern").withColumn("confidence", F.round(share, 9))
         good = joined.filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE))
         good = shelf.put(good.select("kind", "pattern", "confidence", "support"))
         found = known.filter("NOT seed").join(good, ["kind", "pattern"]).groupBy("kind", "instance")

@@ -69,3 +69,17 @@ def test_contexts_discover_and_clean_text_stays(spark):
         added = ["phone:18:32"] if r.doc_id == 20 else []
         assert r.spans == ",".join(base + added) and r.n_added == len(added)
     assert pii.personal_data(documents(spark, rows).limit(0)).count() == 0
+
+
+def test_contexts_with_many_unseen_identifiers(spark):
+    seen = lambda first, n, words, after="": [(first + k, f"{words} +1 (555) 010-{first + k}{after}") for k in range(n)]
+    unseen = lambda first, n, words: [(first + k, f"{words} (555) 010-{first + k}") for k in range(n)]
+    rows = seen(1000, 8, "please dial") + unseen(1100, 8, "please dial")
+    rows += seen(1200, 4, "reach hotline") + unseen(1300, 150, "reach hotline")
+    # Unspecific: other tokens, or another kind, between the phones; and too few trusted ones.
+    rows += seen(2000, 8, "we sold") + unseen(2100, 8, "we sold") + [(2200 + k, f"we sold {k} pieces") for k in range(3)]
+    rows += seen(3000, 8, "his entry") + unseen(3100, 8, "his entry") + [(3200 + k, f"his entry 10.0.0.{k}") for k in range(3)]
+    rows += seen(4000, 3, "maybe at") + unseen(4100, 8, "maybe at")
+    found = {r.doc_id: r.n_added for r in pii.personal_data(documents(spark, rows)).collect()}
+    assert {i for i, n in found.items() if n} == {*range(1100, 1108), *range(1300, 1450)}
+    assert set(found.values()) == {0, 1}
