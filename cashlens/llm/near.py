@@ -1,7 +1,7 @@
 """MinHash near-dedup: banded candidates, sequential Bayesian pruning of signature batches, exact verification.
 
 Why the result is whole: a pair at the threshold shares a band with probability 1 - (1 - s^rows)^bands (1 - 5e-8 for
-0.8, 4 rows, 32 bands) and survives pruning with probability 1 - miss at least per batch. Candidates of a band bucket
+0.8, 4 rows, 32 bands; lower thresholds take shorter bands) and survives pruning with probability 1 - miss at least per batch. Candidates of a band bucket
 are first compared with the bucket's leader only. Buckets whose members are not all in one component by then are settled
 whole, without a cap: their members meet in blocks of bounded size, signatures first, then the full sets of those that
 have a likely partner in another component. A block is compared inside its task and yields at most a link for each
@@ -22,13 +22,12 @@ from cashlens.llm.arrowtext import FOLD, mixed, parts, shingle_hashes, span_hash
 from cashlens.llm.components import components, first_linked
 from cashlens.llm.shelf import Shelf
 
-BANDS, ROWS, BATCH = 32, 4, 16
-HASHES = BANDS * ROWS
+HASHES, BATCH = 128, 16
+ROWS = (4, 2, 1)  # of a band: the first with which a pair at the threshold shares no band with a chance of MISSED at most
+MISSED = 1e-7
 BLOCK = 1 << 14  # shingles hashed at once, to stay in the cache
 MEMBERS, WEIGHT = 512, 1 << 18  # documents, and shingles in them, of a block that one task compares with another
 COLUMNS = 1 << 13  # shingles in a slice of the matrix of a block
-#: Sets smaller than this link with equal sets only: 80 of 100 shared needs at least 4 of 5.
-SMALLEST = 4
 
 _FACTORS = np.random.default_rng(3).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -94,22 +93,35 @@ def _sign(width: int) -> Callable:
     return sign
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each band of a signature: a hash of the band's number and its values."""
-    factors = np.random.default_rng(5).integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-    for batch in batches:
-        for start in range(0, batch.num_rows, 4096):
-            cut = batch.slice(start, 4096)
-            sig = np.frombuffer(b"".join(cut.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, BANDS, ROWS)
-            keys = mixed((sig.astype(np.uint64) * factors).sum(axis=2) + np.arange(BANDS, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys.astype(np.int64).ravel()),
-                    pa.array(np.repeat(cut.column("id").to_numpy(), BANDS)),
-                    pa.array(np.repeat(cut.column("n_shingles").to_numpy(), BANDS)),
-                ],
-                ["bucket", "id", "n"],
-            )
+def band_rows(similarity: float) -> int:
+    return next((r for r in ROWS if (1 - similarity**r) ** (HASHES // r) <= MISSED), ROWS[-1])
+
+
+def smallest_linking(over: int, under: int) -> int:
+    """Sets smaller than this link with equal sets only: 80 of 100 shared needs at least 4 of 5."""
+    return -(-over // (under - over)) if under > over else 1 << 62
+
+
+def _bands(rows: int) -> Callable:
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each band of a signature: a hash of the band's number and its values."""
+        n = HASHES // rows
+        factors = np.random.default_rng(5).integers(1, 2**63, (n, rows), dtype=np.uint64) | np.uint64(1)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                cut = batch.slice(start, 4096)
+                sig = np.frombuffer(b"".join(cut.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, n, rows)
+                keys = mixed((sig.astype(np.uint64) * factors).sum(axis=2) + np.arange(n, dtype=np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys.astype(np.int64).ravel()),
+                        pa.array(np.repeat(cut.column("id").to_numpy(), n)),
+                        pa.array(np.repeat(cut.column("n_shingles").to_numpy(), n)),
+                    ],
+                    ["bucket", "id", "n"],
+                )
+
+    return bands
 
 
 def least_matches(similarity: float, miss: float) -> list[int]:
@@ -300,12 +312,12 @@ def near_components(
     classes = shelf.put(solid.groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("rep")))
     key = ["fp1", "fp2", "n_shingles"]
     # Each class is represented by its smallest id.
-    firsts = classes.filter(f"n_shingles >= {SMALLEST}").select(
+    firsts = classes.filter(f"n_shingles >= {smallest_linking(over, under)}").select(
         F.col("rep").alias("id"), F.col("fp1").alias("f1"), F.col("fp2").alias("f2")
     )
     reps = solid.join(firsts, "id").filter("fp1 = f1 AND fp2 = f2").select("id", "n_shingles", "sig")
     reps = shelf.put(reps)
-    banded = reps.mapInArrow(_bands, "bucket long, id long, n long")
+    banded = reps.mapInArrow(_bands(band_rows(over / under)), "bucket long, id long, n long")
     leaders = banded.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lead"), F.count(F.lit(1)).alias("size"))
     leaders = shelf.put(leaders.filter("size > 1").select("bucket", "lead.*").toDF("bucket", "lead", "lead_n"))
     members = shelf.put(banded.join(leaders, "bucket"))

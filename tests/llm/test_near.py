@@ -64,3 +64,15 @@ def test_components(spark):
     df = spark.createDataFrame([(b, a) for a, b in links], "a long, b long")
     assert {r.id: r.component for r in components(df, Shelf(spark, "t")).collect()} == want
     assert components(df.limit(0), Shelf(spark, "t")).count() == 0
+
+
+def test_low_thresholds(spark):
+    assert [near.band_rows(s) for s in (0.5, 0.75, 0.8, 0.9)] == [2, 2, 4, 4]
+    assert [near.smallest_linking(*x) for x in ((1, 2), (3, 4), (80, 100), (81, 100), (1, 1))] == [1, 3, 4, 5, 1 << 62]
+    rows = [(1, "a"), (2, "a b"), (3, "c d e"), (4, "c d e f"), (5, "g h"), (6, "i j k")]
+    # Forty pairs with half of the words shared, each word a shingle.
+    for k in range(40):
+        common = [f"c{k}x{j}" for j in range(20)]
+        rows += [(100 + 2 * k, " ".join([*common, *(f"l{k}x{j}" for j in range(10))])), (101 + 2 * k, " ".join([*common, *(f"r{k}x{j}" for j in range(10))]))]
+    found = {r.doc_id: r.component_id for r in near.near_components(documents(spark, rows), 1, 1, 2).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6} | {i: i - i % 2 for i in range(100, 180)}
