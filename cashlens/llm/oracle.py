@@ -107,6 +107,54 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(lin
 FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, d.text
 """
 
+# DuckDB has no crc32: a table of 256 entries, built bit by bit, is folded over the bytes.
+_CRC_BIT = "CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+_CRC_ENTRY = "list_reduce(list_prepend(i, [1, 2, 3, 4, 5, 6, 7, 8]), lambda v, step: " + _CRC_BIT + ")"
+
+OP11 = rf"""
+WITH RECURSIVE crc AS (SELECT list({_CRC_ENTRY}::BIGINT ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00c0}}-\x{{00ff}}]+')) AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h)::BIGINT, 2), lambda p: ('0x' || substr(h, p, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) % 256) + 1]))) AS mark FROM counted, crc),
+words AS (
+  SELECT CASE WHEN mark % 199 = 0 THEN substr(run, 1, (mark % length(run))::BIGINT) || substr(run, (mark % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+vocabulary AS (SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+placed AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM vocabulary),
+shorter AS (SELECT DISTINCT word, n, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM placed),
+holes AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM placed),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT s.word, v.word, v.n FROM shorter s JOIN vocabulary v ON v.word = s.rest
+  UNION SELECT v.word, s.word, s.n FROM shorter s JOIN vocabulary v ON v.word = s.rest),
+best AS (SELECT word, count(*)::BIGINT AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.m >= 5 * v.n THEN b.other END AS form, CASE WHEN b.m >= 5 * v.n THEN b.m END AS form_n
+  FROM vocabulary v LEFT JOIN best b USING (word)),
+walk AS (SELECT word, word AS at FROM formed UNION SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.at WHERE f.form IS NOT NULL),
+roots AS (SELECT w.word, w.at AS root FROM walk w JOIN formed f ON f.word = w.at WHERE f.form IS NULL)
+SELECT word, n, n_near, form, form_n, root FROM formed JOIN roots USING (word)
+"""
+
+OP13 = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+strings AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM bytes)),
+first_in AS (SELECT s, min(doc_id) AS first_id FROM strings GROUP BY s),
+gone AS (SELECT doc_id, p FROM strings JOIN first_in USING (s) WHERE first_id < doc_id),
+breaks AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM gone),
+runs AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM breaks),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY doc_id, run),
+removed AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+edges AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS b FROM spans UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS rest FROM edges JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM bytes LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -116,4 +164,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_near_vectors": OP7,
         "op8_warc": OP8,
         "op9_line_dedup": OP9,
+        "op11_spelling": OP11,
+        "op13_repeated_strings": OP13,
     }

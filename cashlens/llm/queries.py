@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashlens.llm import exact, htmltext, mixing, near, pieces, pii, quality, sitelines, vectors, warc
+from cashlens.llm import exact, htmltext, mixing, near, pieces, pii, quality, repair, sitelines, suffixes, variants, vectors, warc
 
 _shipped: set[str] = set()
 
@@ -83,6 +83,46 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"))
 
 
+#: Letters of the words in `op11_spelling`: ASCII and Latin-1.
+LETTERS = "A-Za-z\u00c0-\u00ff"
+
+
+def damaged_words(docs: DataFrame, every: int = 199) -> DataFrame:
+    """Words of six letters or more; by a hash of document and word, one in `every` has lost a letter."""
+    runs = variants.letter_runs(docs, LETTERS, 6)
+    mark = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    place = (F.col("mark") % F.length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), place), F.substring("run", place + 2, F.length("run")))
+    return runs.withColumn("mark", mark).select(F.when(F.col("mark") % every == 0, shorter).otherwise(F.col("run")).alias("word"))
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = damaged_words(read(spark, sf_dir, "documents"))
+    return variants.spelling_groups(variants.vocabulary(words, min_length=6, min_count=5))
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """By a hash of conversation and turn a row is dropped, emptied, cut, repeated or given to the user, or stays."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    way = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn"))) % 20
+    text = F.when(F.col("way") == 1, "").when(F.col("way") == 2, F.regexp_replace(blank("text"), "[.!?]", ""))
+    return turns.withColumn("way", way).select(
+        "conv_id",
+        "turn",
+        F.when(F.col("way") == 4, "user").otherwise(blank("role")).alias("role"),
+        text.otherwise(blank("text")).alias("text"),
+        F.when(F.col("way") == 0, 0).when(F.col("way") == 3, 2).otherwise(1).alias("stands"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(damaged_turns(read(spark, sf_dir, "conversations")), copies="stands").conversations
+
+
+def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_strings(read(spark, sf_dir, "documents")).drop("spans")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_exact_dedup": op2_exact_dedup,
@@ -94,4 +134,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_pieces": op10_pieces,
+    "op11_spelling": op11_spelling,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_repeated_strings": op13_repeated_strings,
 }

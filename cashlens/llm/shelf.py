@@ -54,6 +54,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Whether a query's shuffle files go with its end.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Bytes in an Arrow batch that goes to Python, so that long texts don't add up to 10,000 rows of them.
 BATCH_BYTES = "16m"
 
@@ -66,9 +69,17 @@ class Shelf:
         self.tables: list[tuple[DataFrame, str]] = []
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, release: bool = False) -> DataFrame:
+        """Writes `df` and reads it back. `release` deletes the shuffle files of the write at once instead of some time
+        after; only for a plan that shares no exchange with a later one."""
         path = new_path(self.spark, self.name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(RELEASE)
+        try:
+            if release:
+                self.spark.conf.set(RELEASE, "true")
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(RELEASE, before)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((table, path))
         return table

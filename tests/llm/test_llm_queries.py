@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op9_line_dedup": {"doc_id", "text", "n_lines", "n_removed"},
     "op10_pieces": {"doc_id", "ids", "lossless", "n_pieces"},
+    "op11_spelling": {"word", "root", "form", "n", "n_near", "form_n"},
+    "op12_conversation_repair": {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"},
+    "op13_repeated_strings": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
 }
 TABLES = {"op6_main_text": "pages", "op8_warc": "pages", "op7_near_vectors": "embeddings"}
 
@@ -26,7 +29,7 @@ def test_equals_sql(spark, name):
     assert difference(spark, duck(SF), SF, name) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(COLUMNS) - set(oracle.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(COLUMNS) - set(oracle.oracle_sql()) - {"op12_conversation_repair"}))
 def test_whole_tables(spark, name):
     found = queries.REGISTRY[name](spark, SF)
     assert COLUMNS[name] <= set(found.columns)
