@@ -105,9 +105,10 @@ def advance_burden(revenue: DataFrame, positions: DataFrame) -> DataFrame:
     )
 
 
-def metrics(ledger: DataFrame, positions: DataFrame) -> DataFrame:
+def metrics(ledger: DataFrame, positions: DataFrame, washes: DataFrame | None = None) -> DataFrame:
     """All metrics of the applications that have a ledger.
 
+    `washes` are round trips found elsewhere (`wash_flags`); without them the ledger's own count.
     The ledger is read four times (months, payers, deposits, references), so a caller stages
     it. Every input of the joins is one row per application, already grouped by it.
     """
@@ -116,7 +117,7 @@ def metrics(ledger: DataFrame, positions: DataFrame) -> DataFrame:
         advance_burden(totals, positions)
         .join(deposit_median(ledger), APP, "left")
         .join(revenue_concentration(ledger), APP, "left")
-        .join(wash_flags(wash_pairs(ledger)), APP, "left")
+        .join(wash_flags(wash_pairs(ledger)) if washes is None else washes, APP, "left")
         .select(
             APP,
             "gross_deposits",

@@ -126,8 +126,36 @@ def position_overrides(found: DataFrame, edits: DataFrame) -> DataFrame:
     )
 
 
+#: Days without a payment after which a new run begins.
+RUN_GAP = 45
+
+
+def payment_runs(payments: DataFrame, gap: int = RUN_GAP) -> DataFrame:
+    """Runs of payments to a lender: an advance that ended and one that began later are two.
+
+    `payments` as `lender_debit_dedup` leaves them. A run ends when no payment follows within `gap` days. Payments
+    are added up per day before the session window orders a lender's days.
+    """
+    days = payments.groupBy(*LENDER, "tx_date").agg(
+        F.count("*").alias("n"), F.sum("payment_amount").alias("paid"), F.min("tier").alias("tier")
+    )
+    session = F.session_window(F.col("tx_date").cast("timestamp_ntz"), f"{gap} days")
+    return (
+        days.groupBy(*LENDER, session.alias("run"))
+        .agg(
+            F.min("tx_date").alias("run_from"),
+            F.max("tx_date").alias("run_to"),
+            F.sum("n").alias("payments"),
+            F.sum("paid").alias("paid"),
+            F.min_by("tier", "tx_date").alias("tier"),
+        )
+        .drop("run")
+    )
+
+
 def position_totals(found: DataFrame) -> DataFrame:
-    """Positions and monthly payments per application."""
+    """Positions and monthly payments per application; summed as decimals, so whatever the order of the rows."""
+    total = F.sum(F.col("monthly_payment").try_cast("decimal(28,6)")).cast("double")
     return found.groupBy("application_id").agg(
-        F.count("*").alias("position_count"), F.sum("monthly_payment").alias("total_monthly_payment")
+        F.count("*").alias("position_count"), total.alias("total_monthly_payment")
     )

@@ -163,3 +163,34 @@ def review_kpis(ledger: DataFrame) -> DataFrame:
             .alias("non_revenue_pct"),
         )
     )
+
+
+ROLLUP = ["month", "category", "payer_or_source"]
+
+
+def review_rollup(ledger: DataFrame) -> DataFrame:
+    """Totals of an application, its months, its categories and its (category, payer) groups in one grouping.
+
+    `level` says which; columns that a level adds up over are null, as are the ones of rows without a month or payer, so
+    only the level tells them apart. Rows are summed per level in map tasks: one shuffle carries all four.
+    """
+    credit, revenue = F.col("tx_type") == "credit", F.coalesce("is_revenue", F.lit(False))
+    amount = F.col("amount")
+    levels = [["application_id"], ["application_id", "month"], ["application_id", "category"], GROUP]
+    summed = ledger.groupingSets(levels, "application_id", *ROLLUP).agg(
+        F.grouping("month").alias("_month"),
+        F.grouping("category").alias("_category"),
+        F.grouping("payer_or_source").alias("_payer"),
+        F.count("*").alias("row_count"),
+        F.coalesce(F.sum(amount), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(F.when(credit, amount)), F.lit(0)).alias("gross_deposits"),
+        F.coalesce(F.sum(F.when(revenue, amount)), F.lit(0)).alias("true_revenue"),
+        F.coalesce(F.sum(F.when(F.col("needs_review"), amount)), F.lit(0)).alias("under_review"),
+    )
+    level = (
+        F.when(F.col("_payer") == 0, "payer")
+        .when(F.col("_category") == 0, "category")
+        .when(F.col("_month") == 0, "month")
+        .otherwise("application")
+    )
+    return summed.select("application_id", level.alias("level"), *ROLLUP, *summed.columns[-5:])

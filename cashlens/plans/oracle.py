@@ -23,7 +23,7 @@ def _case(column: str, steps: list[tuple], compare: str, other: str = "0") -> st
 
 
 def _number(expression: str, name: str) -> str:
-    return f"round(CAST({expression} AS DOUBLE), 6) AS {name}"
+    return f"CAST(round(CAST(CAST({expression} AS DOUBLE) AS DECIMAL(38,9)), 6) AS DOUBLE) AS {name}"
 
 
 def _long(expression: str, name: str) -> str:
@@ -108,10 +108,10 @@ SELECT *, CASE WHEN payments = 1 THEN 'Monthly' WHEN median_gap <= 2 THEN 'Daily
     "found_positions": """
 SELECT application_id, lender, tier, payment_amount, frequency, CAST(payment_amount AS DOUBLE) * CAST(factor AS DOUBLE) AS monthly_payment
 FROM frequencies JOIN usual USING (application_id, lender) JOIN factors USING (frequency)""",
-    "position_sums": "SELECT application_id, count(*) AS position_count, sum(monthly_payment) AS total_monthly_payment FROM found_positions GROUP BY application_id",
+    "position_sums": "SELECT application_id, count(*) AS position_count, CAST(sum(CAST(monthly_payment AS DECIMAL(28,6))) AS DOUBLE) AS total_monthly_payment FROM found_positions GROUP BY application_id",
     "revenue_months": "SELECT application_id, month, sum(amount) AS revenue, count(*) AS n FROM classified WHERE is_revenue AND month IS NOT NULL GROUP BY application_id, month",
     "series": """
-SELECT a.application_id, coalesce(count(r.month), 0) AS revenue_months, coalesce(avg(CAST(r.revenue AS DOUBLE)), 0) AS avg_true_revenue,
+SELECT a.application_id, coalesce(count(r.month), 0) AS revenue_months, coalesce(CAST(sum(r.revenue) AS DOUBLE) / count(r.revenue), 0) AS avg_true_revenue,
   coalesce(CAST(round_even(avg(r.n), 0) AS BIGINT), 0) AS deposit_count, stddev_samp(CAST(r.revenue AS DOUBLE)) AS deviation,
   arg_min(r.revenue, r.month) AS first_revenue, arg_max(r.revenue, r.month) AS last_revenue, max(a.months) AS months
 FROM (SELECT application_id, count(DISTINCT coalesce(month, '')) AS months FROM classified GROUP BY application_id) a

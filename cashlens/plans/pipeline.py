@@ -95,8 +95,8 @@ def run(
         uploaded = files.numbered(registry.where("duplicate_of is null")).select(*FILE)
     expected = anchors.expected_credits(file_totals, uploaded)
 
-    all_metrics = metrics.metrics(entries, lenders)
     washes = wash.wash_flags(wash.wash_pairs(rows.all_rows(statement_rows) if wash_on_all_debits else entries))
+    all_metrics = metrics.metrics(entries, lenders, washes)
     requests = labels.label_requests(deposits)
     events = [
         diagnostics.files_without_text(files.numbered(tables.pages), files.file_text(tables.pages)),

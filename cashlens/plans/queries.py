@@ -34,12 +34,16 @@ REGISTRY: dict[str, Query] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Types that any engine can compare: long, double to 6 places, string, boolean."""
+    """Types that any engine can compare: long, double to 6 places, string, boolean.
+
+    Doubles are rounded to 9 places first, as decimals: a value that ends in 5 at the seventh place then rounds alike
+    whatever its last bit.
+    """
 
     def simple(field: T.StructField) -> Column:
         column = F.col(field.name)
         if isinstance(field.dataType, (T.DecimalType, T.DoubleType)):
-            column = F.round(column.cast("double"), 6)
+            column = F.round(column.cast("double").try_cast("decimal(38,9)"), 6).cast("double")
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType)):
             column = column.cast("long")
         elif isinstance(field.dataType, T.DateType):
