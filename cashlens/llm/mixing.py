@@ -146,5 +146,8 @@ def draw(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     mixed = mix(docs, id_col=id_col, **how).filter("repeats > 0")
     mixed = mixed.groupBy(F.col(id_col).alias("_of")).agg(F.max("repeats").cast("int").alias("_repeats"))
     joined = docs.join(mixed, docs[id_col].eqNullSafe(mixed["_of"]))
-    times = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), mixed["_repeats"])).alias("_time"))
-    return times.drop("_time")
+    time = "_time"
+    while time in docs.columns:
+        time += "_"
+    times = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), mixed["_repeats"])).alias(time))
+    return times.drop(time)

@@ -23,8 +23,6 @@ from cashlens.llm.shelf import Shelf
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _MARK = MARK.encode()
-#: A word of more bytes is cut at a character border. Only texts without white space get there; keeps decoding lossless.
-LONGEST_WORD = 1 << 16
 
 
 class Vocabulary:
@@ -196,18 +194,6 @@ def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     inside = offsets[(offsets >= 0) & (offsets < n)]
     start[inside] = True
     starts = np.flatnonzero(start)
-    long_ = np.flatnonzero(np.diff(np.append(starts, n)) > LONGEST_WORD)
-    if len(long_):
-        head = (data & 0xC0) != 0x80
-        more = []
-        for k in long_:
-            at, end = starts[k], starts[k + 1] if k + 1 < len(starts) else n
-            while end - at > LONGEST_WORD:
-                at += LONGEST_WORD
-                while not head[at]:
-                    at -= 1
-                more.append(at)
-        starts = np.sort(np.concatenate([starts, more])).astype(np.int64)
     return starts, np.searchsorted(starts, offsets)
 
 
@@ -309,7 +295,8 @@ def encode(
     A segmentation is drawn with probability in proportion to the product of its pieces' weights to the power `theta`:
     forward sums over the lattice of each word, then pieces drawn from the end. Draws depend on the id, the seed and the
     word's place only, so a rerun, another partitioning, or a repeated row gives the same pieces. `lossless` says that
-    decoding gave the text back. Null and empty texts have no pieces; a null id is a key like any other. An empty table
+    decoding gave the text back. A word is one lattice however long it is; its forward sums take one step for each of its
+    bytes. Null and empty texts have no pieces; a null id is a key like any other. An empty table
     gives no rows; columns beyond those named are ignored.
     """
     _ship(docs, model)

@@ -14,7 +14,8 @@ from cashlens.llm.components import components, first_linked
 from cashlens.llm.shelf import Shelf
 
 TREES = 12
-LEVELS = 40  # projections kept for each tree: a node may be split as often
+LEVELS = 40  # a node may be split as often
+AT_ONCE = 8  # levels for which a vector's projections are made together
 LEAF = 256  # vectors; a smaller node is not split
 BLOCK = 512  # vectors of a group that one task compares with as many others
 #: Overlap on either side of a split, in standard deviations of the projected distance of two vectors at the threshold.
@@ -43,25 +44,21 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _project(dim: int) -> Callable:
+def _project(dim: int, level: int) -> Callable:
+    """Adds to each (id, label, tree, node, vec) the vector's projections on its tree's directions for the next levels."""
+
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each tree: the vector's projections on that tree's directions, one direction for each level."""
-        w = np.random.default_rng(23).normal(size=(dim, TREES * LEVELS))
-        w /= np.sqrt((w * w).sum(axis=0))
+        w = np.random.default_rng(23 + level).normal(size=(TREES, dim, AT_ONCE))
+        w /= np.sqrt((w * w).sum(axis=1, keepdims=True))
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column("vec").to_pylist()), dtype=np.float64).reshape(-1, dim)
-            values = pa.array((x @ w).astype(np.float32).ravel())
-            n = batch.num_rows * TREES
-            rows = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * LEVELS, values)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(batch.column("id").to_numpy(), TREES)),
-                    pa.array(np.repeat(batch.column("label").to_numpy(), TREES)),
-                    pa.array(np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)),
-                    rows,
-                ],
-                ["id", "label", "tree", "at"],
-            )
+            trees = batch.column("tree").to_numpy()
+            values = np.empty((len(x), AT_ONCE), np.float32)
+            for tree in np.unique(trees):
+                values[trees == tree] = x[trees == tree] @ w[tree]
+            offsets = np.arange(len(x) + 1, dtype=np.int32) * AT_ONCE
+            at = pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "tree", "node")), at], ["id", "label", "tree", "node", "at"])
 
     return project
 
@@ -71,16 +68,25 @@ def _forest(reps: DataFrame, dim: int, threshold: float, shelf: Shelf) -> DataFr
 
     A level is one grouped aggregation (mean, spread and size of each node) and one join, for all trees at once. A node
     is a leaf if it is small, or if its spread along the direction is below the distance of linked vectors, where no
-    split could part it well; `_pair_blocks` compares such a dense leaf whole, whatever its size.
+    split could part it well; `_pair_blocks` compares such a dense leaf whole, whatever its size. A small label is one leaf, once
+    for all trees. Projections are made for a few levels at a time, for the vectors that get there.
     """
     sigma = sqrt(2 * (1 - threshold)) / sqrt(dim)
-    rows = shelf.put(
-        reps.select("id", "label", "vec").mapInArrow(_project(dim), "id long, label long, tree int, at array<float>")
-    ).withColumn("node", F.lit(1).cast("long"))
+    sizes = shelf.put(reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    small = reps.select("id", "label").join(sizes.filter(F.col("n") <= LEAF), "label")
+    leaves = [small.select("id", F.xxhash64(F.lit(-1), "label").alias("leaf"), "n")]
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    large = reps.join(sizes.filter(F.col("n") > LEAF), "label").select("id", "label", trees)
+    rows = large.withColumn("node", F.lit(1).cast("long"))
     key = ["label", "tree", "node"]
-    leaves = []
     for level in range(LEVELS):
-        here = F.col("at")[level].cast("double")
+        if level % AT_ONCE == 0:
+            with_vec = rows.select("id", *key).join(reps.select("id", "vec"), "id")
+            shape = "id long, label long, tree int, node long, at array<float>"
+            rows = shelf.put(with_vec.mapInArrow(_project(dim, level), shape))
+            if not rows.limit(1).count():
+                break
+        here = F.col("at")[level % AT_ONCE].cast("double")
         nodes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(here).alias("mid"), F.stddev_pop(here).alias("spread"))
         last = F.lit(level == LEVELS - 1)
         done = (F.col("n") <= LEAF) | (F.col("spread") < sigma) | last
@@ -195,12 +201,14 @@ def near_vectors(
     usable = source.filter(F.col("id").isNotNull() & F.col("label").isNotNull())
     valid = shelf.put(usable.mapInArrow(_vectors, VALID))
     classes = valid.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
-    classes = shelf.put(classes.withColumn("dim", (F.octet_length("vec") / 8).cast("int")))
+    # A class has a number of its own: an id may stand for classes of several labels.
+    classes = classes.withColumn("dim", (F.octet_length("vec") / 8).cast("int"))
+    classes = shelf.put(classes.withColumn("class", F.monotonically_increasing_id()))
     dims = [row["dim"] for row in classes.select("dim").distinct().collect()]  # one number for each length in use
 
     links, counts = [], []
     for dim in dims:
-        reps = classes.filter(F.col("dim") == dim)
+        reps = classes.filter(F.col("dim") == dim).select(F.col("class").alias("id"), "label", "vec", "weight")
         leaves = _forest(reps, dim, threshold, shelf)
         rows = leaves.join(reps.select("id", "weight", "vec"), "id")
         pairs = _pair_blocks(rows, "leaf").mapInArrow(_local_links(dim, threshold), "a long, b long")
@@ -210,17 +218,19 @@ def near_vectors(
         sized = found.join(shelf.put(sizes), "component").join(reps.select("id", "weight", "vec"), "id")
         counted = _pair_blocks(sized, "component").mapInArrow(_count_links(dim, threshold), "id long, links long")
         counts.append(shelf.put(counted.groupBy("id").agg(F.sum("links").alias("links"))))
-    info = classes.select("label", "vec", "id", "weight")
+    info = classes.select("label", "vec", F.col("id").alias("own"), "weight", F.col("class").alias("id"))
     for frames, column in ((links, "component"), (counts, "links")):
         merged = frames[0] if frames else info.select("id", F.col("id").alias(column)).limit(0)
         for more in frames[1:]:
             merged = merged.unionByName(more)
         info = info.join(merged, "id", "left")
+    info = shelf.put(info)
+    smallest = info.where("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("smallest"))
     info = shelf.put(
-        info.select(
+        info.join(smallest, "component", "left").select(
             "label",
             "vec",
-            F.coalesce("component", "id").alias("component_id"),
+            F.coalesce("smallest", "own").alias("component_id"),
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         )
     )

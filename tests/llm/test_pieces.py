@@ -82,8 +82,34 @@ def test_whole_table(spark):
     assert texts == {r.doc_id: r.text for r in docs.collect()}
 
 
-def test_long_words_are_cut_at_characters(vocab, monkeypatch):
-    monkeypatch.setattr(pieces, "LONGEST_WORD", 7)
-    texts = ["é日" * 40, "abc" * 30]
-    ids, offsets = pieces.encode_rows(vocab, pa.array(texts), np.arange(2, dtype=np.uint64))
-    assert pieces.decode_rows(vocab, ids, offsets).to_pylist() == texts
+def test_long_words_are_one_lattice(vocab):
+    """A piece crosses any place of a long word as often as it crosses that place's copies in the middle of others."""
+    word = "therefore" * 9000
+    data = np.frombuffer((" " + word).encode(), np.uint8)
+    starts, _ = pieces.cut_words(data, np.array([0, len(data)]))
+    assert starts.tolist() == [0]
+    ids, offsets = pieces.encode_rows(vocab, pa.array([word, "é日" * 40_000]), np.arange(2, dtype=np.uint64))
+    assert pieces.decode_rows(vocab, ids, offsets).to_pylist() == [word, "é日" * 40_000]
+    ends = np.cumsum([len(vocab.bytes[i]) for i in ids[: offsets[1]].tolist()])
+    cut = np.zeros(len(data) + 1, bool)
+    cut[ends] = True
+    # 65,536 bytes is where words were once cut: now borders there are no likelier than at the same letter elsewhere.
+    share = cut[65536 % 9 + 9 * 100 : -900 : 9].mean()
+    assert 0 < share < 1
+    near = [cut[65536 + 9 * k] for k in range(-40, 41)]
+    assert abs(np.mean(near) - share) < 0.25
+
+
+def test_forward_sums_of_a_long_word(vocab):
+    """The chances with which pieces end at a place are those of an exact sum over all segmentations up to it."""
+    word = " " + "abab" * 40
+    lattice = pieces.Lattice(vocab, np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]))
+    weight = {p: np.exp(w) for p, w in zip(vocab.bytes, vocab.log_weight) if w > -30 and p}
+    total = [1.0]
+    for end in range(1, len(word) + 1):
+        total.append(sum(total[a] * weight.get(word[a:end].encode(), 0.0) for a in range(max(0, end - 20), end)))
+    for node in range(1, len(word) + 1):
+        a, b = lattice.first[node], lattice.first[node + 1] if node < len(word) else len(lattice.piece)
+        shares = np.diff(np.concatenate([[0.0], lattice.upto[a:b]]))[:-1]
+        for edge, share in zip(range(a, b), shares):
+            assert share == pytest.approx(total[lattice.source[edge]] * np.exp(vocab.log_weight[lattice.piece[edge]]) / total[node], rel=1e-6, abs=1e-9)

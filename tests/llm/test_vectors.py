@@ -61,3 +61,22 @@ def test_edges_groups_and_copies(spark, monkeypatch):
 def test_empty_table(spark):
     assert vectors.near_vectors(table(spark, [(1, [1.0], 1)]).limit(0)).count() == 0
     assert vectors.near_vectors(table(spark, [(1, None, 1)])).collect()[0].kept
+
+
+def test_ids_of_several_labels(spark):
+    """A row links inside its own label, whatever other rows share its id."""
+    rows = [(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 1), (6, [0.0, 1.0], 0), (7, [0.0, 2.0], 1), (4, [3.0, 0.1], 0), (4, [1.0, 1.0], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(table(spark, rows)).collect())
+    assert got == [(4, 0, 4), (4, 1, 4), (5, 1, 4), (5, 1, 5), (6, 0, 6), (7, 1, 5)]
+
+
+def test_deep_trees_project_again(spark, monkeypatch):
+    """More levels than projections made at once: a dense label is split until its leaves are small."""
+    monkeypatch.setattr(vectors, "LEAF", 12)
+    monkeypatch.setattr(vectors, "AT_ONCE", 2)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=24)], 0) for i in range(500)]
+    for i in range(60):
+        rows.append((1000 + i, [x + 0.2 * float(rng.normal()) for x in rows[i][1]], 0))
+    found = sorted(repr(tuple(r)) for r in vectors.near_vectors(table(spark, rows)).collect())
+    assert found == brute(rows)
