@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cashlens.functions import fixed, rules
 from cashlens.functions.text import label_key
+from cashlens.operators.dictionary import categories_from_dictionary
 from cashlens.operators.skew import latest_per_key
 
 
@@ -66,10 +67,12 @@ def pos_override(ledger: DataFrame) -> DataFrame:
     )
 
 
-def classify(ledger: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def classify(ledger: DataFrame, labels: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Rules, labels, flags, processor override, in this order.
 
-    The rules run row by row in the scan's own stage. Classifying distinct descriptions and
-    joining back would save regular expressions but shuffle the ledger by description.
+    The rules run row by row in the scan's own stage, or come from a dictionary that has learnt
+    the ledger's descriptions (`dictionary.known_descriptions`): that saves the regular
+    expressions of descriptions seen in earlier runs, for a join by description.
     """
-    return pos_override(revenue_flags(apply_labels(rule_categories(ledger), labels)))
+    categorised = rule_categories(ledger) if known is None else categories_from_dictionary(ledger, known)
+    return pos_override(revenue_flags(apply_labels(categorised, labels)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cashlens.functions import rules
 from cashlens.operators.settle import settle
-from cashlens.operators.skew import latest_per_key
+from cashlens.operators.skew import as_of, latest_per_key
 
 LENDER = ["application_id", "lender"]
 
@@ -153,6 +153,37 @@ def payment_runs(payments: DataFrame, gap: int = RUN_GAP) -> DataFrame:
     )
 
 
+def position_history(found: DataFrame, months: DataFrame, edits: DataFrame) -> DataFrame:
+    """Positions in force at the end of each statement month, after the edits dated up to then.
+
+    `edits` as for `position_overrides`, with edit_date (and seq, if a day has several). Of a lender's edits the latest up
+    to a month's end holds for it; one that removes the position leaves no row. Lenders that edits add are not found
+    positions and have no row.
+    """
+    dated = edits.where(F.col("edit_date").isNotNull()).withColumnRenamed("edit_date", "day")
+    changed = ["payment_amount", "frequency", "removed"]
+    events = latest_per_key(dated, [*LENDER, "day"]).select(
+        *LENDER, "day", *[F.col(c).cast("string" if c != "removed" else "boolean").alias(f"_{c}") for c in changed]
+    )
+    end = F.last_day(F.concat("month", F.lit("-01")).try_cast("date"))
+    points = found.join(months.select("application_id", "month").distinct(), "application_id").withColumn("day", end)
+    held = as_of(points, events, LENDER, "day", [f"_{c}" for c in changed]).where("_removed is null or not _removed")
+    return held.select(
+        *LENDER,
+        "month",
+        "tier",
+        F.coalesce("_payment_amount", F.col("payment_amount").cast("string")).alias("_value"),
+        F.coalesce("_frequency", "frequency").alias("frequency"),
+    ).select(
+        *LENDER,
+        "month",
+        "tier",
+        F.col("_value").try_cast("decimal(18,2)").alias("payment_amount"),
+        "frequency",
+        rules.monthly_equivalent("_value", "frequency").alias("monthly_payment"),
+    )
+
+
 def position_totals(found: DataFrame) -> DataFrame:
     """Positions and monthly payments per application; summed as decimals, so whatever the order of the rows."""
     total = F.sum(F.col("monthly_payment").try_cast("decimal(28,6)")).cast("double")

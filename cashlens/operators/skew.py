@@ -56,6 +56,28 @@ def carry_forward(
     return local.join(blocks, [*keys, "_block"]).select(*df.drop("_block").columns, *carried)
 
 
+def as_of(points: DataFrame, events: DataFrame, keys: list[str], day: str, values: list[str], block_days: int = 366) -> DataFrame:
+    """`points` with the `values` of the latest event of their keys on their `day` or before; null without any.
+
+    An as-of join without a join of every point with every event: both are put in one order and values are carried
+    forward in blocks of days (`carry_forward`), so a key with a long history is never sorted as a whole. `events` hold
+    one row per key and day. Points may repeat; points and events without a day or key are left out or have no values.
+    """
+    place = F.unix_date(day).cast("long") * 2
+    known = events.where(F.col(day).isNotNull()).select(
+        *keys, place.alias("_at"), F.struct(*values).alias("_value"), F.lit(None).cast("int").alias("_copies")
+    )
+    asked = points.where(F.col(day).isNotNull()).groupBy(*keys, day).agg(F.count("*").cast("int").alias("_copies"))
+    asked = asked.select(*keys, (place + 1).alias("_at"), F.lit(None).cast(known.schema["_value"].dataType).alias("_value"), "_copies")
+    carried = carry_forward(known.unionByName(asked), keys, "_at", ["_value"], block_days * 2)
+    found = carried.where("_copies is not null").select(
+        *keys,
+        F.date_from_unix_date(((F.col("_at") - 1) / 2).cast("int")).alias(day),
+        *[F.col(f"_value_before.{v}").alias(v) for v in values],
+    )
+    return points.join(found, [*keys, day], "left").select(*points.columns, *values)
+
+
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Exact median of a decimal(18,2) column per key, as double.
 

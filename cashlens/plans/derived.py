@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cashlens.functions import fixed
 from cashlens.operators import (
     anchors,
     balances,
+    diagnostics,
     dictionary,
     funding,
+    layout,
+    lines,
     metrics,
     overlaps,
     payers,
@@ -18,8 +21,8 @@ from cashlens.operators import (
     scorecard,
     wash,
 )
-from cashlens.plans import staging
-from cashlens.plans.inputs import Inputs
+from cashlens.plans import extract, staging
+from cashlens.plans.inputs import SHIFT, Inputs
 from cashlens.plans.queries import (
     answered_again,
     classified_ledger,
@@ -27,22 +30,23 @@ from cashlens.plans.queries import (
     lender_payments,
     months_of,
     query,
+    responses,
     statement_texts,
     unique_ledger,
 )
-from cashlens.sources import credit, dimensions, sinks
+from cashlens.sources import credit, dimensions, labels, sinks
 
 #: The ledger grows after this day.
-GROWN_AFTER = "2024-02-15"
+GROWN_AFTER = "2024-01-12"
 LINE = ["application_id", "source_file", "line_no", "tx_type", "description", "amount"]
 
 
 @query
 def description_dictionary(i: Inputs) -> DataFrame:
     """Categories of the whole ledger from a stored dictionary that two runs filled: one when the ledger ended in
-    February, one over all of it. `batch` tells which run's rules saw a description."""
+    January, one over all of it. `batch` tells which run's rules saw a description."""
     path = staging.new_path(i.spark, "dictionary")
-    dictionary.learn_descriptions(i.ledger.where(F.col("tx_date") <= GROWN_AFTER), path, "february")
+    dictionary.learn_descriptions(i.ledger.where(F.col("tx_date") <= GROWN_AFTER), path, "january")
     dictionary.learn_descriptions(i.ledger, path, "whole")
     known = dictionary.known_descriptions(i.spark, path)
     named = dictionary.categories_from_dictionary(i.ledger, known).select(*LINE, "category")
@@ -175,3 +179,152 @@ def wash_over_all_debits(i: Inputs) -> DataFrame:
     found = metrics.metrics(classified_ledger(i), found_positions(i), washes)
     ready = scorecard.underwriting_inputs(found, i.application_inputs, i.credit_profile, dimensions.industries(i.spark))
     return scorecard.hard_stops(ready).select("application_id", "wash_flag", "decision", "hard_stops")
+
+
+# --- reports and edits over time, faults by field --------------------------------------
+
+#: Three reports of an application over half a year, two of them on one day for some; one in five lacks a field.
+DATED_REPORTS = """SELECT p.*, t.k AS seq, DATE '2024-01-01' + CAST((application_id * (t.k + 3)) % 90 + 30 * t.k AS INT) AS report_date, fico_score + 10 * t.k AS newer_score
+FROM credit_profile p CROSS JOIN (VALUES (0), (1), (2)) AS t(k)"""
+
+
+def dated_reports(i: Inputs) -> DataFrame:
+    i.credit_profile.createOrReplaceTempView("credit_profile")
+    reports = i.spark.sql(DATED_REPORTS).drop("fico_score").withColumnRenamed("newer_score", "fico_score")
+    whole, partial = F.to_json(F.struct(*credit.FIELDS)), F.to_json(F.struct(*credit.FIELDS[1:]))
+    response = F.when(F.col("application_id") % 5 == F.col("seq"), partial).otherwise(whole)
+    return reports.select("application_id", "seq", "report_date", response.alias("response"))
+
+
+@query
+def profile_as_of(i: Inputs) -> DataFrame:
+    return credit.profile_as_of(i.ledger_raw, dated_reports(i)).select(
+        "application_id", "month", "report_date", "owner_name", "fico_score", "bankruptcies_found", "is_loaded"
+    )
+
+
+#: Edits of the positions of every second application: a new amount in February, removal or a new frequency later.
+DATED_EDITS = """SELECT application_id, lender, DATE '2024-02-10' AS edit_date, '75.50' AS payment_amount, CAST(NULL AS STRING) AS frequency, CAST(NULL AS BOOLEAN) AS removed FROM found WHERE application_id % 2 = 0
+UNION ALL SELECT application_id, lender, DATE '2024-02-29' + CAST(application_id % 40 AS INT), CAST(NULL AS STRING), 'Weekly', application_id % 3 = 0 FROM found WHERE application_id % 4 < 2"""
+
+
+@query
+def position_history(i: Inputs) -> DataFrame:
+    found = found_positions(i)
+    found.createOrReplaceTempView("found")
+    return positions.position_history(found, i.ledger_raw, i.spark.sql(DATED_EDITS))
+
+
+def faulty_reports(i: Inputs) -> DataFrame:
+    """Credit profiles as JSON answers, each of eight kinds of fault in some applications."""
+    fields = {name: F.col(name) for name in credit.FIELDS}
+
+    def response(**other) -> Column:
+        parts = {**fields, **other}
+        return F.to_json(F.struct(*[c.alias(n) for n, c in parts.items() if c is not None]), {"ignoreNullFields": "false"})
+
+    whole, way = response(), F.col("application_id") % 9
+    text = (
+        F.when(way == 1, F.substring(whole, 1, 60))
+        .when(way == 2, response(mortgage_ltv_details=None, owner_name=None))
+        .when(way == 3, response(fico_score=F.lit("high")))
+        .when(way == 4, response(total_high_credit=F.lit(None).cast("double")))
+        .when(way == 5, response(bankruptcies_found=F.lit("yes"), number_of_mortgages=F.lit(1.5)))
+        .when(way == 6, F.lit("[1, 2]"))
+        .when(way == 7, F.lit(None).cast("string"))
+        .otherwise(whole)
+    )
+    return i.credit_profile.select("application_id", text.alias("response"))
+
+
+@query
+def report_faults(i: Inputs) -> DataFrame:
+    return credit.report_faults(faulty_reports(i))
+
+
+def broken_responses(i: Inputs) -> DataFrame:
+    """Label responses, for some applications cut short."""
+    cut = F.when(F.col("application_id") % 4 == 0, F.lit('{"mappings": 3}')).otherwise(F.col("response"))
+    return responses(i).withColumn("response", cut)
+
+
+@query
+def response_faults(i: Inputs) -> DataFrame:
+    return labels.response_faults(broken_responses(i)).groupBy("application_id", "fault").agg(F.count("*").alias("answers"))
+
+
+# --- layouts that carry, rows that can't be read ------------------------------------------
+
+# Every third page prints no heading, every seventh file none at all; on every fourth page the heading comes after the
+# sixth transaction line.
+SPARSE_WORDS = """SELECT file_id, page_no, CASE WHEN top = 60 AND (file_id + page_no) % 4 = 1 THEN CAST(177 AS DOUBLE) ELSE top END AS top, x0, text FROM words
+WHERE top <> 60 OR ((file_id + page_no) % 3 <> 1 AND file_id % 7 <> 0)"""
+
+
+def sparse_words(i: Inputs) -> DataFrame:
+    i.words.createOrReplaceTempView("words")
+    found = i.spark.sql(SPARSE_WORDS)
+    return found.select(
+        F.col("file_id").alias("application_id"),
+        F.lit("stmt").alias("file_name"),
+        F.lit(1).alias("upload_seq"),
+        "page_no",
+        (F.col("top") * 1000 + F.col("x0")).cast("int").alias("word_seq"),
+        "x0",
+        "top",
+        "text",
+    )
+
+
+@query
+def carried_bounds(i: Inputs) -> DataFrame:
+    """Column bounds in force where pages lack a heading, print it late, or a file prints none."""
+    bounds = ["desc_limit", "debit_min", "debit_max", "credit_min", "credit_max", "balance_x"]
+    placed = extract.extract(sparse_words(i), i.statement_text, staged=False).placed
+    return placed.groupBy("application_id", "page_no", *bounds).agg(
+        F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")
+    )
+
+
+@query
+def late_balance_column(i: Inputs) -> DataFrame:
+    """The balance column where its heading is not on the first line."""
+    grouped = lines.line_grouping(lines.word_dedup(sparse_words(i)))
+    found = layout.balance_x(F.col("words"), F.col("line_no"))
+    bands = layout.calibration(F.col("words"), F.col("line"), F.col("next_line"))
+    heads = grouped.select("application_id", "page_no", "line_no", found.alias("balance_x"), bands.alias("b"))
+    return heads.where("balance_x is not null").select("application_id", "page_no", "line_no", "balance_x", "b.desc_limit", "b.credit_min")
+
+
+#: Amounts that end in 7 are printed too large to read in some files; in others short months have a day 31.
+TOO_LARGE = "9999999999999999999.99"
+UNREADABLE_WORDS = f"""SELECT file_id, page_no, top, x0, CASE WHEN file_id % 5 = 0 AND x0 - {SHIFT.format("file_id")} IN (305, 395) AND text LIKE '%7' THEN '{TOO_LARGE}'
+  WHEN file_id % 5 = 1 AND x0 - {SHIFT.format("file_id")} = 60 AND top > 60 AND EXISTS_SHORT THEN '31' ELSE text END AS text FROM words"""
+
+
+@query
+def unreadable_rows(i: Inputs) -> DataFrame:
+    """Events on rows whose amount is too large for the ledger or whose date is none, one for each kind and message."""
+    of_line = Window.partitionBy("file_id", "page_no", "top")
+    short = F.max(F.col("text").isin("Feb", "Apr", "Jun")).over(of_line)
+    i.words.withColumn("short", short).createOrReplaceTempView("words")
+    changed = i.spark.sql(UNREADABLE_WORDS.replace("EXISTS_SHORT", "short"))
+    named = changed.select(
+        F.col("file_id").alias("application_id"), F.lit("stmt").alias("file_name"), F.lit(1).alias("upload_seq"), "page_no",
+        (F.col("top") * 1000 + F.col("x0")).cast("int").alias("word_seq"), "x0", "top", "text",
+    )
+    found = extract.extract(named, i.statement_text, staged=False).rows
+    events = diagnostics.union_events(diagnostics.unreadable_amounts(found), diagnostics.bad_dates(found))
+    return events.groupBy("application_id", "code", "message").agg(F.count("*").alias("events"))
+
+
+@query
+def diagnostics_of_faults(i: Inputs) -> DataFrame:
+    """Events that `diagnostics` has no rows for: no deposits, unreadable answers, fields of reports, overlapping files."""
+    spans = overlaps.file_spans(uploads(i))
+    return diagnostics.union_events(
+        diagnostics.no_deposits(i.text_pages, i.ledger),
+        diagnostics.unreadable("label", labels.unreadable_responses(broken_responses(i))),
+        diagnostics.field_faults(credit.report_faults(faulty_reports(i))),
+        diagnostics.overlapping_files(overlaps.statement_overlap(spans)),
+    )

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from cashlens.plans.derived import GROWN_AFTER, RUN_GAP, SPELLINGS, UPLOADS
-from cashlens.plans.oracle import QUERIES, STEPS, _case, _long, _number, _text
+from cashlens.plans.derived import DATED_EDITS, DATED_REPORTS, GROWN_AFTER, RUN_GAP, SPARSE_WORDS, SPELLINGS, TOO_LARGE, UPLOADS
+from cashlens.plans.inputs import LINES
+from cashlens.plans.oracle import QUERIES, STEPS, _case, _long, _number, _shift, _text
 
 STEPS["nets"] = """
 SELECT application_id, tx_date, sum(CASE WHEN tx_type = 'credit' THEN amount ELSE -amount END) AS net FROM ledger GROUP BY ALL"""
@@ -63,6 +64,38 @@ SELECT o.*, l.tx_date, l.amount, l.description, l.tx_type, l.n, 0 AS m FROM over
   AND l.source_file = o.first_file AND l.upload_seq = o.first_seq AND l.tx_date BETWEEN o.overlap_from AND o.overlap_to
 UNION ALL SELECT o.*, l.tx_date, l.amount, l.description, l.tx_type, 0, l.n FROM overlapping o JOIN upload_lines l ON l.application_id = o.application_id
   AND l.source_file = o.second_file AND l.upload_seq = o.second_seq AND l.tx_date BETWEEN o.overlap_from AND o.overlap_to"""
+STEPS["ledger_months"] = "SELECT DISTINCT application_id, month, last_day(CAST(month || '-01' AS DATE)) AS day FROM ledger_raw"
+STEPS["dated_reports"] = DATED_REPORTS
+STEPS["sound_reports"] = """
+SELECT * FROM dated_reports WHERE application_id % 5 <> seq QUALIFY row_number() OVER (PARTITION BY application_id, report_date ORDER BY seq DESC) = 1"""
+STEPS["found"] = "SELECT * FROM found_positions"
+STEPS["dated_edits"] = DATED_EDITS
+STEPS["month_positions"] = "SELECT p.*, m.month, m.day FROM found_positions p JOIN ledger_months m USING (application_id)"
+STEPS["edited_months"] = """
+SELECT p.application_id, p.lender, p.month, p.tier, coalesce(CAST(e.payment_amount AS DECIMAL(18,2)), p.payment_amount) AS payment_amount, coalesce(e.frequency, p.frequency) AS frequency, e.removed
+FROM month_positions p ASOF LEFT JOIN dated_edits e ON p.application_id = e.application_id AND p.lender = e.lender AND p.day >= e.edit_date"""
+STEPS["report_fault_rows"] = """
+SELECT application_id, f.field, f.fault FROM (SELECT application_id, unnest(CASE application_id % 9
+    WHEN 1 THEN [{'field': NULL, 'fault': 'no JSON object'}] WHEN 6 THEN [{'field': NULL, 'fault': 'no JSON object'}] WHEN 7 THEN [{'field': NULL, 'fault': 'no JSON object'}]
+    WHEN 2 THEN [{'field': 'owner_name', 'fault': 'missing'}, {'field': 'mortgage_ltv_details', 'fault': 'missing'}]
+    WHEN 3 THEN [{'field': 'fico_score', 'fault': 'no int'}] WHEN 4 THEN [{'field': 'total_high_credit', 'fault': 'null'}]
+    WHEN 5 THEN [{'field': 'bankruptcies_found', 'fault': 'no boolean'}, {'field': 'number_of_mortgages', 'fault': 'no int'}] ELSE [] END) AS f FROM credit_profile)"""
+STEPS["sparse"] = SPARSE_WORDS
+# The heading in force on each printed line: the last one at or above it, in order of page and place.
+STEPS["sparse_lines"] = """
+SELECT file_id AS application_id, page_no, top, row_number() OVER (PARTITION BY file_id, page_no ORDER BY top) AS line_no, max(text = 'Balance') AS heading
+FROM sparse GROUP BY file_id, page_no, top"""
+# Bands hold from the heading line on; the balance column of a page holds for the whole page.
+STEPS["sparse_state"] = """
+SELECT application_id, page_no, line_no, last_value(CASE WHEN heading THEN page_no END IGNORE NULLS) OVER (PARTITION BY application_id ORDER BY page_no, line_no ROWS UNBOUNDED PRECEDING) AS bands_of,
+  last_value(CASE WHEN page_heading THEN page_no END IGNORE NULLS) OVER (PARTITION BY application_id ORDER BY page_no RANGE UNBOUNDED PRECEDING) AS balance_of
+FROM (SELECT *, bool_or(heading) OVER (PARTITION BY application_id, page_no) AS page_heading FROM sparse_lines)"""
+_at = lambda page: f"CASE WHEN application_id % 3 = 0 AND {page} % 2 = 0 THEN 20 ELSE 0 END"
+_band = lambda base, other, name: f"CAST(CASE WHEN bands_of IS NULL THEN {other} ELSE {base} + {_at('bands_of')} END AS DOUBLE) AS {name}"
+STEPS["sparse_bounds"] = f"""
+SELECT application_id, page_no, line_no, {_band(290, 200, 'desc_limit')}, {_band(280, 200, 'debit_min')}, {_band(385, 370, 'debit_max')}, {_band(370, 370, 'credit_min')},
+  CAST(CASE WHEN balance_of IS NULL THEN 460 ELSE 470 + {_at('balance_of')} END AS DOUBLE) AS balance_x,
+  CAST(CASE WHEN balance_of IS NOT NULL THEN 465 + {_at('balance_of')} WHEN bands_of IS NOT NULL THEN 455 ELSE 460 END AS DOUBLE) AS credit_max FROM sparse_state"""
 _pair = "application_id, first_file, CAST(first_seq AS BIGINT) AS first_seq, second_file, CAST(second_seq AS BIGINT) AS second_seq"
 _sums = ", ".join(
     _number(f"coalesce(sum(amount){condition}, 0)", name)
@@ -77,7 +110,7 @@ _sums = ", ".join(
 QUERIES |= {
     "description_dictionary": f"""
 SELECT application_id, source_file, line_no, tx_type, description, {_number('amount', 'amount')}, rule AS category,
-  CASE WHEN min(tx_date) OVER (PARTITION BY description) <= DATE {_text(GROWN_AFTER)} THEN 'february' ELSE 'whole' END AS batch
+  CASE WHEN min(tx_date) OVER (PARTITION BY description) <= DATE {_text(GROWN_AFTER)} THEN 'january' ELSE 'whole' END AS batch
 FROM ledger JOIN description_rules USING (description)""",
     "daily_balances": f"SELECT application_id, CAST(day AS STRING) AS day, {_number('net', 'net')}, {_number('balance', 'balance')} FROM running",
     "balance_facts": f"""
@@ -119,4 +152,34 @@ SELECT application_id, wash AS wash_flag, CASE WHEN stops = '' THEN 'Scored' ELS
     CASE WHEN avg_true_revenue < 10000 THEN 'Avg True Revenue is under $10,000 policy minimum' END) AS stops FROM (
     SELECT r.*, coalesce(i.wash_override, w.round_trips >= 6, FALSE) AS wash FROM ready r LEFT JOIN application_inputs i USING (application_id)
     LEFT JOIN (SELECT application_id, sum(round_trips) AS round_trips FROM ledger_pairs GROUP BY application_id) w USING (application_id)))""",
+    "profile_as_of": f"""
+SELECT m.application_id, m.month, CAST(r.report_date AS STRING) AS report_date, coalesce(r.owner_name, 'Unknown') AS owner_name, {_long('coalesce(r.newer_score, 650)', 'fico_score')},
+  coalesce(r.bankruptcies_found, FALSE) AS bankruptcies_found, r.report_date IS NOT NULL AS is_loaded
+FROM ledger_months m ASOF LEFT JOIN sound_reports r ON m.application_id = r.application_id AND m.day >= r.report_date""",
+    "position_history": f"""
+SELECT application_id, lender, month, tier, {_number('payment_amount', 'payment_amount')}, frequency, {_number('CAST(payment_amount AS DOUBLE) * CAST(factor AS DOUBLE)', 'monthly_payment')}
+FROM edited_months JOIN factors USING (frequency) WHERE removed IS NULL OR NOT removed""",
+    "report_faults": "SELECT application_id, field, fault FROM report_fault_rows",
+    "response_faults": """
+SELECT application_id, 'no answers' AS fault, count(DISTINCT application_id) AS answers FROM requested WHERE application_id % 4 = 0 GROUP BY application_id
+UNION ALL SELECT application_id, 'unknown category', count(*) FROM requested WHERE application_id % 4 <> 0 AND length(description) % 3 = 0 GROUP BY application_id""",
+    "carried_bounds": """
+SELECT application_id, CAST(page_no AS BIGINT) AS page_no, desc_limit, debit_min, debit_max, credit_min, credit_max, balance_x, min(line_no) AS first_line, max(line_no) AS last_line
+FROM sparse_bounds GROUP BY application_id, page_no, desc_limit, debit_min, debit_max, credit_min, credit_max, balance_x""",
+    "late_balance_column": f"""
+SELECT application_id, CAST(page_no AS BIGINT) AS page_no, line_no, CAST(470 + {_shift} AS DOUBLE) AS balance_x, CAST(290 + {_shift} AS DOUBLE) AS desc_limit, CAST(370 + {_shift} AS DOUBLE) AS credit_min
+FROM sparse_lines WHERE heading""",
+    "unreadable_rows": f"""
+SELECT application_id, 'unreadable_amount' AS code, description || ' {TOO_LARGE}' AS message, count(*) AS events FROM printed_ledger
+WHERE application_id % 5 = 0 AND CAST(amount AS STRING) LIKE '%7' GROUP BY application_id, description
+UNION ALL SELECT application_id, 'bad_date', substr(date_text, 1, 8) || '31', count(*) FROM printed_ledger
+WHERE application_id % 5 = 1 AND substr(date_text, 6, 2) IN ('02', '04', '06') GROUP BY application_id, substr(date_text, 1, 8)
+UNION ALL SELECT application_id, 'bad_date', date_text, count(*) FROM printed_ledger
+WHERE application_id % 5 <> 1 AND try_cast(date_text AS DATE) IS NULL GROUP BY application_id, date_text""",
+    "diagnostics_of_faults": f"""
+SELECT DISTINCT application_id, CAST(NULL AS VARCHAR) AS file_name, CAST(NULL AS BIGINT) AS page_no, 'no_deposits' AS code, 'no deposit in any file' AS message
+FROM text_pages WHERE application_id NOT IN (SELECT application_id FROM ledger WHERE tx_type = 'credit')
+UNION ALL SELECT DISTINCT application_id, NULL, NULL, 'unreadable_label_response', '1 unreadable' FROM requested WHERE application_id % 4 = 0
+UNION ALL SELECT application_id, NULL, NULL, 'report_fault', concat_ws(': ', field, fault) FROM report_fault_rows
+UNION ALL SELECT application_id, second_file, NULL, 'overlap', CAST(overlap_to - overlap_from + 1 AS VARCHAR) || ' days shared with ' || first_file FROM overlapping""",
 }

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cashlens.operators import (
     anchors,
+    balances,
     classify,
     diagnostics,
+    dictionary,
+    funding,
     ledger,
     metrics,
+    overlaps,
     positions,
     review,
     rows,
@@ -52,12 +56,17 @@ def run(
     tables: Tables,
     score_mode: str = "reference",
     wash_on_all_debits: bool = False,
+    answers_from_ledger: bool = False,
+    dictionary_path: str | None = None,
 ) -> dict[str, DataFrame]:
     """Output tables by name.
 
     What several outputs read is staged once: files, lines, statement rows, ledger, positions.
     `staging.forget_staged` deletes it when the outputs are written. `wash_on_all_debits` looks for
-    round trips among all credits and debits instead of the ledger's narrower choice.
+    round trips among all credits and debits instead of the ledger's narrower choice, for the events
+    and the decision. `answers_from_ledger` takes daily balance, negative days and borrowing velocity
+    from the statements where the manual answers leave them open. `dictionary_path` names a
+    dictionary of descriptions that runs share: the rules then run on descriptions new to it.
     """
     profiles, given = tables.credit_profile, tables.labels
     if tables.credit_reports is not None:
@@ -72,14 +81,19 @@ def run(
     raw = rows.ledger_rows(statement_rows)
 
     deposits = stage(ledger.ledger_dedup(raw), "deposits")
-    entries = classify.classify(deposits, given)
+    known = None
+    if dictionary_path is not None:
+        dictionary.learn_descriptions(deposits, dictionary_path)
+        known = dictionary.known_descriptions(spark, dictionary_path)
+    entries = classify.classify(deposits, given, known)
     if tables.row_overrides is not None:
         entries = review.row_override(entries, tables.row_overrides)
     entries = stage(entries, "ledger")
     if tables.group_overrides is not None:
         entries = stage(review.group_override(entries, tables.group_overrides), "reviewed")
 
-    lenders = positions.positions(rows.lender_debits(statement_rows))
+    payments = rows.lender_debits(statement_rows)
+    lenders = positions.positions(payments)
     if tables.position_overrides is not None:
         lenders = positions.position_overrides(lenders, tables.position_overrides)
     lenders = stage(lenders, "positions")
@@ -98,6 +112,13 @@ def run(
     washes = wash.wash_flags(wash.wash_pairs(rows.all_rows(statement_rows) if wash_on_all_debits else entries))
     all_metrics = metrics.metrics(entries, lenders, washes)
     requests = labels.label_requests(deposits)
+    full_ledger = rows.all_rows(statement_rows)
+    daily = stage(balances.daily_balances(full_ledger, balances.opening_balances(file_totals)), "balances")
+    facts = balances.balance_facts(daily)
+    inputs = tables.inputs
+    if answers_from_ledger:
+        inputs = stage(balances.answers_from_ledger(inputs, facts, funding.funding_velocity(entries)), "answers")
+    spans = overlaps.statement_overlap(overlaps.file_spans(full_ledger))
     events = [
         diagnostics.files_without_text(files.numbered(tables.pages), files.file_text(tables.pages)),
         diagnostics.pages_without_words(
@@ -110,9 +131,11 @@ def run(
         diagnostics.removed_rows(ledger.removed_duplicates(raw)),
         diagnostics.wash_events(washes),
         diagnostics.no_deposits(uploaded, entries),
+        diagnostics.overlapping_files(spans),
     ]
     if tables.credit_reports is not None:
         events.append(diagnostics.unreadable("credit", credit.unreadable_reports(tables.credit_reports)))
+        events.append(diagnostics.field_faults(credit.report_faults(tables.credit_reports)))
     if tables.label_responses is not None:
         events.append(diagnostics.unreadable("label", labels.unreadable_responses(tables.label_responses)))
     if registry is not None:
@@ -125,14 +148,18 @@ def run(
         ),
         "category_summary": review.category_payer_summary(entries),
         "review_kpis": review.review_kpis(entries),
+        "review_rollup": review.review_rollup(entries),
+        "daily_balances": daily,
+        "balance_facts": facts,
+        "payment_runs": positions.payment_runs(positions.lender_debit_dedup(payments)),
         "monthly_summary": summary.monthly_summary(summary.ledger_months(entries), lenders),
         "scorecard": scorecard.scorecard(
-            all_metrics, tables.inputs, profiles, dimensions.industries(spark), score_mode
+            all_metrics, inputs, profiles, dimensions.industries(spark), score_mode
         ),
         "score_components": scorecard.score_components(
             scorecard.hard_stops(
                 scorecard.underwriting_inputs(
-                    all_metrics, tables.inputs, profiles, dimensions.industries(spark)
+                    all_metrics, inputs, profiles, dimensions.industries(spark)
                 )
             )
         ),

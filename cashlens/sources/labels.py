@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cashlens.functions import fixed, rules
 from cashlens.functions.text import label_key
+from cashlens.operators.settle import settle
 from cashlens.operators.skew import first_per_key
 
 RESPONSE_SCHEMA = "mappings array<struct<description string, category string>>"
@@ -47,6 +48,23 @@ def unreadable_responses(responses: DataFrame) -> DataFrame:
     return responses.where(answers.isNull()).groupBy("application_id").agg(F.count("*").alias("responses"))
 
 
+def response_faults(responses: DataFrame) -> DataFrame:
+    """application_id, response_seq, pos, fault: answers of label responses that count as none.
+
+    A response that holds no list of answers has one row without a position.
+    """
+    read = settle(responses, {"_answers": F.from_json("response", RESPONSE_SCHEMA)["mappings"]})
+    listed = read.select("application_id", "response_seq", F.posexplode_outer("_answers").alias("pos", "m"))
+    fault = (
+        F.when(F.col("pos").isNull(), "no answers")
+        .when(F.col("m.description").isNull(), "no description")
+        .when(F.col("m.category").isNull(), "no category")
+        .when(~F.col("m.category").isin(fixed.LABEL_CATEGORIES), "unknown category")
+    )
+    found = settle(listed, {"fault": fault}).where("fault is not null")
+    return found.select("application_id", "response_seq", "pos", "fault")
+
+
 def label_responses(responses: DataFrame) -> DataFrame:
     """Labels from JSON responses (application_id, response_seq, response); a later one wins."""
     parsed = responses.select(

@@ -173,12 +173,15 @@ def test_pipeline_writes_all_outputs(spark, tmp_path):
         credit_profile=i.credit_profile.where(keep),
         files=files.unionByName(copies),
     )
-    outputs = pipeline.run(spark, run)
+    outputs = pipeline.run(
+        spark, run, wash_on_all_debits=True, answers_from_ledger=True, dictionary_path=f"{tmp_path}-dictionary"
+    )
     pipeline.write(outputs, str(tmp_path))
     back = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in outputs}
     assert set(back) == {
         "ledger", "positions", "reconciliation", "category_summary", "review_kpis", "monthly_summary",
         "scorecard", "score_components", "diagnostics", "label_requests", "label_request_batches",
+        "review_rollup", "daily_balances", "balance_facts", "payment_runs",
     }
     expected = i.ledger.where(keep).where("tx_type = 'credit' or (description like 'NSF%' and amount > 30)")
     assert back["ledger"].count() == expected.dropDuplicates(["application_id", "tx_date", "amount", "description", "tx_type"]).count()
@@ -186,6 +189,19 @@ def test_pipeline_writes_all_outputs(spark, tmp_path):
     matched = back["reconciliation"].where("application_id % 7 < 4 and status = 'Matched'")
     printed = expected.where("tx_type = 'credit' and application_id % 7 < 4").select("application_id").distinct()
     assert matched.count() == printed.count()
+    # Round trips among all debits reach the decision: who has six is stopped, whatever the narrower ledger shows.
+    flagged = {r.application_id for r in back["diagnostics"].where("code = 'wash'").collect()}
+    overridden = {r.application_id for r in i.application_inputs.where("wash_override is not null").collect()}
+    stopped = {r.application_id for r in back["scorecard"].where("wash_flag").collect()}
+    assert flagged - overridden == stopped
+    # Balances run over the whole statement, from the printed opening balance.
+    held = {r.application_id: r for r in back["balance_facts"].collect()}
+    totals = i.ledger.where(keep).groupBy("application_id").agg(
+        F.sum(F.when(F.col("tx_type") == "credit", F.col("amount")).otherwise(-F.col("amount"))).alias("net")
+    )
+    for r in totals.collect():
+        opening = {4: 1000, 5: 9_000_000}.get(r.application_id % 7, 0)
+        assert held[r.application_id].last_balance == opening + r.net
     codes = {r.code for r in back["diagnostics"].select("code").distinct().collect()}
     assert {"duplicate_file", "calibrated", "anchor_found", "anchor_missing", "bad_date"} <= codes
 
