@@ -141,7 +141,8 @@ SELECT word, n, n_near, form, form_n, root FROM formed JOIN roots USING (word)
 
 OP13 = """
 WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
-strings AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM bytes)),
+cut AS (SELECT doc_id, c, substr(h, 1000 * c + 1, 1098) AS h FROM (SELECT doc_id, h, unnest(range(0, (n - 50) // 500 + 1)) AS c FROM bytes WHERE n >= 50)),
+strings AS (SELECT doc_id, 500 * c + p AS p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, c, h, unnest(range(0, least(500, length(h) // 2 - 49))) AS p FROM cut)),
 first_in AS (SELECT s, min(doc_id) AS first_id FROM strings GROUP BY s),
 gone AS (SELECT doc_id, p FROM strings JOIN first_in USING (s) WHERE first_id < doc_id),
 breaks AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM gone),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,11 @@ COVERS = {
     31: (1, 5, 11, 24, 25, 27),
 }
 #: Sample suffixes are compared to at least so many bytes.
-MIN_DEPTH = 16
+MIN_DEPTH = 30
 #: Text in a block, the unit in which tasks ask about their suffixes. One longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: What a task sorts in a round. The number of rounds follows from it, from the corpus and from the shuffle partitions.
-ROUND_BYTES = 12 << 20
+ROUND_BYTES = 20 << 20
 #: Buckets that a task sorts one after another.
 BUCKETS_IN_TASK = 2
 #: Ids of rows without one: after all others, and none is smaller than another.
@@ -39,7 +40,7 @@ def cover_of(length: int) -> tuple[int, tuple[int, ...]]:
     """(period, set) for strings of `length` bytes: a sample suffix keeps MIN_DEPTH of them whatever the shift."""
     period = max((p for p in COVERS if length - p + 1 >= MIN_DEPTH), default=None)
     if period is None:
-        raise ValueError(f"length must be at least {min(COVERS) + MIN_DEPTH - 1}")
+        raise ValueError(f"strings must have at least {min(COVERS) + MIN_DEPTH - 1} bytes")
     return period, COVERS[period]
 
 
@@ -47,11 +48,12 @@ def hashes(data: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarr
     """64 bits of the `length` bytes from each place, read as words of eight."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
-    total = np.full(len(at), np.uint64(seed + length), dtype=np.uint64)
+    total = np.full(len(at), _KEYS[seed], dtype=np.uint64)
     for k, start in enumerate(range(0, length, 8)):
-        start = max(0, min(start, length - 8))
-        total = mixed(total ^ (words[at + start] * _KEYS[k % 64]))
-    return total
+        total ^= total >> np.uint64(32)
+        total *= _KEYS[8 + seed]
+        total += words[at + min(start, length - 8)] * _KEYS[16 + k % 48]
+    return mixed(total)
 
 
 class Block:
@@ -64,19 +66,35 @@ class Block:
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
 
-    def suffixes(self, length: int, period: int = 1, cover: tuple[int, ...] = (0,)) -> tuple[np.ndarray, np.ndarray]:
+    def suffixes(self, length: int, period: int, cover: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
         """(places, texts) of the suffixes of at least `length` bytes whose place in their text is in the cover."""
-        counts = [np.maximum(0, (self.sizes - length - c) // period + 1) for c in cover]
-        text = np.concatenate([np.repeat(np.arange(len(self.sizes)), n) for n in counts])
-        turn = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in counts])
-        first = np.repeat(np.array(cover), [n.sum() for n in counts])
-        return self.starts[text] + first + turn * period, text
+        places = np.arange(0, self.sizes.max(initial=0) + period, period)[:, None] + np.array(sorted(cover))
+        places = places.ravel()
+        n = np.searchsorted(places, self.sizes - length, side="right")
+        moved = np.repeat(self.starts, n)
+        moved += places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        return moved, np.repeat(np.arange(len(n)), n)
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def _groups(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): the order that brings equal names together, and where each begins in it. `more` may be empty."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if len(more):
+        further = more[order]
+        if (~new[1:] & (further[1:] != further[:-1])).any():  # two names share 64 bits
+            order = np.lexsort((more, keys))
+            ordered, further = keys[order], more[order]
+            new[1:] = (ordered[1:] != ordered[:-1]) | (further[1:] != further[:-1])
+    return order, np.flatnonzero(new)
+
+
 def _runs(values: np.ndarray) -> np.ndarray:
     """Where the runs of equal values start."""
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
@@ -94,35 +112,36 @@ def _values(column: pa.Array, kind=np.uint64) -> np.ndarray:
     return np.frombuffer(text_bytes(column)[0].tobytes(), kind)
 
 
-BLOCK = "block long, ids binary, sizes binary, names binary, data binary"
+BLOCK = "block long, ids binary, sizes binary, names binary, copied binary, data binary"
 
 
 def _blocks(length: int) -> Callable:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Different texts, packed. Texts without a suffix of the length have no place in any."""
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple[int, bytes, bytes]] = []
+        held: list[tuple[int, bytes, bool, bytes]] = []
         size = 0
 
         def pack():
             nonlocal number, held, size
             arrays = [
-                np.array([i for i, _, _ in held], np.int64).tobytes(),
-                np.array([len(t) for _, _, t in held], np.int64).tobytes(),
-                b"".join(n for _, n, _ in held),
-                b"".join(t for _, _, t in held),
+                np.array([i for i, *_ in held], np.int64).tobytes(),
+                np.array([len(t) for *_, t in held], np.int64).tobytes(),
+                b"".join(n for _, n, _, _ in held),
+                bytes(c for _, _, c, _ in held),
+                b"".join(t for *_, t in held),
             ]
             record = [pa.array([number], pa.int64()), *[pa.array([x], pa.binary()) for x in arrays]]
             number, held, size = number + 1, [], 0
-            return pa.RecordBatch.from_arrays(record, ["block", "ids", "sizes", "names", "data"])
+            return pa.RecordBatch.from_arrays(record, ["block", "ids", "sizes", "names", "copied", "data"])
 
         for batch in batches:
-            for first, name, text in zip(*(batch.column(n).to_pylist() for n in ("first_id", "name", "text"))):
+            for first, name, copied, text in zip(*(batch.column(n).to_pylist() for n in ("first_id", "name", "copied", "text"))):
                 if len(text) < length:
                     continue
                 if held and size + len(text) > BLOCK_BYTES:
                     yield pack()
-                held.append((NO_ID if first is None else first, name, text))
+                held.append((NO_ID if first is None else first, name, copied, text))
                 size += len(text)
         if held:
             yield pack()
@@ -136,103 +155,162 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-ASKED = "bucket int, block long, keys binary, more binary, ids binary"
+def _copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """name, first_id of the texts that several rows have."""
+    for row in _rows(batches):
+        ids, names = np.frombuffer(row["ids"], np.int64), row["names"]
+        several = np.flatnonzero(np.frombuffer(row["copied"], np.uint8))
+        first = [None if ids[t] == NO_ID else int(ids[t]) for t in several.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([names[16 * t : 16 * t + 16] for t in several.tolist()], pa.binary()), pa.array(first, pa.int64())], ["name", "first_id"])
+
 
+@dataclass
+class Names:
+    """Different names of a block's suffixes, in order of bucket and name, and which of them each suffix has.
+
+    Both the task that asks and the one that reads the answers make them, so an answer is a bit for each name.
+    """
 
-def _asked(block: int, bucket: np.ndarray, keys: np.ndarray, more: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """What a block asks, in order of bucket, as a row for each of its buckets. `more` may be empty."""
-    starts = _runs(bucket)
-    arrays = [
-        pa.array(bucket[starts].astype(np.int32)),
-        pa.array(np.full(len(starts), block)),
-        _lists(keys, starts),
-        _lists(more, starts if len(more) else starts * 0),
-        _lists(ids, starts),
-    ]
-    return pa.RecordBatch.from_arrays(arrays, ["bucket", "block", "keys", "more", "ids"])
+    bucket: np.ndarray
+    keys: np.ndarray
+    more: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    name_of: np.ndarray
+
+    @classmethod
+    def of(cls, bucket: np.ndarray, keys: np.ndarray, more: np.ndarray, ids: np.ndarray) -> Names:
+        order, starts = _groups(keys, more)
+        least, most = _ends(ids[order], starts)
+        first = order[starts]
+        place = np.argsort(bucket[first], kind="stable")
+        first = first[place]
+        rank = np.empty(len(place), np.int64)
+        rank[place] = np.arange(len(place))
+        name_of = np.empty(len(keys), np.int64)
+        name_of[order] = np.repeat(rank, np.diff(np.append(starts, len(keys))))
+        return cls(bucket[first], keys[first], more[first] if len(more) else more, least[place], most[place], name_of)
+
+    def ask(self, block: int) -> pa.RecordBatch:
+        """A row for each bucket."""
+        starts = _runs(self.bucket)
+        arrays = [
+            pa.array(self.bucket[starts].astype(np.int32)),
+            pa.array(np.full(len(starts), block)),
+            _lists(self.keys, starts),
+            _lists(self.more, starts if len(self.more) else starts * 0),
+            _lists(self.least, starts),
+            _lists(self.most - self.least, starts),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, ["bucket", "block", "keys", "more", "ids", "span"])
+
+    def told(self, answers: bytes) -> np.ndarray:
+        """A truth value for each suffix, from (bucket, bytes, bits) one after another."""
+        found = np.zeros(len(self.keys), bool)
+        at = 0
+        while at < len(answers):
+            bucket, size = np.frombuffer(answers, np.int32, 2, at).tolist()
+            low, high = np.searchsorted(self.bucket, [bucket, bucket + 1])
+            bits = np.unpackbits(np.frombuffer(answers, np.uint8, size, at + 8))
+            found[low:high] = bits[: high - low]
+            at += 8 + size
+        return found[self.name_of]
+
+
+ASKED = "bucket int, block long, keys binary, more binary, ids binary, span binary"
+#: A suffix's bucket follows from its first bytes.
+PREFIX = 16
 
 
 def _sample(length: int, low: int, high: int, buckets: int) -> Callable:
-    """Names of a block's sample suffixes in the buckets low to high, each with the smallest and largest id in the block."""
-    period, cover = cover_of(length)
-    depth = length - period + 1
+    """The names of a block's sample suffixes in the buckets low to high."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = Block(row["ids"], row["sizes"], row["data"])
-            at, text = block.suffixes(depth, period, cover)
-            keys = hashes(block.data, at, depth, 1)
-            bucket = _bucket(keys, buckets)
-            here = (bucket >= low) & (bucket < high)
-            keys, ids = keys[here], block.ids[text[here]]
-            order = np.lexsort((ids, keys))
-            keys, ids = keys[order], ids[order]
-            starts = _runs(keys)
-            ends = np.zeros(len(keys), bool)
-            ends[starts] = True
-            last = np.append(starts[1:], len(keys))[: len(starts)] - 1
-            ends[last[ids[last] > ids[starts]]] = True
-            keys, ids = keys[ends], ids[ends]
-            yield _asked(row["block"], _bucket(keys, buckets), keys, keys[:0], ids)
+            _, names = _sample_names(block, length, low, high, buckets)
+            yield names.ask(row["block"])
 
     return sample
 
 
+def _sample_names(block: Block, length: int, low: int, high: int, buckets: int) -> tuple[np.ndarray, Names]:
+    period, cover = cover_of(length)
+    depth = length - period + 1
+    at, text = block.suffixes(depth, period, cover)
+    bucket = _bucket(hashes(block.data, at, PREFIX, 1), buckets)
+    if (low, high) != (0, buckets):
+        here = np.flatnonzero((bucket >= low) & (bucket < high))
+        bucket, at, text = bucket[here], at[here], text[here]
+    keys = hashes(block.data, at, depth, 2)
+    return at, Names.of(bucket, keys, keys[:0], block.ids[text])
+
+
+def _ends(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest id from each start to the next."""
+    if not len(starts):
+        return ids, ids
+    return np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
+
+
 def _in_buckets(answer: Callable) -> Callable:
     """Sorts a task's buckets one after another; the answers to a block go out together."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def settle(held: list[tuple[np.ndarray, ...]]) -> None:
-            keys, more, ids, owner = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((ids, more, keys) if len(more) else (ids, keys))
-            keys, more, ids, owner = keys[order], more[order] if len(more) else more, ids[order], owner[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[1:] != keys[:-1]
-            if len(more):
-                new[1:] |= more[1:] != more[:-1]
-            starts, group = np.flatnonzero(new), np.cumsum(new) - 1
-            least, most = ids[starts], np.maximum.reduceat(ids, starts)
-            answered = answer(ids, least[group], most[group])
-            found = keys[answered, None] if not len(more) else np.stack([keys[answered], more[answered]], axis=1)
-            told.append((owner[answered], found))
-
-        held: list[tuple[np.ndarray, ...]] = []
+        told: dict[int, list[bytes]] = {}
+
+        def settle(bucket: int, held: list[tuple[np.ndarray, ...]], blocks: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+            keys, more, ids, most = (np.concatenate(x) for x in zip(*held))
+            order, starts = _groups(keys, more)
+            least, _ = _ends(ids[order], starts)
+            _, most = _ends((ids + most)[order], starts)
+            counts = np.diff(np.append(starts, len(keys)))
+            found = np.empty(len(keys), bool)
+            found[order] = answer(ids[order], np.repeat(least, counts), np.repeat(most, counts))
+            at = 0
+            for block, size in zip(np.concatenate(blocks).tolist(), np.concatenate(sizes).tolist()):
+                bits = np.packbits(found[at : at + size])
+                if bits.any():
+                    told.setdefault(block, []).append(np.array([bucket, len(bits)], np.int32).tobytes() + bits.tobytes())
+                at += size
+
+        held, blocks, sizes = [], [], []
         at = None
         for batch in batches:
             buckets = batch.column("bucket").to_numpy()
             starts = _runs(buckets)
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(buckets)]):
                 if at is not None and buckets[a] != at:
-                    settle(held)
-                    held = []
-                at = buckets[a]
+                    settle(at, held, blocks, sizes)
+                    held, blocks, sizes = [], [], []
+                at = int(buckets[a])
                 rows = batch.slice(a, b - a)
-                counts = np.diff(text_bytes(rows.column("ids"))[1]) // 8
-                owner = np.repeat(rows.column("block").to_numpy(), counts)
-                held.append((_values(rows.column("keys")), _values(rows.column("more")), _values(rows.column("ids"), np.int64), owner))
-        if held:
-            settle(held)
+                held.append((_values(rows.column("keys")), _values(rows.column("more")), *(_values(rows.column(c), np.int64) for c in ("ids", "span"))))
+                blocks.append(rows.column("block").to_numpy())
+                sizes.append(np.diff(text_bytes(rows.column("ids"))[1]) // 8)
+        if at is not None:
+            settle(at, held, blocks, sizes)
         if told:
-            owner, found = (np.concatenate(x) for x in zip(*told))
-            order = np.argsort(owner, kind="stable")
-            owner, found = owner[order], found[order]
-            starts = _runs(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(owner[starts]), _lists(found, starts)], ["block", "told"])
+            values = [b"".join(found) for found in told.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(told), pa.int64()), pa.array(values, pa.binary())], ["block", "told"])
 
     return sort
 
 
-def _ask(blocks: DataFrame, entries: int, entry_bytes: int, ask: Callable, answer: Callable, shelf: Shelf) -> DataFrame:
-    """block, told: the answers to what `ask(low, high, buckets)` asks of each block, in rounds of bounded size."""
+def _rounds(blocks: DataFrame, entries: int, entry_bytes: int) -> tuple[int, int]:
+    """(rounds, buckets): so many that what a task sorts in a round is bounded."""
     partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rounds = max(1, -(-entries * entry_bytes // (partitions * ROUND_BYTES)))
-    per_round = partitions * BUCKETS_IN_TASK
+    return rounds, rounds * partitions * BUCKETS_IN_TASK
+
+
+def _ask(blocks: DataFrame, rounds: int, buckets: int, ask: Callable, answer: Callable, shelf: Shelf) -> DataFrame:
+    """block, told: the answers to what `ask(low, high, buckets)` asks of each block, one range of buckets after another."""
+    per_round = buckets // rounds
     told = None
     for r in range(rounds):
-        asked = blocks.mapInArrow(ask(r * per_round, (r + 1) * per_round, rounds * per_round), ASKED)
-        dealt = asked.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+        asked = blocks.mapInArrow(ask(r * per_round, (r + 1) * per_round, buckets), ASKED)
+        dealt = asked.repartition(per_round // BUCKETS_IN_TASK, "bucket").sortWithinPartitions("bucket")
         found = shelf.put(dealt.mapInArrow(_in_buckets(answer), "block long, told binary"), release=True)
         told = found if told is None else told.unionByName(found)
     return told
@@ -247,49 +325,31 @@ def _with_answers(blocks: DataFrame, told: DataFrame) -> DataFrame:
     return answers.unionByName(whole).repartition("block").sortWithinPartitions("block", F.col("ids").isNotNull())
 
 
-def _met(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[dict, np.ndarray]]:
-    """(block, all its answers in order of key), from the rows of `_with_answers`."""
-    told: list[np.ndarray] = []
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
+    """(block, all its answers), from the rows of `_with_answers`."""
+    told: list[bytes] = []
     for batch in batches:
         start = 0
         for i in np.flatnonzero(batch.column("ids").is_valid().to_numpy(zero_copy_only=False)).tolist():
-            told.append(_values(batch.slice(start, i - start).column("told")))
-            row = batch.slice(i, 1).to_pylist()[0]
-            found = np.concatenate(told).reshape(-1, width)
-            yield row, found[np.argsort(found[:, 0], kind="stable")]
+            told += batch.slice(start, i - start).column("told").to_pylist()
+            yield batch.slice(i, 1).to_pylist()[0], b"".join(told)
             told, start = [], i + 1
-        told.append(_values(batch.slice(start).column("told")))
-
-
-def _member(keys: np.ndarray, told: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
-    """Which keys are among the answers, which are in order of key."""
-    found = np.zeros(len(keys), bool)
-    if not len(told):
-        return found
-    first = np.ascontiguousarray(told[:, 0])
-    place = np.searchsorted(first, keys)
-    # A key may stand several times, if names of 128 bits share 64.
-    for step in range(int(np.diff(np.append(_runs(first), len(first))).max())):
-        at = np.minimum(place + step, len(first) - 1)
-        same = first[at] == keys
-        found |= same if more is None else same & (told[at, 1] == more)
-    return found
+        told += batch.slice(start).column("told").to_pylist()
 
 
-SURVIVORS = f"{BLOCK}, places binary"
+SURVIVORS = "block long, ids binary, sizes binary, names binary, data binary, runs binary, n long"
 
 
-def _survivors(length: int) -> Callable:
-    period, cover = cover_of(length)
-    depth = length - period + 1
+def _survivors(length: int, buckets: int) -> Callable:
+    period, _ = cover_of(length)
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Suffixes that may be equal to one of another document in all their first bytes: a shift below the period leads
         both to sample suffixes of equal rank, so one without any shared sample suffix ahead ties with none."""
-        for row, told in _met(batches, 1):
+        for row, told in _met(batches):
             block = Block(row["ids"], row["sizes"], row["data"])
-            at, _ = block.suffixes(depth, period, cover)
-            shared = at[_member(hashes(block.data, at, depth, 1), told)]
+            at, names = _sample_names(block, length, 0, buckets, buckets)
+            shared = at[names.told(told)]
             if not len(shared):
                 continue
             ahead = np.zeros(len(block.data) + 1, np.int32)
@@ -301,50 +361,51 @@ def _survivors(length: int) -> Callable:
             texts = np.flatnonzero(np.logical_or.reduceat(kept, block.starts))
             if not len(texts):
                 continue
-            moved = np.cumsum(block.sizes[texts]) - block.sizes[texts]
             names = [row["names"][16 * t : 16 * t + 16] for t in texts.tolist()]
             pieces = [slice(int(block.starts[t]), int(block.ends[t])) for t in texts.tolist()]
-            places = np.concatenate([np.flatnonzero(kept[p]) + m for p, m in zip(pieces, moved.tolist())])
+            mask = np.concatenate([[False], *[kept[p] for p in pieces], [False]])
+            runs = np.flatnonzero(mask[1:] != mask[:-1])  # start, end, start, end: the last suffixes of a text are too short
             arrays = [
                 block.ids[texts].tobytes(),
                 block.sizes[texts].tobytes(),
                 b"".join(names),
                 b"".join(block.data[p].tobytes() for p in pieces),
-                places.astype(np.int64).tobytes() if len(block.data) >> 31 else places.astype(np.int32).tobytes(),
+                runs.astype(np.int64).tobytes(),
             ]
-            record = [pa.array([row["block"]], pa.int64()), *[pa.array([x], pa.binary()) for x in arrays]]
-            yield pa.RecordBatch.from_arrays(record, ["block", "ids", "sizes", "names", "data", "places"])
+            n = int((runs[1::2] - runs[::2]).sum())
+            record = [pa.array([row["block"]]), *[pa.array([x], pa.binary()) for x in arrays], pa.array([n])]
+            yield pa.RecordBatch.from_arrays(record, ["block", "ids", "sizes", "names", "data", "runs", "n"])
 
     return survivors
 
 
 class Suffixes(Block):
-    """A block's surviving suffixes, by name: 128 bits of their first bytes."""
+    """A block's surviving suffixes, each with the id of its text."""
 
-    def __init__(self, row: dict, length: int):
+    def __init__(self, row: dict):
         super().__init__(row["ids"], row["sizes"], row["data"])
-        width = np.int64 if len(self.data) >> 31 else np.int32
-        self.places = np.frombuffer(row["places"], width).astype(np.int64)
-        self.owner = self.ids[np.searchsorted(self.ends, self.places, side="right")]
-        self.keys = hashes(self.data, self.places, length, 2)
-        self.more = hashes(self.data, self.places, length, 3)
+        runs = np.frombuffer(row["runs"], np.int64)
+        sizes = runs[1::2] - runs[::2]
+        self.places = np.arange(sizes.sum()) + np.repeat(runs[::2] - (np.cumsum(sizes) - sizes), sizes)
+        owner = self.ids[np.searchsorted(self.ends, runs[::2], side="right")]
+        self.owner = np.repeat(owner, sizes)
+
+    def named(self, length: int, low: int, high: int, buckets: int) -> tuple[np.ndarray, Names]:
+        """(places, their names) in the buckets low to high: 128 bits of the first `length` bytes."""
+        at, owner = self.places, self.owner
+        bucket = _bucket(hashes(self.data, at, PREFIX, 3), buckets)
+        if (low, high) != (0, buckets):
+            here = np.flatnonzero((bucket >= low) & (bucket < high))
+            bucket, at, owner = bucket[here], at[here], owner[here]
+        return at, Names.of(bucket, hashes(self.data, at, length, 4), hashes(self.data, at, length, 5), owner)
 
 
 def _named(length: int, low: int, high: int, buckets: int) -> Callable:
-    """Names of a block's surviving suffixes in the buckets low to high, each with its smallest id in the block."""
+    """The names of a block's surviving suffixes in the buckets low to high."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            block = Suffixes(row, length)
-            bucket = _bucket(block.keys, buckets)
-            here = (bucket >= low) & (bucket < high)
-            keys, more, ids = block.keys[here], block.more[here], block.owner[here]
-            order = np.lexsort((ids, more, keys))
-            keys, more, ids = keys[order], more[order], ids[order]
-            first = np.ones(len(keys), bool)
-            first[1:] = (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])
-            keys, more, ids = keys[first], more[first], ids[first]
-            yield _asked(row["block"], _bucket(keys, buckets), keys, more, ids)
+            yield Suffixes(row).named(length, low, high, buckets)[1].ask(row["block"])
 
     return named
 
@@ -360,19 +421,16 @@ def _in_several(ids: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndar
 REMOVED = "name binary, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string"
 
 
-def _removed(length: int) -> Callable:
+def _removed(length: int, buckets: int) -> Callable:
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What goes of each text: bytes in a suffix's first ones that stand in a document of smaller id, too."""
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for row, told in _met(batches, 2):
-            block = Suffixes(row, length)
-            order = np.lexsort((block.owner, block.more, block.keys))
-            keys, more, ids = block.keys[order], block.more[order], block.owner[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])
-            repeated = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-            repeated |= _member(keys, told, more)
-            at = block.places[order][repeated]
+        for row, told in _met(batches):
+            block = Suffixes(row)
+            at, names = block.named(length, 0, buckets, buckets)
+            # In a smaller document of another block, or of this one.
+            repeated = names.told(told) | (block.owner > names.least[names.name_of])
+            at = at[repeated]
             cover = np.zeros(len(block.data) + 1, np.int32)
             np.add.at(cover, at, 1)
             np.add.at(cover, at + length, -1)
@@ -409,7 +467,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     `length` keep everything. An empty table gives no rows; other columns are ignored.
 
     Two suffixes that are equal in their first `length` bytes lead, by one shift below the period of a difference
-    cover, to two sample suffixes that are equal to a known depth. So the sample (a fifth of all places for 50 bytes) is
+    cover, to two sample suffixes that are equal to a known depth. So the sample (a quarter of all places for 50 bytes) is
     sorted first, and suffixes without a shared sample suffix ahead are out: they tie with none. The others are sorted
     by 128 bits of their first bytes. Both sorts run one range of buckets at a time, as many rounds as bound what a task
     sorts; inside a block equal suffixes are one entry, so a string that a third of all documents share counts once a
@@ -417,22 +475,24 @@ def repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     """
     shelf = Shelf(docs.sparkSession, "suffixes")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = source.groupBy("text").agg(F.min("id").alias("first_id"))
-    texts = texts.select("first_id", _name(F.col("text")).alias("name"), F.col("text").cast("binary").alias("text"))
+    texts = source.groupBy("text").agg(F.min("id").alias("first_id"), (F.count(F.lit(1)) > 1).alias("copied"))
+    texts = texts.select("first_id", _name(F.col("text")).alias("name"), "copied", F.col("text").cast("binary").alias("text"))
     blocks = shelf.put(texts.mapInArrow(_blocks(length), BLOCK), release=True)
+    copies = shelf.put(blocks.select("ids", "names", "copied").mapInArrow(_copied, "name binary, first_id long"))
+    blocks = blocks.drop("copied")
     period, cover = cover_of(length)
     size = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    sample = lambda *where: _sample(length, *where)
-    told = _ask(blocks, size * len(cover) // period, 16, sample, _in_several, shelf)
-    survivors = shelf.put(_with_answers(blocks, told).mapInArrow(_survivors(length), SURVIVORS), release=True)
-    shelf.keep(survivors)
-    left = survivors.agg(F.sum(F.octet_length("places"))).first()[0] or 0
-    told = _ask(survivors, left // 4, 24, lambda *where: _named(length, *where), _first_elsewhere, shelf)
-    gone = shelf.put(_with_answers(survivors, told).mapInArrow(_removed(length), REMOVED), release=True)
-    shelf.keep(gone)
+    rounds, buckets = _rounds(blocks, size * len(cover) // period, 16)
+    told = _ask(blocks, rounds, buckets, lambda *where: _sample(length, *where), _in_several, shelf)
+    survivors = shelf.put(_with_answers(blocks, told).mapInArrow(_survivors(length, buckets), SURVIVORS), release=True)
+    shelf.keep(survivors, copies)
+    left = survivors.agg(F.sum("n")).first()[0] or 0
+    rounds, buckets = _rounds(survivors, left, 24)
+    told = _ask(survivors, rounds, buckets, lambda *where: _named(length, *where), _first_elsewhere, shelf)
+    gone = shelf.put(_with_answers(survivors, told).mapInArrow(_removed(length, buckets), REMOVED), release=True)
+    shelf.keep(gone, copies)
     rows = source.select("id", F.octet_length("text").cast("long").alias("n_bytes"), _name(F.col("text")).alias("name"), F.sha2("text", 256).alias("sha"))
-    copies = rows.groupBy("name").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    of_text = copies.select("name", "first_id").join(gone, "name", "full_outer").withColumnRenamed("name", "of")
+    of_text = copies.join(gone, "name", "full_outer").withColumnRenamed("name", "of")
     known = rows.join(of_text, F.col("name") == F.col("of"), "left")
     # A row without an id comes after one with an id.
     later = (F.col("first_id") < F.col("id")) | (F.col("first_id").isNotNull() & F.col("id").isNull())
