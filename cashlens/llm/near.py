@@ -302,8 +302,8 @@ def near_components(
     least 0.5); a text of fewer words has its whole sequence as the one shingle. component_id is the smallest id
     reachable by links, kept says that it is the row's own. Equal sets are one class, compared once. Null, empty and
     wordless texts have no shingles and link with nothing. A null id links with nothing: component_id null, kept true.
-    Rows that repeat an id are each judged by their own text, and are one node in the links of others. An empty table
-    gives no rows; other columns are ignored.
+    Rows that repeat an id are each judged by their own text, and are one node in the links of others; rows that repeat
+    an id and a text are compared once. An empty table gives no rows; other columns are ignored.
     """
     shelf = Shelf(docs.sparkSession, "near")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -315,8 +315,8 @@ def near_components(
     firsts = classes.filter(f"n_shingles >= {smallest_linking(over, under)}").select(
         F.col("rep").alias("id"), F.col("fp1").alias("f1"), F.col("fp2").alias("f2")
     )
-    reps = solid.join(firsts, "id").filter("fp1 = f1 AND fp2 = f2").select("id", "n_shingles", "sig")
-    reps = shelf.put(reps)
+    reps = solid.join(firsts, "id").filter("fp1 = f1 AND fp2 = f2").dropDuplicates(["id", "fp1", "fp2"])
+    reps = shelf.put(reps.select("id", "n_shingles", "sig"))
     banded = reps.mapInArrow(_bands(band_rows(over / under)), "bucket long, id long, n long")
     leaders = banded.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lead"), F.count(F.lit(1)).alias("size"))
     leaders = shelf.put(leaders.filter("size > 1").select("bucket", "lead.*").toDF("bucket", "lead", "lead_n"))
@@ -326,7 +326,7 @@ def near_components(
 
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = shelf.put(ids.distinct().toDF("wanted"))
-        return shelf.put(source.join(wanted, F.col("id") == F.col("wanted"), "left_semi"))
+        return shelf.put(source.join(wanted, F.col("id") == F.col("wanted"), "left_semi").dropDuplicates(["id", "text"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = shelf.put(pairs.distinct())

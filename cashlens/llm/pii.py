@@ -134,7 +134,7 @@ _FILL = pa.struct(
     ]
 )
 FOUND = (
-    "id long, of long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
+    "id long, of binary, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
     "base array<struct<kind:int,start:bigint,end:bigint>>, "
     "fills array<struct<kind:int,start:bigint,end:bigint,seed:boolean,instance:string,patterns:array<string>>>"
 )
@@ -228,7 +228,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     shelf = Shelf(docs.sparkSession, "pii")
     text = F.col(text_col)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.md5(text), F.lit(1)).alias("of"), text.alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text)).alias("of"), text.alias("text"))
     found = shelf.put(source.mapInArrow(_scan, FOUND))
     fills = found.select("of", F.explode("fills").alias("fill")).select("of", "fill.*")
     good = pattern_confidence(fills.select("kind", "seed", "instance", "patterns"), shelf)

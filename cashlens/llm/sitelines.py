@@ -25,17 +25,18 @@ def line_key(line: Column) -> Column:
 def spread_lines(lines: DataFrame, shelf: Shelf, min_sites: int) -> DataFrame:
     """key, n_sites of the lines on at least `min_sites` sites, from (key, site).
 
-    Map tasks reduce lines to distinct (key, site) pairs before anything is shuffled, then sketches per key are merged
-    by aggregation. An estimate that could be on the wrong side of `min_sites` is replaced by the exact distinct count.
+    Map tasks sketch the sites of each line; the sketches of a line are merged by aggregation. Only lines whose estimate
+    could be on the wrong side of `min_sites` are brought back to their sites, of which distinct ones are counted.
     """
-    pairs = shelf.put(lines.filter("key IS NOT NULL AND site IS NOT NULL").distinct())
-    sketches = pairs.groupBy("key").agg(F.hll_sketch_agg("site", LOG_REGISTERS).alias("sketch"))
+    lines = lines.filter("key IS NOT NULL AND site IS NOT NULL")
+    sketches = lines.groupBy("key").agg(F.hll_sketch_agg("site", LOG_REGISTERS).alias("sketch"))
     spread = sketches.select("key", F.hll_sketch_estimate("sketch").alias("estimate"))
     band = max(1.0, DEVIATIONS * 1.04 / 2 ** (LOG_REGISTERS / 2) * min_sites)
     spread = shelf.put(spread.filter(F.col("estimate") >= min_sites - band))
     sure = spread.filter(F.col("estimate") > min_sites + band).select("key", F.col("estimate").alias("n_sites"))
     near = spread.filter(F.col("estimate") <= min_sites + band).select("key")
-    counted = pairs.join(near, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n_sites"))
+    pairs = lines.join(near, "key", "left_semi").select("key", "site").distinct()
+    counted = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_sites"))
     return shelf.put(sure.unionByName(counted.filter(F.col("n_sites") >= min_sites)))
 
 
@@ -67,9 +68,8 @@ def drop_spread_lines(
     hits = located.filter("key IS NOT NULL").join(spread, "key", "left_semi")
     hits = shelf.put(hits.groupBy("of").agg(F.collect_set("key").alias("drop")))
     shelf.keep(hits)
-    # A hash join, as sorting whole texts for a merge would cost more than the small side's hash table.
     named = source.withColumn("name", name)
-    marked = named.join(hits.hint("shuffle_hash"), F.col("name") == F.col("of"), "left")
+    marked = named.join(hits, F.col("name") == F.col("of"), "left")
     stays = lambda line: ~F.coalesce(F.array_contains("drop", line_key(line)), F.lit(False))
     kept = F.when(F.col("drop").isNull(), pieces).otherwise(F.filter(pieces, stays))
     counted = marked.select("id", "text", pieces.alias("all"), kept.alias("kept"))

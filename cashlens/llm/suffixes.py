@@ -44,16 +44,18 @@ def cover_of(length: int) -> tuple[int, tuple[int, ...]]:
     return period, COVERS[period]
 
 
-def hashes(data: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """64 bits of the `length` bytes from each place, read as words of eight."""
+def hashes(data: np.ndarray, at: np.ndarray, length: int, *seeds: int) -> list[np.ndarray]:
+    """For each seed, 64 bits of the `length` bytes from each place, read as words of eight."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
-    total = np.full(len(at), _KEYS[seed], dtype=np.uint64)
+    totals = [np.full(len(at), _KEYS[seed], dtype=np.uint64) for seed in seeds]
     for k, start in enumerate(range(0, length, 8)):
-        total ^= total >> np.uint64(32)
-        total *= _KEYS[8 + seed]
-        total += words[at + min(start, length - 8)] * _KEYS[16 + k % 48]
-    return mixed(total)
+        word = words[at + min(start, length - 8)] * _KEYS[16 + k % 48]
+        for seed, total in zip(seeds, totals):
+            total ^= total >> np.uint64(32)
+            total *= _KEYS[8 + seed]
+            total += word
+    return [mixed(total) for total in totals]
 
 
 class Block:
@@ -238,11 +240,11 @@ def _sample_names(block: Block, length: int, low: int, high: int, buckets: int)
     period, cover = cover_of(length)
     depth = length - period + 1
     at, text = block.suffixes(depth, period, cover)
-    bucket = _bucket(hashes(block.data, at, PREFIX, 1), buckets)
+    bucket = _bucket(hashes(block.data, at, PREFIX, 1)[0], buckets)
     if (low, high) != (0, buckets):
         here = np.flatnonzero((bucket >= low) & (bucket < high))
         bucket, at, text = bucket[here], at[here], text[here]
-    keys = hashes(block.data, at, depth, 2)
+    keys = hashes(block.data, at, depth, 2)[0]
     return at, Names.of(bucket, keys, keys[:0], block.ids[text])
 
 
@@ -393,11 +395,11 @@ class Suffixes(Block):
     def named(self, length: int, low: int, high: int, buckets: int) -> tuple[np.ndarray, Names]:
         """(places, their names) in the buckets low to high: 128 bits of the first `length` bytes."""
         at, owner = self.places, self.owner
-        bucket = _bucket(hashes(self.data, at, PREFIX, 3), buckets)
+        bucket = _bucket(hashes(self.data, at, PREFIX, 3)[0], buckets)
         if (low, high) != (0, buckets):
             here = np.flatnonzero((bucket >= low) & (bucket < high))
             bucket, at, owner = bucket[here], at[here], owner[here]
-        return at, Names.of(bucket, hashes(self.data, at, length, 4), hashes(self.data, at, length, 5), owner)
+        return at, Names.of(bucket, *hashes(self.data, at, length, 4, 5), owner)
 
 
 def _named(length: int, low: int, high: int, buckets: int) -> Callable:

@@ -123,7 +123,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
 #: What a record is read as. A continuation has its origin's id in `origin`; other records have their own there.
 RECORD = (
     "origin string, number int, type string, page_id long, uri string, refers_to string, refers_to_page long, "
-    "stated_digest string, stated_length long, total_length long, block binary"
+    "stated_digest string, stated_length long, total_length long, block binary, times int"
 )
 
 
@@ -164,32 +164,33 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = lambda x: None if x is None else int(x)
     for batch in batches:
         for content in batch.column("content"):
-            rows: list[tuple] = []
+            rows: dict[tuple, int] = {}
             for fields, block in records_of(inflated(content.as_py())):
                 digest = fields.get("warc-payload-digest", "")
-                rows.append(
-                    (
-                        fields.get("warc-segment-origin-id") or fields.get("warc-record-id"),
-                        int(fields.get("warc-segment-number", 1)),
-                        fields["warc-type"],
-                        number(fields.get("warc-page-id")),
-                        fields.get("warc-target-uri"),
-                        fields.get("warc-refers-to"),
-                        number(fields.get("warc-refers-to-page")),
-                        digest.rpartition(":")[2] or None,
-                        number(fields.get("warc-payload-length")),
-                        number(fields.get("warc-segment-total-length")),
-                        block,
-                    )
+                record = (
+                    fields.get("warc-segment-origin-id") or fields.get("warc-record-id"),
+                    int(fields.get("warc-segment-number", 1)),
+                    fields["warc-type"],
+                    number(fields.get("warc-page-id")),
+                    fields.get("warc-target-uri"),
+                    fields.get("warc-refers-to"),
+                    number(fields.get("warc-refers-to-page")),
+                    digest.rpartition(":")[2] or None,
+                    number(fields.get("warc-payload-length")),
+                    number(fields.get("warc-segment-total-length")),
+                    block,
                 )
-                if len(rows) == 256:
+                # Equal records of an archive are one row with a count.
+                rows[record] = rows.get(record, 0) + 1
+                if len(rows) == FILE_RECORDS:
                     yield _table(rows)
-                    rows = []
+                    rows = {}
             if rows:
                 yield _table(rows)
 
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
+def _table(counted: dict[tuple, int]) -> pa.RecordBatch:
+    rows = [(*record, times) for record, times in counted.items()]
     names = [field.split()[0] for field in RECORD.split(", ")]
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     types = [kinds[field.split()[1]] for field in RECORD.split(", ")]
@@ -197,7 +198,10 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives below a path, segments apart (columns: RECORD)."""
+    """Every record of the archives below a path, segments apart (columns: RECORD).
+
+    Equal records of an archive are one row that stands for as many `times`.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_read, RECORD)
 
@@ -207,13 +211,20 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         payloads, faults, copies = [], [], []
         for kind, segments in zip(batch.column("type").to_pylist(), batch.column("segments").to_pylist()):
             # The same record may have been written several times: its segments then come in equal copies.
-            distinct = [s for k, s in enumerate(segments) if not k or s != segments[k - 1]]
+            distinct, written = [], []
+            for s in segments:
+                times = s.pop("times")
+                if distinct and s == distinct[-1]:
+                    written[-1] += times
+                else:
+                    distinct.append(s)
+                    written.append(times)
             numbers = [s["number"] for s in distinct]
             total = distinct[-1]["total_length"]
             message = b"".join(s["block"] for s in distinct)
             fault = None
-            times = len(segments) // len(distinct)
-            if numbers != list(range(1, len(numbers) + 1)) or times * len(distinct) != len(segments):
+            times = written[0]
+            if numbers != list(range(1, len(numbers) + 1)) or set(written) != {times}:
                 fault = "segment missing or repeated"
             elif total is not None and total != len(message) or total is None and len(numbers) > 1:
                 fault = "length differs from the total"
@@ -247,7 +258,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     at fault has a null payload. Revisits have none of their own. A record written several times gives as many rows.
     """
     segmented = records.withColumn("many", (F.col("type") == "continuation") | (F.col("number") > 1))
-    segment = F.struct("number", "total_length", "block")
+    segment = F.struct("number", "total_length", "block", "times")
     first = lambda c: F.min(F.when(F.col("type") != "continuation", F.col(c))).alias(c)
     fields = ["type", "page_id", "uri", "refers_to", "refers_to_page", "stated_digest", "stated_length"]
     grouped = segmented.groupBy("origin").agg(

@@ -39,6 +39,25 @@ def test_edges_and_chains(spark):
     assert sorted(repr(tuple(r)) for r in found) == brute(rows, 4)
 
 
+def test_rows_that_repeat_an_id_and_a_text(spark, monkeypatch):
+    """They are compared once, however many there are."""
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base), " ".join([*base[:59], "z"]), " ".join([*base[:58], "y", "z"])]
+    rows = [(k, t) for k, t in enumerate(texts) for _ in range(40)]
+    sizes = []
+    put = Shelf.put
+
+    def counted(self, df, **how):
+        table = put(self, df, **how)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(Shelf, "put", counted)
+    found = near.near_components(documents(spark, rows), 4).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(0, 0), (1, 0), (2, 0)} and len(found) == 120
+    assert sorted(sizes, reverse=True)[1] <= 3 * near.HASHES
+
+
 def test_drop_and_empty(spark):
     docs = documents(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (3, None), (4, None)])
     kept = near.drop_near(docs)

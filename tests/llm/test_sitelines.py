@@ -37,3 +37,16 @@ def test_edges(spark):
     found = sitelines.drop_spread_lines(documents(spark, rows)).collect()
     assert sorted(repr(tuple(r)) for r in found) == brute(rows, 5)
     assert sitelines.drop_spread_lines(documents(spark, rows).limit(0)).count() == 0
+
+
+def test_pairs_are_distinct_only_near_the_threshold(spark):
+    """Sketches are made of all lines; lines far from the threshold never meet their sites again."""
+    from cashlens.llm.shelf import Shelf
+
+    rows = [(f"k{k}", f"s{s}") for k, n in enumerate([1, 2, 4, 5, 6, 40, 300]) for s in range(n) for _ in range(3)]
+    lines = spark.createDataFrame(rows, "key string, site string")
+    shelf = Shelf(spark, "spread")
+    found = {r.key: r.n_sites for r in sitelines.spread_lines(lines, shelf, 5).collect()}
+    assert set(found) == {"k3", "k4", "k5", "k6"} and found["k3"] == 5 and found["k4"] == 6
+    plan = lines.groupBy("key").agg(__import__("pyspark.sql.functions", fromlist=["x"]).hll_sketch_agg("site", 10))
+    assert "partial_hll" in plan._jdf.queryExecution().executedPlan().toString()

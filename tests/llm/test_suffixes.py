@@ -49,7 +49,7 @@ def test_hashes_are_of_the_bytes():
     at = np.arange(len(data) - 50)
     for length in (16, 30, 50):
         names = {}
-        for p, h in zip(at.tolist(), suffixes.hashes(data, at, length, 2).tolist()):
+        for p, h in zip(at.tolist(), suffixes.hashes(data, at, length, 2)[0].tolist()):
             assert names.setdefault(h, data[p : p + length].tobytes()) == data[p : p + length].tobytes()
         assert len(names) == len({data[p : p + length].tobytes() for p in at.tolist()})
 

@@ -67,3 +67,13 @@ def test_chunks():
     assert warc.dechunked(warc.chunked("ä" * 20_000).encode()) == ("ä" * 20_000).encode()
     with pytest.raises(ValueError):
         warc.dechunked(b"5\r\nabc")
+
+
+def test_equal_rows_travel_once(spark, tmp_path):
+    """Copies of a record in an archive are one row with a count, so a group holds as many as there are archives."""
+    rows = [(1, "u", "same text " * 20)] * 500 + [(2, "u", "z" * 90_000)] * 40
+    warc.write_archives(pages(spark, rows).coalesce(1), str(tmp_path / "w"))
+    records = warc.read_records(spark, str(tmp_path / "w"))
+    assert records.count() < 20 and sum(r.times for r in records.where("page_id = 1").collect()) == 500
+    found = [(r.page_id, r.fault) for r in warc.reassemble(records).collect()]
+    assert sorted(found) == [(1, None)] * 500 + [(2, None)] * 40
