@@ -17,6 +17,7 @@ from cashlens.operators.lines import (
     DEBIT_HEADING,
     FILE,
     PAGE,
+    has_kind,
     is_kind,
 )
 from cashlens.operators.skew import carry_forward
@@ -68,8 +69,12 @@ def line_states(lines: DataFrame) -> DataFrame:
         "words",
         "line",
         "noise",
-        balance_x(F.col("words"), F.col("line_no")).alias("balance_x"),
-        calibration(F.col("words"), F.col("line"), F.col("next_line")).alias("bands"),
+        # Few lines hold a heading; only their words are looked through.
+        F.when(has_kind(F.col("kinds"), BALANCE_HEADING), balance_x(F.col("words"), F.col("line_no"))).alias("balance_x"),
+        F.when(
+            has_kind(F.col("kinds"), DEBIT_HEADING) & has_kind(F.col("kinds"), CREDIT_HEADING),
+            calibration(F.col("words"), F.col("line"), F.col("next_line")),
+        ).alias("bands"),
         F.when(read, dates.line_date(F.col("line"))).alias("worded_date"),
         F.when(read, dates.numeric_line_date(F.col("line"))).alias("numeric_date"),
     )

@@ -58,8 +58,13 @@ def is_kind(word: Column, bits: int) -> Column:
     return word["kind"].bitwiseAND(bits) != 0
 
 
+def has_kind(kinds: Column, bits: int) -> Column:
+    """Whether any word of a line is of one of these kinds, from the line's `kinds`."""
+    return kinds.bitwiseAND(bits) != 0
+
+
 def line_grouping(words: DataFrame) -> DataFrame:
-    """One row per text line: its words from left to right, its text and the next line's.
+    """One row per text line: its words from left to right, what kinds are among them, its text and the next line's.
 
     Takes words as `word_dedup` leaves them, partitioned by page: lines, line numbers and the
     look-ahead all use that partitioning. A page is bounded by its paper: 4,115 line positions at most.
@@ -70,12 +75,13 @@ def line_grouping(words: DataFrame) -> DataFrame:
     return (
         words.withColumn("kind", word_kind(F.col("text")))
         .groupBy(*PAGE, y_key.alias("y_key"))
-        .agg(F.sort_array(F.collect_list(word)).alias("words"))
+        .agg(F.sort_array(F.collect_list(word)).alias("words"), F.bit_or("kind").alias("kinds"))
         .withColumn("line", F.array_join("words.text", " "))
         .select(
             *PAGE,
             F.row_number().over(order).alias("line_no"),
             "words",
+            "kinds",
             "line",
             F.coalesce(F.lead("line").over(order), F.lit("")).alias("next_line"),
         )
