@@ -34,7 +34,7 @@ from cashlens.plans.queries import (
     statement_texts,
     unique_ledger,
 )
-from cashlens.sources import credit, dimensions, labels, sinks
+from cashlens.sources import credit, dimensions, files, labels, sinks
 
 #: The ledger grows after this day.
 GROWN_AFTER = "2024-01-12"
@@ -328,3 +328,22 @@ def diagnostics_of_faults(i: Inputs) -> DataFrame:
         diagnostics.field_faults(credit.report_faults(faulty_reports(i))),
         diagnostics.overlapping_files(overlaps.statement_overlap(spans)),
     )
+
+
+# --- files -----------------------------------------------------------------------------
+
+#: Suppliers' statements as uploads of their nation; every third comes again under another name.
+NOTES = """SELECT CAST(s_nationkey AS BIGINT) AS application_id, s_name AS file_name, CAST(s_suppkey AS INT) AS upload_seq, 'Statement of ' || s_name AS text FROM supplier
+UNION ALL SELECT CAST(s_nationkey AS BIGINT), 'copy of ' || s_name || ' 100% = #1', CAST(s_suppkey + 1000000 AS INT), 'Statement of ' || s_name FROM supplier WHERE s_suppkey % 3 = 0"""
+
+
+@query
+def file_scan(i: Inputs) -> DataFrame:
+    """Files written one by one, read back as bytes with their listed sizes, and deduplicated."""
+    path = staging.new_path(i.spark, "uploads")
+    i.supplier.createOrReplaceTempView("supplier")
+    files.write_files(i.spark.sql(NOTES), path)
+    found = files.scan_files(i.spark, path)
+    sizes = found.select("application_id", "file_name", "upload_seq", "bytes")
+    unique = files.file_dedup(files.file_hashes(found))
+    return unique.join(sizes, ["application_id", "file_name", "upload_seq"])

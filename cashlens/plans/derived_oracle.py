@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cashlens.plans.derived import DATED_EDITS, DATED_REPORTS, GROWN_AFTER, RUN_GAP, SPARSE_WORDS, SPELLINGS, TOO_LARGE, UPLOADS
+from cashlens.plans.derived import DATED_EDITS, DATED_REPORTS, GROWN_AFTER, NOTES, RUN_GAP, SPARSE_WORDS, SPELLINGS, TOO_LARGE, UPLOADS
 from cashlens.plans.inputs import LINES
 from cashlens.plans.oracle import QUERIES, STEPS, _case, _long, _number, _shift, _text
 
@@ -80,6 +80,7 @@ SELECT application_id, f.field, f.fault FROM (SELECT application_id, unnest(CASE
     WHEN 2 THEN [{'field': 'owner_name', 'fault': 'missing'}, {'field': 'mortgage_ltv_details', 'fault': 'missing'}]
     WHEN 3 THEN [{'field': 'fico_score', 'fault': 'no int'}] WHEN 4 THEN [{'field': 'total_high_credit', 'fault': 'null'}]
     WHEN 5 THEN [{'field': 'bankruptcies_found', 'fault': 'no boolean'}, {'field': 'number_of_mortgages', 'fault': 'no int'}] ELSE [] END) AS f FROM credit_profile)"""
+STEPS["notes"] = NOTES
 STEPS["sparse"] = SPARSE_WORDS
 # The heading in force on each printed line: the last one at or above it, in order of page and place.
 STEPS["sparse_lines"] = """
@@ -182,4 +183,8 @@ FROM text_pages WHERE application_id NOT IN (SELECT application_id FROM ledger W
 UNION ALL SELECT DISTINCT application_id, NULL, NULL, 'unreadable_label_response', '1 unreadable' FROM requested WHERE application_id % 4 = 0
 UNION ALL SELECT application_id, NULL, NULL, 'report_fault', concat_ws(': ', field, fault) FROM report_fault_rows
 UNION ALL SELECT application_id, second_file, NULL, 'overlap', CAST(overlap_to - overlap_from + 1 AS VARCHAR) || ' days shared with ' || first_file FROM overlapping""",
+    "file_scan": f"""
+SELECT application_id, file_name, {_long('upload_seq', 'upload_seq')}, sha256, CASE WHEN row_number() OVER w > 1 THEN first_value(file_name) OVER w END AS duplicate_of,
+  CAST(octet_length(encode(text)) + 1 AS BIGINT) AS bytes
+FROM (SELECT *, sha256(text || chr(10)) AS sha256 FROM notes) WINDOW w AS (PARTITION BY application_id, sha256 ORDER BY upload_seq, file_name)""",
 }

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-TABLES = ["customer", "orders", "lineitem", "documents", "conversations"]
+TABLES = ["customer", "supplier", "orders", "lineitem", "documents", "conversations"]
 
 #: Transaction lines on a printed page: statements have several pages, so that states are carried between them.
 LINES = 12

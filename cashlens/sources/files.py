@@ -19,6 +19,34 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_files(texts: DataFrame, path: str) -> None:
+    """Texts (application_id, file_name, upload_seq, text) as files <path>/application_id=<id>/file=<seq>_<name>/<part>.
+
+    Every text is a file of its own, ended by a line break; names may hold any character. Rows need an application, a name
+    and a number, and no two rows share all three.
+    """
+    named = F.concat_ws("_", F.col("upload_seq").cast("string"), "file_name")
+    rows = texts.select("application_id", named.alias("file"), F.coalesce("text", F.lit("")).alias("text"))
+    rows.write.partitionBy("application_id", "file").text(path)
+
+
+def scan_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files as `write_files` lays them out: application_id, file_name, upload_seq, bytes, modified, content.
+
+    Applications and names come from the folders, size and time from the file system's listing (the reader's hidden
+    metadata), so a query on them alone opens no file, and one on some applications lists their folders only.
+    """
+    found = spark.read.format("binaryFile").load(path)
+    return found.select(
+        F.col("application_id").cast("long").alias("application_id"),
+        F.regexp_replace("file", r"^\d+_", "").alias("file_name"),
+        F.regexp_extract("file", r"^(\d+)_", 1).try_cast("int").alias("upload_seq"),
+        F.col("_metadata.file_size").alias("bytes"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+        "content",
+    )
+
+
 def file_hashes(files: DataFrame) -> DataFrame:
     """One small row per file; the content goes no further than this."""
     return files.select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cashlens.functions import fixed
 from cashlens.operators import balances, classify, dictionary, funding, metrics, overlaps, payers, positions, review, skew
 from cashlens.plans import staging
-from cashlens.sources import credit, labels, sinks
+from cashlens.sources import credit, files, labels, sinks
 from test_operators import ROW, ledger_of, skewed_apps
 
 START = date(2023, 12, 20)
@@ -446,3 +446,19 @@ def test_wash_flags_from_elsewhere_reach_the_metrics(spark):
     flags = lambda found: {r.application_id: (r.wash_round_trips, r.wash_flag) for r in found.collect()}
     assert flags(metrics.metrics(entries, none)) == {1: (0, False), 2: (0, False)}
     assert flags(metrics.metrics(entries, none, washes)) == {1: (6, True), 2: (0, False)}
+
+
+def test_files_are_written_and_scanned(spark, tmp_path):
+    path = str(tmp_path / "files")
+    rows = [(1, "a.pdf", 1, "one"), (1, "a=b/c #%é.pdf", 2, "one"), (1, "7_a.pdf", 3, "two\nlines"), (2, "empty", 1, None), (2, "a.pdf", 2, "one")]
+    files.write_files(spark.createDataFrame(rows, "application_id bigint, file_name string, upload_seq int, text string"), path)
+    found = files.scan_files(spark, path)
+    got = sorted((r.application_id, r.file_name, r.upload_seq, bytes(r.content).decode(), r.bytes) for r in found.collect())
+    assert got == sorted((a, f, s, (t or "") + "\n", len((t or "").encode()) + 1) for a, f, s, t in rows)
+    unique = {(r.application_id, r.upload_seq): r.duplicate_of for r in files.file_dedup(files.file_hashes(found)).collect()}
+    assert unique == {(1, 1): None, (1, 2): "a.pdf", (1, 3): None, (2, 1): None, (2, 2): None}
+    # Sizes come from the listing: no content is read for them, and other applications' folders are left out.
+    listed = found.where("application_id = 2").select("file_name", "bytes")
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("Output")[0] and "PartitionFilters: [isnotnull(application_id" in plan
+    assert listed.count() == 2
