@@ -33,6 +33,7 @@ BUCKETS_IN_TASK = 2
 #: Ids of rows without one: after all others, and none is smaller than another.
 NO_ID = np.iinfo(np.int64).max
 
+_HALF = np.uint64(32)
 _KEYS = np.random.default_rng(13).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -79,7 +80,13 @@ class Block:
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    """A bucket follows from the upper half of a name's key, which a suffix's first bytes settle."""
+    return (((keys >> _HALF) * np.uint64(buckets)) >> _HALF).astype(np.int32)
+
+
+def _keys(prefix: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Keys whose upper half comes from one hash and whose lower half from another: in order of key is in order of bucket."""
+    return ((prefix >> _HALF) << _HALF) | (whole >> _HALF)
 
 
 def _groups(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,36 +175,33 @@ def _copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Names:
-    """Different names of a block's suffixes, in order of bucket and name, and which of them each suffix has.
+    """Different names of a block's suffixes, in order of key and so of bucket, and which of them each suffix has.
 
     Both the task that asks and the one that reads the answers make them, so an answer is a bit for each name.
     """
 
-    bucket: np.ndarray
     keys: np.ndarray
     more: np.ndarray
     least: np.ndarray
     most: np.ndarray
     name_of: np.ndarray
+    buckets: int
 
     @classmethod
-    def of(cls, bucket: np.ndarray, keys: np.ndarray, more: np.ndarray, ids: np.ndarray) -> Names:
+    def of(cls, keys: np.ndarray, more: np.ndarray, ids: np.ndarray, buckets: int) -> Names:
         order, starts = _groups(keys, more)
         least, most = _ends(ids[order], starts)
+        name_of = np.empty(len(keys), np.int32)
+        name_of[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(keys))))
         first = order[starts]
-        place = np.argsort(bucket[first], kind="stable")
-        first = first[place]
-        rank = np.empty(len(place), np.int64)
-        rank[place] = np.arange(len(place))
-        name_of = np.empty(len(keys), np.int64)
-        name_of[order] = np.repeat(rank, np.diff(np.append(starts, len(keys))))
-        return cls(bucket[first], keys[first], more[first] if len(more) else more, least[place], most[place], name_of)
+        return cls(keys[first], more[first] if len(more) else more, least, most, name_of, buckets)
 
     def ask(self, block: int) -> pa.RecordBatch:
         """A row for each bucket."""
-        starts = _runs(self.bucket)
+        bucket = _bucket(self.keys, self.buckets)
+        starts = _runs(bucket)
         arrays = [
-            pa.array(self.bucket[starts].astype(np.int32)),
+            pa.array(bucket[starts]),
             pa.array(np.full(len(starts), block)),
             _lists(self.keys, starts),
             _lists(self.more, starts if len(self.more) else starts * 0),
@@ -209,10 +213,13 @@ class Names:
     def told(self, answers: bytes) -> np.ndarray:
         """A truth value for each suffix, from (bucket, bytes, bits) one after another."""
         found = np.zeros(len(self.keys), bool)
+        bucket = _bucket(self.keys, self.buckets)
+        starts = _runs(bucket)
+        ranges = dict(zip(bucket[starts].tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)])))
         at = 0
         while at < len(answers):
-            bucket, size = np.frombuffer(answers, np.int32, 2, at).tolist()
-            low, high = np.searchsorted(self.bucket, [bucket, bucket + 1])
+            number, size = np.frombuffer(answers, np.int32, 2, at).tolist()
+            low, high = ranges[number]
             bits = np.unpackbits(np.frombuffer(answers, np.uint8, size, at + 8))
             found[low:high] = bits[: high - low]
             at += 8 + size
@@ -240,12 +247,13 @@ def _sample_names(block: Block, length: int, low: int, high: int, buckets: int)
     period, cover = cover_of(length)
     depth = length - period + 1
     at, text = block.suffixes(depth, period, cover)
-    bucket = _bucket(hashes(block.data, at, PREFIX, 1)[0], buckets)
+    prefix = hashes(block.data, at, PREFIX, 1)[0]
     if (low, high) != (0, buckets):
+        bucket = _bucket(prefix, buckets)
         here = np.flatnonzero((bucket >= low) & (bucket < high))
-        bucket, at, text = bucket[here], at[here], text[here]
-    keys = hashes(block.data, at, depth, 2)[0]
-    return at, Names.of(bucket, keys, keys[:0], block.ids[text])
+        prefix, at, text = prefix[here], at[here], text[here]
+    keys = _keys(prefix, hashes(block.data, at, depth, 2)[0])
+    return at, Names.of(keys, keys[:0], block.ids[text], buckets)
 
 
 def _ends(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -354,10 +362,10 @@ def _survivors(length: int, buckets: int) -> Callable:
             shared = at[names.told(told)]
             if not len(shared):
                 continue
-            ahead = np.zeros(len(block.data) + 1, np.int32)
-            np.add.at(ahead, np.maximum(shared - period + 1, 0), 1)
-            np.add.at(ahead, shared + 1, -1)
-            near = np.cumsum(ahead[:-1]) > 0
+            ahead = np.zeros(len(block.data) + period, np.int8)
+            ahead[shared] += 1  # the first place that the suffix is ahead of, moved on by period - 1
+            ahead[shared + period] -= 1
+            near = np.cumsum(ahead, dtype=np.int32)[period - 1 : -1] > 0
             left = np.repeat(block.ends, block.sizes) - np.arange(len(block.data))
             kept = near & (left >= length)
             texts = np.flatnonzero(np.logical_or.reduceat(kept, block.starts))
@@ -395,11 +403,13 @@ class Suffixes(Block):
     def named(self, length: int, low: int, high: int, buckets: int) -> tuple[np.ndarray, Names]:
         """(places, their names) in the buckets low to high: 128 bits of the first `length` bytes."""
         at, owner = self.places, self.owner
-        bucket = _bucket(hashes(self.data, at, PREFIX, 3)[0], buckets)
+        prefix = hashes(self.data, at, PREFIX, 3)[0]
         if (low, high) != (0, buckets):
+            bucket = _bucket(prefix, buckets)
             here = np.flatnonzero((bucket >= low) & (bucket < high))
-            bucket, at, owner = bucket[here], at[here], owner[here]
-        return at, Names.of(bucket, *hashes(self.data, at, length, 4, 5), owner)
+            prefix, at, owner = prefix[here], at[here], owner[here]
+        whole, more = hashes(self.data, at, length, 4, 5)
+        return at, Names.of(_keys(prefix, whole), more, owner, buckets)
 
 
 def _named(length: int, low: int, high: int, buckets: int) -> Callable:
@@ -433,10 +443,10 @@ def _removed(length: int, buckets: int) -> Callable:
             # In a smaller document of another block, or of this one.
             repeated = names.told(told) | (block.owner > names.least[names.name_of])
             at = at[repeated]
-            cover = np.zeros(len(block.data) + 1, np.int32)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + length, -1)
-            gone = np.cumsum(cover[:-1]) > 0
+            cover = np.zeros(len(block.data) + 1, np.int8)
+            cover[at] += 1
+            cover[at + length] -= 1
+            gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
             counts = np.add.reduceat(gone.astype(np.int64), block.starts)
             names, totals, spans, shas = [], [], [], []
             for t in np.flatnonzero(counts).tolist():
