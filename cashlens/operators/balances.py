@@ -23,7 +23,10 @@ def opening_balances(balances: DataFrame) -> DataFrame:
 
 
 def daily_net(ledger: DataFrame) -> DataFrame:
-    """application_id, day_no, net: credits less debits of each day with an entry. Undated rows are left out."""
+    """application_id, day_no, net: credits less debits of each day with an entry.
+
+    Rows without a calendar date have no day and are left out; `diagnostics.bad_dates` reports them.
+    """
     signed = F.when(F.col("tx_type") == "credit", F.col("amount")).when(F.col("tx_type") == "debit", -F.col("amount"))
     return (
         ledger.where(F.col("tx_date").isNotNull())
