@@ -42,10 +42,11 @@ OWN_ARTICLES = frozenset(
 )
 EMPTY = frozenset(VOID + RAW)  # elements without content, which hide nothing; raw ones are left in the tokens only if self-closed
 MAIN = ("article", "main")
+UNMARKED, IN_MAIN, IN_ARTICLE = 0, 1, 2  # what marks a block as text of the article, by strength
 NAMING = ("class", "id", "role")
 
 WINDOW = 3  # lines in a block of the distribution
-SURGE = 80  # characters in a block at which text begins, where no element marks the article
+SURGE = 80  # characters in a block at which text begins, where no element marks the article; where one does, any text is
 LINK_SHARE = 0.7  # of a line's characters in links, from which on it is a menu line
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
@@ -175,20 +176,20 @@ class _Blocks:
         return own, around
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, bool, int, bool]]:
+def page_lines(page: str) -> list[tuple[str, int, bool, int, int, bool]]:
     """Each block of text, in page order.
 
-    (text, characters in links, beside the article, inside article or main, the element that holds the block, whether the
-    block is a paragraph of its own)
+    (text, characters in links, beside the article, what marks it, the element that holds the block, whether the block is a
+    paragraph of its own)
     """
     tokens = _tokens(page)
     ends = _ends(tokens)
     contents = _Contents(tokens, ends)
     blocks = _Blocks(tokens, ends)
-    lines: list[tuple[str, int, bool, bool, tuple[int, int]]] = []
+    lines: list[tuple[str, int, bool, int, tuple[int, int]]] = []
     held: list[str] = []
-    linked = beside_until = main_until = link_until = 0
-    state = (False, False)
+    linked = beside_until = article_until = main_until = link_until = 0
+    state = (False, UNMARKED)
     place = (-1, -1)
 
     def flush() -> None:
@@ -213,13 +214,15 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool, int, bool]]:
             continue
         if kind == "open":
             if name in MAIN:
-                main_until = max(main_until, ends.get(i, len(tokens)))
+                until = ends.get(i, len(tokens))
+                main_until = max(main_until, until)
+                article_until = max(article_until, until if name == "article" else 0)
             elif name == "a":
                 link_until = max(link_until, ends.get(i, i))
             if name not in EMPTY and i >= beside_until and (word := _beside(name, attributes, i < main_until)):
                 end = min(ends.get(i, i + 2), len(tokens))
                 beside_until = i if contents.wraps(i, end, word, i < main_until) else end
-        new = (i < beside_until, i < main_until)
+        new = (i < beside_until, IN_ARTICLE if i < article_until else IN_MAIN if i < main_until else UNMARKED)
         if name in BLOCK or new != state:
             flush()
             state = new
@@ -232,30 +235,61 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool, int, bool]]:
     return out
 
 
+def line_lengths(lines: list[tuple[str, int, bool, int, int, bool]]) -> list[int]:
+    """What each line adds to the windows that cover it: its characters, or 0 for a line of a menu.
+
+    A line of links is one of a menu, except in article, whose lists of links are its own, and in main, unless a whole
+    window is of such lines.
+    """
+    length = [len(line[0]) for line in lines]
+    run = 0
+    for i, (text, linked, _, mark, *_) in enumerate(lines):
+        link = linked >= LINK_SHARE * len(text)
+        run = run + 1 if link and mark == IN_MAIN else 0
+        if link and mark == UNMARKED:
+            length[i] = 0
+        elif run >= WINDOW:
+            first = i - WINDOW + 1 if run == WINDOW else i
+            length[first : i + 1] = [0] * (i + 1 - first)
+    return length
+
+
+def text_regions(length: list[int], surge: int) -> list[range]:
+    """Runs of lines from a surge, a line with text whose window reaches `surge`, to the dive, where windows hold nothing."""
+    window = [0] * (len(length) + 1)
+    for i in range(len(length) - 1, -1, -1):
+        window[i] = window[i + 1] + length[i] - (length[i + WINDOW] if i + WINDOW < len(length) else 0)
+    regions, start = [], None
+    for i in range(len(length) + 1):
+        if start is None and i < len(length) and length[i] and window[i] >= surge:
+            start = i
+        elif start is not None and not window[i]:
+            regions.append(range(start, i))
+            start = None
+    return regions
+
+
 def main_blocks(page: str | None) -> list[str]:
-    """Blocks of the article. Blocks beside it are no lines of the distribution; lines of links have length 0.
+    """Blocks of the article: those between a surge and a dive of the distribution, on every page.
 
-    Where no element marks the article, text that begins later or ends earlier than the distribution says joins it as
-    a sibling: regions that the same element holds as blocks of the article, and paragraphs among its paragraphs.
+    Blocks beside the article are no lines of the distribution. Article and main elements are evidence: blocks outside
+    them are no lines either, any text is a surge in them, and a region in them counts whatever its size.
+
+    Where no element marks the article, a region of less than a fifth of the largest is dropped. Text that begins later or
+    ends earlier than the distribution says then joins as a sibling: regions that the same element holds as blocks of the
+    article, and paragraphs among its paragraphs.
     """
-    lines = page_lines(page or "")
-    marked = any(inside and not beside for _, _, beside, inside, *_ in lines)
-    lines = [line for line in lines if not line[2] and (line[3] or not marked)]
+    lines = [line for line in page_lines(page or "") if not line[2]]
+    marked = any(line[3] for line in lines)
     if marked:
+        lines = [line for line in lines if line[3]]
+    length = line_lengths(lines)
+    longest = max(length, default=1)
+    if not longest and marked:  # nothing but a menu is marked, so it's what the page is about
         return [line[0] for line in lines]
-    length = [0 if line[1] >= LINK_SHARE * len(line[0]) else len(line[0]) for line in lines]
-    surge = min(SURGE, max(1, max(length, default=1) // 2))
-    regions: list[list[int]] = []
-    i = 0
-    while i < len(lines):
-        if length[i] and sum(length[i : i + WINDOW]) >= surge:
-            region = []
-            while i < len(lines) and sum(length[i : i + WINDOW]):
-                region.append(i)
-                i += 1
-            regions.append(region)
-        else:
-            i += 1
+    regions = text_regions(length, 1 if marked else min(SURGE, max(1, longest // 2)))
+    if marked:
+        return [lines[i][0] for region in regions for i in region]
     size = [sum(length[i] for i in region) for region in regions]
     kept = {i for region, s in zip(regions, size) if 5 * s >= max(size) for i in region}
     within = {lines[i][4] for i in kept if length[i]}

@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from cashlens.llm import htmltext
@@ -108,3 +109,50 @@ def test_unmarked_pages_with_parts_inside_the_article():
         assert text(page) == "\n\n".join([late, *long, late]), tag
     page = f"<body><div><p>A lead.</p>{links}{''.join(f'<p>{t}</p>' for t in long)}{links}<p>An end.</p></div>{links}<p>Imprint</p></body>"
     assert text(page) == "\n\n".join(["A lead.", *long, "An end."])
+
+
+def regions_by_hand(length, surge):
+    """Surge and dive by their definition, a window at a time."""
+    found, inside = [], False
+    for i in range(len(length)):
+        window = sum(length[i : i + htmltext.WINDOW])
+        if not inside and length[i] > 0 and window >= surge:
+            inside = True
+            found.append([])
+        inside = inside and window > 0
+        if inside:
+            found[-1].append(i)
+    return found
+
+
+def test_surges_and_dives_against_each_window():
+    draw = random.Random(3)
+    for _ in range(3_000):
+        length = [draw.choice([0, 0, 0, 1, 5, 40, 90]) for _ in range(draw.randrange(14))]
+        surge = draw.choice([1, 20, 80])
+        assert [list(r) for r in htmltext.text_regions(length, surge)] == regions_by_hand(length, surge), (length, surge)
+
+
+def test_every_page_goes_through_the_windows(spark, monkeypatch):
+    calls = []
+    regions = htmltext.text_regions
+    monkeypatch.setattr(htmltext, "text_regions", lambda length, surge: calls.append((length, surge)) or regions(length, surge))
+    pages = [r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").select("html").collect()]
+    texts = [htmltext.main_blocks(page) for page in pages]
+    assert len(calls) == len(pages) and all(surge == 1 for _, surge in calls)
+    assert [len(t) for t in texts] == [len(length) for length, _ in calls]
+
+
+def test_menus_in_main_have_no_length():
+    entries = lambda n: "".join(f"<div><a href=/{k}>Entry {k}</a></div>" for k in range(n))
+    prose = "<h1>Title</h1><p>A text.</p><p>More of it.</p>"
+    wanted = "Title\n\nA text.\n\nMore of it."
+    for menu in (entries(3), entries(9)):
+        assert text(f"<main>{menu}{prose}{menu}</main>{menu}") == wanted
+        assert text(f"<main>{prose}{menu}<p>An end.</p></main>") == wanted + "\n\nAn end."
+        # Lists of links are the article's own, and a main of nothing else is what the page is about.
+        assert text(f"<main>{menu}<article>{prose}{menu}</article></main>").count("Entry") == menu.count("Entry")
+        assert text(f"<main>{menu}</main>").count("Entry") == menu.count("Entry")
+    # Fewer lines than a window are text that links.
+    assert text(f"<main>{prose}{entries(2)}</main>") == wanted + "\n\nEntry 0\n\nEntry 1"
+    assert text(f"<main>{entries(1)}{prose}</main>") == "Entry 0\n\n" + wanted
