@@ -66,16 +66,25 @@ def has_kind(kinds: Column, bits: int) -> Column:
 def line_grouping(words: DataFrame) -> DataFrame:
     """One row per text line: its words from left to right, what kinds are among them, its text and the next line's.
 
-    Takes words as `word_dedup` leaves them, partitioned by page: lines, line numbers and the
-    look-ahead all use that partitioning. A page is bounded by its paper: 4,115 line positions at most.
+    Takes words as `word_dedup` leaves them, partitioned by page. One sort by page, line and place serves the words of a
+    line, line numbers and the look-ahead: all are windows over prefixes of that order. (A grouped list would fall back to
+    sorting as well, and then sort each list.) A page is bounded by its paper: 4,115 line positions at most.
     """
     y_key = F.rint(F.col("top") / fixed.LINE_PITCH) * fixed.LINE_PITCH
+    in_line = Window.partitionBy(*PAGE, "y_key").orderBy("x0", "word_seq", "text")
+    whole = in_line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     order = Window.partitionBy(*PAGE).orderBy("y_key")
-    word = F.struct("x0", "word_seq", "text", "kind")
     return (
         words.withColumn("kind", word_kind(F.col("text")))
-        .groupBy(*PAGE, y_key.alias("y_key"))
-        .agg(F.sort_array(F.collect_list(word)).alias("words"), F.bit_or("kind").alias("kinds"))
+        .withColumn("y_key", y_key)
+        .select(
+            *PAGE,
+            "y_key",
+            F.collect_list(F.struct("x0", "word_seq", "text", "kind")).over(whole).alias("words"),
+            F.bit_or("kind").over(whole).alias("kinds"),
+            F.row_number().over(in_line).alias("_place"),
+        )
+        .where("_place = 1")
         .withColumn("line", F.array_join("words.text", " "))
         .select(
             *PAGE,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -31,13 +33,15 @@ def carry_forward(
 ) -> DataFrame:
     """Last non-null value before each row, in `position` order within `keys`.
 
-    Positions are cut into blocks. Values are carried inside a block, then the last values of
+    Rows without a key or position are left out. Positions are cut into blocks. Values are carried inside a block, then the last values of
     the earlier blocks (one row per block) fill the gap, so a key is never sorted as a whole.
     Each value comes back as `<name>_before`.
     """
-    block = F.floor(F.col(position) / block_size)
-    # Both branches below start from this one exchange, so `df` is computed once.
-    df = df.withColumn("_block", block).repartition(*keys, "_block")
+    # Both branches below start from this one exchange, so `df` is computed once. The joins here and later ones infer that
+    # keys are not null; said here first, and with a block that can't be null, no branch gets filters that the other lacks.
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, position]])
+    block = F.coalesce(F.floor(F.col(position) / block_size), F.lit(0))
+    df = df.where(known).withColumn("_block", block).repartition(*keys, "_block")
     inside = (
         Window.partitionBy(*keys, "_block")
         .orderBy(position)

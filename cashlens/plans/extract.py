@@ -35,7 +35,13 @@ def processed_files(pages: DataFrame, registry: DataFrame | None = None) -> Data
 
 
 def text_lines(words: DataFrame) -> DataFrame:
-    return layout.line_states(lines.line_grouping(lines.word_dedup(numbered(words))))
+    """Lines of the words that belong to a page.
+
+    Joins by page would leave out the others later, and push a filter for that below the shuffle of the words, each its
+    own: then no two of them share the shuffle.
+    """
+    on_page = numbered(words).dropna(subset=PAGE)
+    return layout.line_states(lines.line_grouping(lines.word_dedup(on_page)))
 
 
 def extract(

@@ -59,7 +59,7 @@ WORDS = f"""
 WITH ln AS (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY tx_date, source_file, line_no, amount, description) AS n FROM ledger),
 lk AS (SELECT *, n - min(n) OVER (PARTITION BY application_id, tx_date) + 1 AS k FROM ln),
 pg AS (SELECT application_id AS file_id, CAST(floor((n - 1) / {LINES}) AS INT) + 1 AS page_no, CAST(100 + ((n - 1) % {LINES}) * 14 AS DOUBLE) AS top, k, tx_date, tx_type, amount, description FROM lk)
-SELECT file_id, page_no, top, x0 + {SHIFT.format('file_id')} AS x0, text FROM (
+SELECT file_id, 'stmt' AS file_name, 1 AS upload_seq, page_no, top, x0 + {SHIFT.format('file_id')} AS x0, text FROM (
 SELECT file_id, page_no, top, CAST(40 AS DOUBLE) AS x0, CASE substr(CAST(tx_date AS STRING), 6, 2) WHEN '01' THEN 'Jan' WHEN '02' THEN 'Feb' WHEN '03' THEN 'Mar' WHEN '04' THEN 'Apr' WHEN '05' THEN 'May' ELSE 'Jun' END AS text FROM pg WHERE k = 1
 UNION ALL SELECT file_id, page_no, top, CAST(60 AS DOUBLE), substr(CAST(tx_date AS STRING), 9, 2) FROM pg WHERE k = 1
 UNION ALL SELECT file_id, page_no, top, CAST(90 AS DOUBLE), split_part(description, ' ', 1) FROM pg
@@ -73,7 +73,7 @@ UNION ALL SELECT DISTINCT file_id, page_no, CAST(60 AS DOUBLE), h.x0, h.text FRO
 
 # A word's place on the page numbers it: positions are unique in `words`.
 STATEMENT_WORDS = """
-SELECT file_id AS application_id, 'stmt' AS file_name, 1 AS upload_seq, page_no, CAST(top * 1000 + x0 AS INT) AS word_seq, x0, top, text FROM words
+SELECT file_id AS application_id, file_name, upload_seq, page_no, CAST(top * 1000 + x0 AS INT) AS word_seq, x0, top, text FROM words
 """
 
 # Some words printed twice, a hair to the right, with padding; some blank ones.
@@ -185,7 +185,11 @@ VIEWS = {
 
 
 def words_in_one_pass(ledger: DataFrame) -> DataFrame:
-    """The `words` view as Spark should build it: the ledger is numbered once, not per column."""
+    """The `words` view as Spark should build it: the ledger is numbered once, not per column.
+
+    A file's name and number are columns, as tables have them, by passing through the arrays: Catalyst folds constants out
+    of keys, and then finds neither the partitioning by page nor a shuffle to use again.
+    """
     order = ["tx_date", "source_file", "line_no", "amount", "description"]
     per_app = Window.partitionBy("application_id")
     numbered = ledger.withColumn("n", F.row_number().over(per_app.orderBy(*order)))
@@ -216,17 +220,18 @@ def words_in_one_pass(ledger: DataFrame) -> DataFrame:
         (100 + (F.col("n") - 1) % LINES * 14).cast("double").alias("top"),
         F.array_compact(F.array(*printed)).alias("printed"),
     )
+    file = [F.lit("stmt").alias("file_name"), F.lit(1).alias("upload_seq")]
     places = F.array(
-        F.struct("top", F.col("printed").alias("w")),
-        F.struct(F.lit(60.0).alias("top"), heading.alias("w")),
+        F.struct(*file, "top", F.col("printed").alias("w")),
+        F.struct(*file, F.lit(60.0).alias("top"), heading.alias("w")),
     )
     # The first line of a page also prints the page's headings.
     shown = F.when(F.col("top") == 100, places).otherwise(F.slice(places, 1, 1))
     return (
         lines.select("file_id", "page_no", F.inline(shown))
-        .select("file_id", "page_no", "top", F.inline("w"))
+        .select("file_id", "file_name", "upload_seq", "page_no", "top", F.inline("w"))
         .select(
-            "file_id", "page_no", "top", (F.col("x0") + F.expr(SHIFT.format("file_id"))).alias("x0"), "text"
+            "file_id", "file_name", "upload_seq", "page_no", "top", (F.col("x0") + F.expr(SHIFT.format("file_id"))).alias("x0"), "text"
         )
     )
 

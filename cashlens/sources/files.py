@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cashlens.functions.text import strip
+from cashlens.operators.settle import settle
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -83,10 +84,10 @@ UNNUMBERED = 2147483647
 
 def numbered(df: DataFrame) -> DataFrame:
     """`df` with an upload number in every row, so that files can be joined by it."""
-    seq = F.lit(1)
-    if "upload_seq" in df.columns:
-        seq = F.coalesce(F.col("upload_seq").cast("int"), F.lit(UNNUMBERED))
-    return df.withColumn("upload_seq", seq)
+    if "upload_seq" not in df.columns:
+        # A column, not a constant: constants are folded out of keys, and partitionings by them aren't found again.
+        return settle(df, {"upload_seq": F.lit(1)})
+    return df.withColumn("upload_seq", F.coalesce(F.col("upload_seq").cast("int"), F.lit(UNNUMBERED)))
 
 
 def file_text(pages: DataFrame) -> DataFrame:
