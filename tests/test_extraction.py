@@ -229,3 +229,24 @@ def test_lines_take_one_shuffle_of_the_words(spark):
     plan = text_lines(words)._jdf.queryExecution().executedPlan().toString()
     # The one that brings pages together.
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_branches_share_the_shuffles_of_words_and_page_states(spark):
+    i = Inputs(spark, SF)
+    found = extract(i.statement_words, i.statement_text, staged=False).rows
+    assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [text for text in plan.split("\n") if "REPARTITION_BY_COL" in text]
+    reused = [text for text in dealt if "ReusedExchange" in text]
+    assert len(dealt) == 4 and len(reused) == 2
+    for key in ("page_no", "_block"):
+        assert sum(f"{key}#" in text.split("hashpartitioning(")[1].split(")")[0] for text in reused) == 1
+
+
+def test_words_without_a_page_belong_to_none(spark):
+    words, pages = tables(spark, {("a", 1): [line((40, "05"), (60, "Jan"), (100, "RENT"), (300, "10.00"))]}, {"a": "x"})
+    astray = words.withColumn("page_no", F.lit(None).cast("int")).unionByName(words.withColumn("file_name", F.lit(None).cast("string")))
+    want = extract(words, pages, staged=False)
+    found = extract(words.unionByName(astray), pages, staged=False)
+    assert found.lines.count() == want.lines.count() == 1
+    assert found.rows.collect() == want.rows.collect()
