@@ -37,7 +37,7 @@ def similar_keys(keys: DataFrame) -> DataFrame:
     listed = keys.select(APP, "key", F.explode(key_grams(F.col("key"))).alias("gram"))
     counts = listed.groupBy(APP, "gram").agg(F.count("*").alias("keys"))
     ordered = F.sort_array(F.collect_list(F.struct("keys", "gram")))
-    grams = listed.join(counts, [APP, "gram"]).groupBy(APP, "key").agg(ordered.alias("found"))
+    grams = listed.join(counts.hint("merge"), [APP, "gram"]).groupBy(APP, "key").agg(ordered.alias("found"))
     n = F.size("found")
     first = F.slice("found", F.lit(1), n - F.ceil(n / 2).cast("int") + 1)
     sets = grams.select(APP, "key", F.transform("found", lambda g: g["gram"]).alias("grams"), F.transform(first, lambda g: g["gram"]).alias("prefix"))
@@ -50,7 +50,7 @@ def similar_keys(keys: DataFrame) -> DataFrame:
     enough = 3 * F.size(F.array_intersect("a.grams", "b.grams")) >= size_a + size_b
     edits = F.levenshtein(F.col("a.key"), F.col("b.key"), MAX_EDITS)
     return (
-        a.join(b, meet & close)
+        a.join(b.hint("merge"), meet & close)
         .where(first_shared & enough & (edits >= 0))
         .select(F.col(f"a.{APP}").alias(APP), F.col("a.key").alias("a"), F.col("b.key").alias("b"))
     )
@@ -61,13 +61,15 @@ def smallest_linked(links: DataFrame, stage: Stage) -> DataFrame:
 
     Alternates between two steps, each a grouping by node: every node gives its larger neighbours, then its smaller
     ones, the least of them all. Stars remain, whose centres are the roots; the rounds grow with the logarithm of the
-    size. Each round is written by `stage`, so that no plan grows.
+    size. Each round is written by `stage`, so that no plan grows. Written tables are far smaller than their rows in
+    memory, so their joins are sort-merge joins: by its files' size a table of millions of rows would go to the driver to
+    be broadcast.
     """
 
     def least_of(edges: DataFrame) -> DataFrame:
         """edges with each node's least neighbour, itself included."""
         least = edges.groupBy(APP, "u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
-        return edges.join(least, [APP, "u"])
+        return edges.join(least.hint("merge"), [APP, "u"])
 
     def both_ways(edges: DataFrame) -> DataFrame:
         return edges.unionByName(edges.select(APP, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -99,18 +101,18 @@ def payer_variants(ledger: DataFrame, stage: Stage) -> DataFrame:
     keys = stage(named.where("payer_key <> ''").select(APP, F.col("payer_key").alias("key")).distinct(), "payer_keys")
     roots = smallest_linked(similar_keys(keys), stage)
     group = F.coalesce("root", "payer_key")
-    of_payer = named.join(roots.withColumnRenamed("key", "payer_key"), [APP, "payer_key"], "left").withColumn(
+    of_payer = named.join(roots.withColumnRenamed("key", "payer_key").hint("merge"), [APP, "payer_key"], "left").withColumn(
         "group", F.when(F.col("payer_key") == "", F.concat(F.lit("="), "payer_or_source")).otherwise(group)
     )
     of_payer = stage(of_payer.select(APP, "payer_or_source", "payer_key", "n", "group"), "payers")
     name = F.min_by("payer_or_source", F.struct(-F.col("n"), "payer_or_source"))
     names = of_payer.groupBy(APP, "group").agg(name.alias("payer"))
-    return of_payer.join(names, [APP, "group"]).select(APP, "payer_or_source", "payer_key", "payer")
+    return of_payer.join(names.hint("merge"), [APP, "group"]).select(APP, "payer_or_source", "payer_key", "payer")
 
 
 def with_one_name(ledger: DataFrame, variants: DataFrame) -> DataFrame:
     """The ledger with each payer under the name it goes by, for summaries and concentration by payer."""
     names = variants.select(F.col(APP).alias("_app"), F.col("payer_or_source").alias("_payer"), F.col("payer").alias("_name"))
     same = (F.col(APP) == F.col("_app")) & (F.col("payer_or_source") == F.col("_payer"))
-    joined = ledger.join(names, same, "left")
+    joined = ledger.join(names.hint("merge"), same, "left")
     return joined.select(*[F.coalesce("_name", "payer_or_source").alias(c) if c == "payer_or_source" else ledger[c] for c in ledger.columns])
