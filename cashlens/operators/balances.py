@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cashlens.operators.skew import latest_per_key
+from cashlens.operators.skew import latest_per_key, spread_partitions
 
 APP = "application_id"
 #: Days that are added up in one window.
@@ -41,8 +41,9 @@ def daily_balances(ledger: DataFrame, openings: DataFrame) -> DataFrame:
     `openings` holds at most one opening balance per application; without one the balance starts at 0.
 
     Entries are first added up per day. Days are cut into blocks: blocks are summed and accumulated on a table of one
-    row per block, then days are accumulated inside their block. So no window holds an application's days, however long
-    its statements run; days without an entry are made block by block, after the blocks' sums are known.
+    row per block, then days with an entry are accumulated inside their block. So no window holds an application's days,
+    however long its statements run. The days between two entries are made last, from the earlier of the two: they are
+    never shuffled, grouped or sorted.
     """
     block = F.floor(F.col("day_no") / DAYS_IN_BLOCK).cast("int")
     net = daily_net(ledger).withColumn("block", block)
@@ -58,29 +59,39 @@ def daily_balances(ledger: DataFrame, openings: DataFrame) -> DataFrame:
         .withColumn("before", F.coalesce(F.sum("in_block").over(earlier), F.lit(0)))
         .join(openings, APP, "left")
     )
-    from_day = F.greatest("first", F.col("block") * DAYS_IN_BLOCK)
-    to_day = F.least("last", (F.col("block") + 1) * DAYS_IN_BLOCK - 1)
-    empty_days = starts.select(
+    no_total = F.lit(None).cast(TOTAL_TYPE)
+    first_days = starts.select(
         APP,
         "block",
-        F.explode(F.sequence(from_day, to_day)).alias("day_no"),
+        F.greatest("first", F.col("block") * DAYS_IN_BLOCK).alias("day_no"),
         F.lit(0).cast(TOTAL_TYPE).alias("net"),
         (F.coalesce("opening", F.lit(0)) + F.col("before")).cast(TOTAL_TYPE).alias("start"),
+        F.least("last", (F.col("block") + 1) * DAYS_IN_BLOCK - 1).alias("to_day"),
     )
-    entries = net.select(APP, "block", "day_no", "net", F.lit(None).cast(TOTAL_TYPE).alias("start"))
-    # One exchange by block serves both the grouping by day and the window.
+    entries = net.select(APP, "block", "day_no", "net", no_total.alias("start"), F.lit(None).cast("int").alias("to_day"))
+    # One exchange by block serves both the grouping by day and the window. Its partitions shrink too much in a shuffle to
+    # be merged by their size there.
     days = (
-        empty_days.unionByName(entries)
-        .repartition(APP, "block")
+        first_days.unionByName(entries)
+        .repartition(spread_partitions(ledger), APP, "block")
         .groupBy(APP, "block", "day_no")
-        .agg(F.sum("net").cast(TOTAL_TYPE).alias("net"), F.max("start").alias("start"))
+        .agg(F.sum("net").cast(TOTAL_TYPE).alias("net"), F.max("start").alias("start"), F.max("to_day").alias("to_day"))
     )
-    so_far = Window.partitionBy(APP, "block").orderBy("day_no").rowsBetween(Window.unboundedPreceding, 0)
-    return days.select(
+    in_order = Window.partitionBy(APP, "block").orderBy("day_no")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    # A block's first day holds its start and its end.
+    held = days.select(
         APP,
-        F.date_from_unix_date("day_no").alias("day"),
+        "day_no",
         "net",
-        (F.col("start") + F.sum("net").over(so_far)).cast(TOTAL_TYPE).alias("balance"),
+        (F.max("start").over(so_far) + F.sum("net").over(so_far)).cast(TOTAL_TYPE).alias("balance"),
+        F.coalesce(F.lead("day_no").over(in_order) - 1, F.max("to_day").over(so_far)).alias("until"),
+    )
+    return held.select(APP, "day_no", "net", "balance", F.explode(F.sequence("day_no", "until")).alias("on")).select(
+        APP,
+        F.date_from_unix_date("on").alias("day"),
+        F.when(F.col("on") == F.col("day_no"), F.col("net")).otherwise(0).cast(TOTAL_TYPE).alias("net"),
+        "balance",
     )
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +42,33 @@ def test_payers_go_to_no_driver(spark):
     plans = [*staged, plan_of(found), plan_of(named)]
     assert any("SortMergeJoin" in p for p in plans)
     assert not any("Broadcast" in p for p in plans)
+
+
+def test_days_between_entries_are_not_shuffled(spark):
+    """Days are made after the last exchange: entries are grouped and sorted, days are not."""
+    day = datetime.date(2024, 1, 1)
+    rows = [(1, day, 10.0, "credit"), (1, day + datetime.timedelta(200), 4.0, "debit"), (None, day, 1.0, "credit")]
+    ledger = spark.createDataFrame(rows, "application_id long, tx_date date, amount double, tx_type string")
+    openings = spark.createDataFrame([(1, 5.0)], "application_id long, opening double")
+    found = balances.daily_balances(ledger.withColumn("amount", F.col("amount").cast("decimal(18,2)")), openings.withColumn("opening", F.col("opening").cast("decimal(28,2)")))
+    plan = plan_of(found)
+    # From the top down: the days come before any exchange, grouping or window.
+    assert plan.index("Generate explode(sequence(day_no") < min(plan.index(step) for step in ("Exchange", "HashAggregate", "Window"))
+    back = {(r.application_id, r.day): (float(r.net), float(r.balance)) for r in found.collect()}
+    assert len(back) == 202
+    assert back[1, day] == (10, 15) and back[1, day + datetime.timedelta(100)] == (0, 15)
+    assert back[1, day + datetime.timedelta(200)] == (-4, 11) and back[None, day] == (1, 1)
+
+
+def test_words_keep_their_file_when_they_are_changed(spark, inputs):
+    """A file's name is a column, so that the words of a page are shuffled once, however many branches follow."""
+    for changed in (derived.sparse_words(inputs), derived.placed_words(inputs, derived.SPARSE_WORDS)):
+        plan = plan_of(lines.line_grouping(lines.word_dedup(changed)))
+        assert sum("page_no#" in text for text in plan.split("\n") if "Exchange hashpartitioning" in text) == 1
+        assert "stmt AS file_name" not in plan
+
+
+def test_words_are_sorted_not_hashed(spark, inputs):
+    """No hash table holds the words of a partition, and partitions are not merged by their size in the shuffle."""
+    plan = plan_of(lines.word_dedup(inputs.statement_words))
+    assert plan.split("REPARTITION_BY_NUM")[0].count("Aggregate") == 0
