@@ -8,9 +8,10 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from cashlens.operators import balances, lines, payers
+from cashlens.operators import balances, lines, overlaps, payers
 from cashlens.plans import derived, staging
 from cashlens.plans.inputs import Inputs
+from cashlens.sources import files
 
 
 
@@ -72,3 +73,21 @@ def test_words_are_sorted_not_hashed(spark, inputs):
     """No hash table holds the words of a partition, and partitions are not merged by their size in the shuffle."""
     plan = plan_of(lines.word_dedup(inputs.statement_words))
     assert plan.split("REPARTITION_BY_NUM")[0].count("Aggregate") == 0
+
+
+def test_files_are_made_by_several_tasks(spark, tmp_path):
+    texts = spark.createDataFrame([(1, f"f{k}", k, "x") for k in range(40)], "application_id long, file_name string, upload_seq int, text string")
+    files.write_files(texts.coalesce(1), f"{tmp_path}/out")
+    made = [p.name for p in (tmp_path / "out").rglob("part-*")]
+    assert len(made) == 40 and len({name.split("-")[1] for name in made}) > 4
+
+
+def test_pairs_of_files_meet_their_entries_in_one_join(spark):
+    day = datetime.date(2024, 1, 1)
+    rows = [(1, "a", 1, day, 5.0, "X", "credit"), (1, "b", 2, day, 5.0, "X", "credit"), (1, "b", 2, day, 6.0, "Y", "credit")]
+    ledger = spark.createDataFrame(rows, "application_id long, source_file string, upload_seq int, tx_date date, amount double, description string, tx_type string")
+    pairs = spark.createDataFrame([(1, "a", 1, "b", 2, day, day)], "application_id long, first_file string, first_seq int, second_file string, second_seq int, overlap_from date, overlap_to date")
+    found = overlaps.repeated_entries(ledger, pairs)
+    assert plan_of(found).count("Join") == 1
+    (row,) = found.collect()
+    assert (row.first_entries, row.second_entries, row.repeated) == (1, 2, 1)
