@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 FILE = ["application_id", "source_file", "upload_seq"]
 
@@ -48,24 +48,19 @@ def repeated_entries(ledger: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Of each pair of overlapping files: entries of either in the days shared, and how many of the second repeat one of
     the first (same day, amount, description and type). Such a pair is the same account printed twice.
 
-    Entries are counted per file and day first, and joined by application, file and day.
+    Entries are counted per file and day first, and joined once by application and file: a pair lists both of its files.
     """
     key = ["tx_date", "amount", "description", "tx_type"]
     lines = ledger.where(F.col("tx_date").isNotNull()).groupBy(*FILE, *key).agg(F.count("*").alias("n"))
-    pairs = overlaps.select("application_id", "first_file", "first_seq", "second_file", "second_seq", "overlap_from", "overlap_to")
+    names = ["application_id", "first_file", "first_seq", "second_file", "second_seq"]
 
-    def of(side: str) -> DataFrame:
-        there = lines.select(
-            "application_id", F.col("source_file").alias(f"{side}_file"), F.col("upload_seq").alias(f"{side}_seq"), *key, "n"
-        )
-        inside = F.col("tx_date").between(F.col("overlap_from"), F.col("overlap_to"))
-        return pairs.join(there, ["application_id", f"{side}_file", f"{side}_seq"]).where(inside)
+    def file(side: str) -> Column:
+        return F.struct(F.col(f"{side}_file").alias("source_file"), F.col(f"{side}_seq").alias("upload_seq"), F.lit(side == "first").alias("is_first"))
 
-    names = ["application_id", "first_file", "first_seq", "second_file", "second_seq"]
-    both = of("first").select(*names, *key, "n", F.lit(0).cast("long").alias("m")).unionByName(
-        of("second").select(*names, *key, F.lit(0).cast("long").alias("n"), F.col("n").alias("m"))
-    )
-    entries = both.groupBy(*names, *key).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    sides = overlaps.select(*names, "overlap_from", "overlap_to", F.inline(F.array(file("first"), file("second"))))
+    both = sides.join(lines.hint("merge"), FILE).where(F.col("tx_date").between(F.col("overlap_from"), F.col("overlap_to")))
+    of_first, of_second = F.when(F.col("is_first"), F.col("n")).otherwise(0), F.when(F.col("is_first"), 0).otherwise(F.col("n"))
+    entries = both.groupBy(*names, *key).agg(F.sum(of_first).alias("n"), F.sum(of_second).alias("m"))
     return entries.groupBy(*names).agg(
         F.sum("n").alias("first_entries"), F.sum("m").alias("second_entries"), F.sum(F.least("n", "m")).alias("repeated")
     )
