@@ -4,12 +4,15 @@ from __future__ import annotations
 
 
 import datetime
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
-from cashlens.operators import balances, lines, overlaps, payers
+from cashlens.operators import balances, lines, overlaps, payers, skew
 from cashlens.plans import derived, staging
+from cashlens.plans.extract import text_lines
 from cashlens.plans.inputs import Inputs
 from cashlens.sources import files
 
@@ -91,3 +94,54 @@ def test_pairs_of_files_meet_their_entries_in_one_join(spark):
     assert plan_of(found).count("Join") == 1
     (row,) = found.collect()
     assert (row.first_entries, row.second_entries, row.repeated) == (1, 2, 1)
+
+
+def test_partitions_grow_with_the_files_read(spark, inputs, monkeypatch):
+    """Tasks hold no more words, and no more entries, of a larger input."""
+    session = skew.spread_partitions(spark.range(3))
+    assert skew.read_bytes(spark.range(3)) == 0
+    assert session == skew.PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = skew.read_bytes(inputs.words)
+    files = {file for table in (inputs.orders, inputs.lineitem) for file in table.inputFiles()}
+    assert read == sum(Path(unquote(urlparse(file).path)).stat().st_size for file in files)
+    monkeypatch.setattr(skew, "PART_BYTES", read // (5 * session))
+    wanted = skew.spread_partitions(inputs.words)
+    assert wanted >= 5 * session
+    words = Inputs(spark, inputs._sf_dir).statement_words
+    plan = plan_of(lines.word_dedup(words))
+    assert f"page_no#{plan.split('page_no#')[1].split(',')[0]}" in plan
+    assert f", {wanted}), REPARTITION_BY_NUM" in plan and f", {wanted // skew.PARTS}), REPARTITION_BY_NUM" in plan
+
+
+def test_files_with_spaces_are_measured(spark, tmp_path):
+    path = f"{tmp_path}/a b%20c"
+    spark.range(9).write.parquet(path)
+    assert skew.read_bytes(spark.read.parquet(path)) == sum(p.stat().st_size for p in Path(path).glob("part-*"))
+
+
+def test_words_of_a_page_are_sorted_twice(spark, inputs):
+    """Once for copies, once for lines: lines, with all their words, are never sorted again."""
+    plan = plan_of(text_lines(inputs.statement_words)).split("REPARTITION_BY_NUM")[0]
+    assert plan.count("Sort [") == 2
+
+
+def test_lines_of_odd_places_keep_their_order(spark):
+    tops = [float("nan"), 20.0, None, float("inf"), float("-inf"), 10.0, 1e300, -0.0, 0.0, -1.0]
+    rows = [(1, "f", 1, 1, n, 5.0 + n, top, f"w{n}") for n, top in enumerate(tops)]
+    schema = "application_id bigint, file_name string, upload_seq int, page_no int, word_seq int, x0 double, top double, text string"
+    found = lines.line_grouping(lines.word_dedup(spark.createDataFrame(rows, schema)))
+    assert [r.line for r in found.orderBy("line_no").collect()] == ["w2", "w4", "w7 w8 w9", "w5", "w1", "w3 w6", "w0"]
+
+
+def test_staging_leaves_the_setting_of_writers(spark):
+    before = spark.conf.get(staging.WRITERS)
+    staging.stage_bucketed(spark.range(10).repartition(3, "id"), "numbers", ["id"], 3)
+    assert spark.conf.get(staging.WRITERS) == before
+
+
+def test_kinds_of_short_words(spark):
+    texts = ["12", "123", "1,", "a.b", "-", "x", "12\u2028", "\u0661\u0662"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, text string")
+    kinds = [r.kind for r in df.select("n", lines.word_kind(F.col("text")).alias("kind")).orderBy("n").collect()]
+    digit, amount, short = lines.HAS_DIGIT, lines.AMOUNT_LIKE, lines.SHORT_NUMBER
+    assert kinds == [digit + amount + short, digit + amount, digit + amount, amount, amount, 0, digit + amount + short, 0]
