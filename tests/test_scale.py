@@ -145,3 +145,17 @@ def test_kinds_of_short_words(spark):
     kinds = [r.kind for r in df.select("n", lines.word_kind(F.col("text")).alias("kind")).orderBy("n").collect()]
     digit, amount, short = lines.HAS_DIGIT, lines.AMOUNT_LIKE, lines.SHORT_NUMBER
     assert kinds == [digit + amount + short, digit + amount, digit + amount, amount, amount, 0, digit + amount + short, 0]
+
+
+def test_partitions_grow_with_the_rows_read(spark, tmp_path, monkeypatch):
+    """Rows that repeat take little of a file and as much of a task as others."""
+    path = f"{tmp_path}/{{a}} [b]*?/k=1"
+    spark.range(20_000).selectExpr("'same' AS text").repartition(3).write.parquet(path)
+    other = spark.range(500).withColumn("n", F.lit(1))
+    other.write.parquet(f"{tmp_path}/other")
+    read = spark.read.option("__globPaths__", "false").parquet(path)
+    both = read.select("text").unionByName(spark.read.parquet(f"{tmp_path}/other").select(F.col("id").cast("string").alias("text")))
+    assert skew.read_rows(read) == 20_000 and skew.read_rows(both) == 20_500
+    assert skew.read_rows(spark.range(3)) == 0
+    monkeypatch.setattr(skew, "PART_ROWS", 500)
+    assert skew.read_bytes(both) < skew.PART_BYTES and skew.spread_partitions(both) == 41
