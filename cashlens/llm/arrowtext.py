@@ -55,12 +55,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def parts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
-    """The batches, cut into runs of rows of about PART_BYTES of text."""
+def parts(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into runs of rows of up to `limit` bytes of text."""
     for batch in batches:
         start, held = 0, 0
         for i, size in enumerate(np.diff(text_bytes(batch.column(text_col))[1]).tolist()):
-            if held and held + size > PART_BYTES:
+            if held and held + size > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size

@@ -21,6 +21,8 @@ from cashlens.llm.arrowtext import mixed, parts, text_bytes
 from cashlens.llm.shelf import Shelf
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Bytes of text whose lattice is held at once: edges, forward sums and draws take over a hundred times as much.
+LATTICE_BYTES = 256 << 10
 MARK = "▁"
 _MARK = MARK.encode()
 
@@ -249,7 +251,7 @@ def _encode(model: str, theta: float, seed: int) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(_local(model), theta)
         for batch in batches:
-            for part in parts(iter([batch]), "text"):
+            for part in parts(iter([batch]), "text", LATTICE_BYTES):
                 texts = part.column("text")
                 ids, offsets = encode_rows(vocab, texts, row_keys(part.column("id"), seed))
                 back = decode_rows(vocab, ids, offsets)

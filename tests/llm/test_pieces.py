@@ -113,3 +113,19 @@ def test_forward_sums_of_a_long_word(vocab):
         shares = np.diff(np.concatenate([[0.0], lattice.upto[a:b]]))[:-1]
         for edge, share in zip(range(a, b), shares):
             assert share == pytest.approx(total[lattice.source[edge]] * np.exp(vocab.log_weight[lattice.piece[edge]]) / total[node], rel=1e-6, abs=1e-9)
+
+
+def test_lattices_hold_little_text(vocab, monkeypatch):
+    """Edges and forward sums are held for a bounded run of rows, whose pieces are those of all rows together."""
+    texts = [f"words of row {n} " * 40 for n in range(2000)]
+    batch = pa.record_batch([pa.array(range(2000), pa.int64()), pa.array(texts)], ["id", "text"])
+    want, offsets = pieces.encode_rows(vocab, batch.column("text"), pieces.row_keys(batch.column("id"), 0))
+    held = []
+    encode_rows = pieces.encode_rows
+    monkeypatch.setattr(pieces, "encode_rows", lambda v, part, keys: held.append(sum(map(len, part.to_pylist()))) or encode_rows(v, part, keys))
+    monkeypatch.setattr(pieces, "_local", lambda model: model)
+    out = pa.Table.from_batches(pieces._encode(pieces.MODEL, THETA, 0)(iter([batch])))
+    assert max(held) <= 256 << 10 and sum(held) == sum(map(len, texts))
+    got = out.column("ids").to_pylist()
+    assert got == [want[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+    assert out.column("lossless").to_pylist() == [True] * 2000
