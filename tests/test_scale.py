@@ -10,10 +10,10 @@ from urllib.parse import unquote, urlparse
 import pytest
 from pyspark.sql import functions as F
 
-from cashlens.operators import balances, lines, overlaps, payers, skew
+from cashlens.operators import balances, lines, overlaps, payers, rows, skew
 from cashlens.plans import derived, staging
 from cashlens.plans.extract import text_lines
-from cashlens.plans.inputs import Inputs
+from cashlens.plans.inputs import Inputs, words_in_one_pass
 from cashlens.sources import files
 
 
@@ -159,3 +159,37 @@ def test_partitions_grow_with_the_rows_read(spark, tmp_path, monkeypatch):
     assert skew.read_rows(spark.range(3)) == 0
     monkeypatch.setattr(skew, "PART_ROWS", 500)
     assert skew.read_bytes(both) < skew.PART_BYTES and skew.spread_partitions(both) == 41
+
+
+def test_rows_with_faults_are_made_once(spark, inputs, monkeypatch):
+    """Both kinds of events read a table of the rows that have a fault; the words know of their line's month without a window."""
+    staged = {}
+    stage = staging.stage
+
+    def kept(df, name):
+        staged[name] = plan_of(df)
+        return stage(df, name)
+
+    monkeypatch.setattr(staging, "stage", kept)
+    pages = [(1, "stmt", 1, 1, "Statement 2021")]
+    pages = spark.createDataFrame(pages, "application_id long, file_name string, upload_seq int, page_no int, text string")
+    inputs._known["statement_text"] = pages
+    plan = plan_of(derived.unreadable_rows(inputs))
+    assert "Join" not in plan and "Join" in staged["faulty_rows"]
+    words = words_in_one_pass(inputs.ledger, short=derived.names_short_month)
+    assert plan_of(words).count("Window [") == plan_of(inputs.words).count("Window [")
+    assert words.columns == [*inputs.words.columns, "short"]
+    line = ["file_id", "page_no", "top"]
+    by_line = inputs.words.groupBy(*line).agg(F.max(F.col("text").isin("Feb", "Apr", "Jun")).alias("want"))
+    told = words.join(by_line, line)
+    assert told.where("short <> want or short is null").count() == 0 and told.count() == words.count() == inputs.words.count()
+    assert {r.want for r in by_line.collect()} == {True, False}
+
+
+def test_descriptions_begin_at_their_first_word(spark):
+    """What stands before the first accepted word is left out, without a search that throws an exception for every row."""
+    words = [[1, 2, 5], [5, 1], [1, 2], [], [1, 5, 1, 5]]
+    found = spark.createDataFrame([(n, w) for n, w in enumerate(words)], "n int, w array<int>")
+    column = rows._from_first(F.col("w"), lambda w: w == 5)
+    assert "array_position" not in str(column)
+    assert [r.w for r in found.select("n", column.alias("w")).orderBy("n").collect()] == [[5], [5, 1], [], [], [5, 1, 5]]
