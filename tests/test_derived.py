@@ -304,6 +304,36 @@ def test_repeated_entries(spark):
     assert [tuple(r) for r in got] == [(1, "f", 1, "g", 2, 4, 4, 3)]
 
 
+def test_repeated_entries_by_brute_force(spark):
+    """Any pairs, in either order, twice, with days of their own or of a file without a name."""
+    rng = random.Random(9)
+    files_of = {app: [(f"f{n % 3}", rng.choice([1, 2, None]) if app == 2 else n) for n in range(5)] for app in (1, 2, 3, None)}
+    rows = []
+    for app, names in files_of.items():
+        for _ in range(120):
+            day = None if rng.random() < 0.05 else START + timedelta(days=rng.randint(0, 6))
+            rows.append((app, *rng.choice(names), day, rng.choice([1.0, 2.0, None]), rng.choice(["x", "y", None]), rng.choice(["credit", "debit"])))
+    pairs = []
+    for app, names in files_of.items():
+        for _ in range(12):
+            low = START + timedelta(days=rng.randint(-1, 5))
+            pairs.append((app, *rng.choice(names), *rng.choice(names), low, low + timedelta(days=rng.randint(0, 4))))
+    pairs += [*pairs[:3], (1, "f0", 0, "f1", 1, START + timedelta(days=90), START + timedelta(days=99)), (1, "f0", 0, "f1", 4, None, START)]
+    table = spark.createDataFrame(rows, "application_id bigint, source_file string, upload_seq int, tx_date date, amount double, description string, tx_type string")
+    asked = spark.createDataFrame(pairs, "application_id bigint, first_file string, first_seq int, second_file string, second_seq int, overlap_from date, overlap_to date")
+    counts = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+    for app, a, a_seq, b, b_seq, low, high in pairs:
+        for r in rows:
+            if None in (app, low, r[3]) or r[0] != app or not low <= r[3] <= high:
+                continue
+            for side, file in enumerate(((a, a_seq), (b, b_seq))):
+                if None not in file and r[1:3] == file:
+                    counts[app, a, a_seq, b, b_seq][r[3:]][side] += 1
+    want = {(*pair, sum(n for n, _ in met.values()), sum(m for _, m in met.values()), sum(min(x) for x in met.values())) for pair, met in counts.items()}
+    got = [tuple(r) for r in overlaps.repeated_entries(table, asked).collect()]
+    assert set(got) == want and len(got) == len(want) and any(r[-1] for r in got)
+
+
 def test_funding_velocity(spark):
     rng = random.Random(6)
     rows = random_ledger(rng, 500, ["x", "x", "x", "MERCHPAD ADVANCE"], days=400, apps=60)

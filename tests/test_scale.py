@@ -161,6 +161,18 @@ def test_partitions_grow_with_the_rows_read(spark, tmp_path, monkeypatch):
     assert skew.read_bytes(both) < skew.PART_BYTES and skew.spread_partitions(both) == 41
 
 
+def test_texts_of_entries_are_shuffled_once(spark):
+    """Pairs of files meet days and counts, so that neither amounts nor descriptions travel again, in partitions that grow."""
+    rows = [(1, "a", 1, datetime.date(2024, 1, 1), 5.0, "X", "credit")]
+    ledger = spark.createDataFrame(rows, "application_id long, source_file string, upload_seq int, tx_date date, amount double, description string, tx_type string")
+    pairs = overlaps.statement_overlap(overlaps.file_spans(ledger))
+    plan = plan_of(overlaps.repeated_entries(ledger, pairs))
+    exchanges = [line for line in plan.split("\n") if "Exchange" in line]
+    parts = skew.spread_partitions(ledger)
+    assert sum(f", {parts}), REPARTITION_BY_NUM" in line for line in exchanges) == 6
+    assert not any("description" in line for line in exchanges)
+
+
 def test_rows_with_faults_are_made_once(spark, inputs, monkeypatch):
     """Both kinds of events read a table of the rows that have a fault; the words know of their line's month without a window."""
     staged = {}
