@@ -205,3 +205,22 @@ def test_descriptions_begin_at_their_first_word(spark):
     column = rows._from_first(F.col("w"), lambda w: w == 5)
     assert "array_position" not in str(column)
     assert [r.w for r in found.select("n", column.alias("w")).orderBy("n").collect()] == [[5], [5, 1], [], [], [5, 1, 5]]
+
+
+def test_files_are_made_and_read_in_batches(spark, tmp_path, monkeypatch):
+    """No job makes or lists more than some files, however many there are, and settings are left as they were."""
+    supplier = spark.range(40).selectExpr("id AS s_suppkey", "cast(id % 3 AS int) AS s_nationkey", "concat('S#', id) AS s_name")
+    supplier.write.parquet(f"{tmp_path}/supplier.parquet")
+    read = []
+    scan, keep = files.scan_files, [files.LISTING, files.KEPT_LISTINGS]
+    monkeypatch.setattr(files, "scan_files", lambda *a: read.append(scan(*a)) or read[-1])
+    before = [spark.conf.get(name) for name in keep]
+    whole = derived.file_scan(Inputs(spark, str(tmp_path))).collect()
+    assert len(whole) == 54 and len(read) == 1
+    monkeypatch.setattr(files, "BATCH_FILES", 10)
+    found = derived.file_scan(Inputs(spark, str(tmp_path)))
+    assert "binaryFile" not in plan_of(found)
+    assert sorted(found.collect()) == sorted(whole)
+    sizes = [len(one.inputFiles()) for one in read[1:]]
+    assert len(sizes) == 6 and sum(sizes) == 54 and max(sizes) < 20
+    assert [spark.conf.get(name) for name in keep] == before
