@@ -219,7 +219,7 @@ def test_files_are_made_and_read_in_batches(spark, tmp_path, monkeypatch):
     assert len(whole) == 54 and len(read) == 1
     monkeypatch.setattr(files, "BATCH_FILES", 10)
     found = derived.file_scan(Inputs(spark, str(tmp_path)))
-    assert "binaryFile" not in plan_of(found)
+    assert "binaryFile" not in plan_of(found) and "SortMergeJoin" in plan_of(found)
     assert sorted(found.collect()) == sorted(whole)
     sizes = [len(one.inputFiles()) for one in read[1:]]
     assert len(sizes) == 6 and sum(sizes) == 54 and max(sizes) < 20
